@@ -134,7 +134,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_views(names: list[str], sql: str) -> str:
     """DuckDB statement with the named views in front."""
     ctes = ",\n".join(f"{name} AS ({duck_sql(VIEWS[name])})" for name in names)
-    sql = sql.strip()
+    sql = duck_sql(sql).strip()
     if sql[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{sql[5:]}"
     return f"WITH {ctes}\n{sql}"

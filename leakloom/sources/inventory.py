@@ -37,15 +37,24 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A document with an `applications` array; only names are trimmed."""
-    raw = spark.read.option("multiLine", True).schema(JSON_SCHEMA).json(path)
-    entries = raw.select("*", "_metadata").select("_metadata", F.posexplode("applications").alias("row", "a"))
+    """A document with an `applications` array; only names are trimmed.
+
+    One document is read by one task. Large inventories belong in one document per
+    line, read with `json_requests(spark.read.schema(JSON_SCHEMA).json(path))`.
+    """
+    return json_requests(spark.read.option("multiLine", True).schema(JSON_SCHEMA).json(path))
+
+
+def json_requests(documents: DataFrame) -> DataFrame:
+    """Requests out of parsed documents read from files."""
+    entries = (documents.select("*", "_metadata").withColumn("document", F.monotonically_increasing_id())
+               .select("_metadata", "document", F.posexplode("applications").alias("row", "a")))
     columns = [F.coalesce(f"a.{n}", F.lit(DEFAULTS[n])).alias(n) if n in DEFAULTS else F.col(f"a.{n}")
                for n in FIELDS if n != "name"]
     return entries.select(
         F.trim("a.name").alias("name"), *columns,
         F.coalesce("a.auto_scan", F.lit(True)).alias("auto_scan"),
-        _position(F.col("row").cast("bigint")).alias("position"),
+        _position(F.col("document"), F.col("row")).alias("position"),
     ).where(F.coalesce("name", F.lit("")) != "")
 
 
