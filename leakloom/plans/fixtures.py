@@ -82,7 +82,7 @@ FROM ({v:findings}) f WHERE finding_type = 'secret'""",
     "sca_findings": """
 SELECT id, scan_id, app_name, CASE id % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pip' ELSE 'maven' END AS package_manager,
   component AS package_name, concat('1.', cast(id % 7 AS string)) AS current_version, cve_id, severity,
-  (id % 100) / 10.0e0 AS cvss_score, file_path, status, concat('update ', component) AS remediation, created_at
+  (id % 100) / 10.0e0 AS cvss_score, file_path, status, 'update ' || component AS remediation, created_at
 FROM ({v:findings}) f WHERE finding_type <> 'secret'""",
     "finding_history": """
 SELECT event_id AS id, (event_id % 14000) * 10 + 1 AS finding_id,

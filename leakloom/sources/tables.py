@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from leakloom.schemas import conform, table_schema
 
@@ -54,11 +55,24 @@ def append_scan_records(rollup: DataFrame, root: str, now: Column) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; quotes inside quoted fields are doubled, null is empty."""
-    (df.write.option("header", True).option("quote", '"').option("escape", '"')
+    """CSV with a header; quotes inside quoted fields are doubled, null is empty.
+
+    Timestamps are written as plain text, with a fraction only where there is one.
+    """
+    texts = [F.col(f"`{f.name}`").cast("string").alias(f.name) if f.dataType.typeName().startswith("timestamp")
+             else F.col(f"`{f.name}`") for f in df.schema.fields]
+    (df.select(texts).write.option("header", True).option("quote", '"').option("escape", '"')
      .option("emptyValue", "").option("nullValue", "").csv(path))
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An exported file, typed by a DDL schema."""
+    fields = StructType.fromDDL(schema).fields
+    raw = (spark.read.schema(StructType([StructField(f.name, StringType()) for f in fields]))
+           .option("header", True).option("escape", '"').option("nullValue", None).csv(path))
+    return raw.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
+
+
 def findings_export(findings: DataFrame) -> DataFrame:
     """Columns and header names of the findings export."""
     return findings.select(
