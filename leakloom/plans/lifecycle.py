@@ -25,6 +25,18 @@ SUPPRESSED_SQL = """EXISTS (SELECT 1 FROM false_positive_patterns p
       OR (p.pattern_type = 'code_pattern' AND contains(f.code_snippet, p.pattern_value))))"""
 
 
+MARKS_SQL = """SELECT id, finding_id, details AS reason, analyst, event_ts AS marked_at, id % 3 = 0 AS create_pattern
+FROM finding_history WHERE event_type = 'false_positive'"""
+CHANGES_SQL = """SELECT id, finding_id, analyst, event_ts AS changed_at,
+  CASE WHEN event_type = 'resolved' THEN 'resolved' WHEN id % 2 = 0 THEN 'in_progress' ELSE 'open' END AS status
+FROM finding_history WHERE event_type IN ('resolved', 'status_change')"""
+LOG_VIEWS = ["findings", "finding_history"]
+
+
+def _log(spark, sf_dir, sql):
+    return spark.sql(sql.replace("FROM finding_history", "FROM {history}"), history=fx.view(spark, sf_dir, "finding_history"))
+
+
 def _at(text):
     return F.expr(f"TIMESTAMP_NTZ '{text}'")
 
@@ -48,31 +60,24 @@ def suppress_false_positives(spark, sf_dir):
     return life.suppress_false_positives(_findings(spark, sf_dir), patterns).select("id")
 
 
-# Patterns taken from the findings themselves: thousands of them, global and per application.
-_MANY_SQL = """many AS (
-  SELECT DISTINCT CASE WHEN id % 2 = 0 THEN app_name END AS app_name, 'component' AS pattern_type, component AS pattern_value
-    FROM findings WHERE scan_id % 13 = 0
-  UNION ALL SELECT DISTINCT app_name, 'file_path', substr(file_path, 1, cast(6 + id % 3 AS INTEGER)) FROM findings WHERE scan_id % 37 = 0
-  UNION ALL SELECT DISTINCT app_name, 'code_pattern', substr(code_snippet, 3, cast(3 + id % 2 AS INTEGER)) FROM findings WHERE scan_id % 41 = 0)"""
-
-
-@query("suppress_with_many_patterns", f"""
-WITH {_MANY_SQL} SELECT id FROM findings f WHERE NOT {SUPPRESSED_SQL.replace('false_positive_patterns', 'many')}""", ["findings"])
-def suppress_with_many_patterns(spark, sf_dir):
-    found = _findings(spark, sf_dir)
-    pick = {
-        "component": found.where("scan_id % 13 = 0").select(
-            F.expr("CASE WHEN id % 2 = 0 THEN app_name END").alias("app_name"), F.col("component").alias("pattern_value")),
-        "file_path": found.where("scan_id % 37 = 0").select(
-            "app_name", F.expr("substr(file_path, 1, cast(6 + id % 3 AS int))").alias("pattern_value")),
-        "code_pattern": found.where("scan_id % 41 = 0").select(
-            "app_name", F.expr("substr(code_snippet, 3, cast(3 + id % 2 AS int))").alias("pattern_value")),
-    }
-    many = None
-    for kind, rows in pick.items():
-        part = rows.distinct().withColumn("pattern_type", F.lit(kind))
-        many = part if many is None else many.unionByName(part)
-    return life.suppress_false_positives(found, many).select("id")
+# Analysts' marks on findings with many distinct paths give many patterns.
+_RICH_SQL = "concat('/src/', lower(title), '/m', cast(id % 1009 AS VARCHAR), '.js')"
+
+
+@query("suppress_with_derived_patterns", f"""
+WITH rich AS (SELECT f.* REPLACE ({_RICH_SQL} AS file_path, NULL AS component) FROM findings f),
+marks AS ({{MARKS}}),
+derived AS (SELECT r.app_name, 'file_path' AS pattern_type, r.file_path AS pattern_value FROM marks m JOIN rich r ON r.id = m.finding_id WHERE m.create_pattern
+  UNION ALL SELECT NULL, 'code_pattern', 'ip 3')
+SELECT id FROM rich f WHERE NOT {SUPPRESSED_SQL.replace('false_positive_patterns', 'derived')}""".replace("{MARKS}", MARKS_SQL),
+       ["findings", "finding_history"])
+def suppress_with_derived_patterns(spark, sf_dir):
+    rich = _findings(spark, sf_dir).withColumns({
+        "file_path": F.expr(_RICH_SQL.replace("VARCHAR", "string")), "component": F.lit(None).cast("string")})
+    derived = life.derive_fp_patterns(_log(spark, sf_dir, MARKS_SQL), rich).select("app_name", "pattern_type", "pattern_value")
+    everywhere = spark.range(1).select(F.lit(None).cast("string").alias("app_name"),
+                                       F.lit("code_pattern").alias("pattern_type"), F.lit("ip 3").alias("pattern_value"))
+    return life.suppress_false_positives(rich, derived.unionByName(everywhere)).select("id")
 
 
 # --- upsert ---
@@ -182,18 +187,6 @@ for _name, _left, _op, _right, _function in (
 
 # --- event folds ---
 
-MARKS_SQL = """SELECT id, finding_id, details AS reason, analyst, event_ts AS marked_at, id % 3 = 0 AS create_pattern
-FROM finding_history WHERE event_type = 'false_positive'"""
-CHANGES_SQL = """SELECT id, finding_id, analyst, event_ts AS changed_at,
-  CASE WHEN event_type = 'resolved' THEN 'resolved' WHEN id % 2 = 0 THEN 'in_progress' ELSE 'open' END AS status
-FROM finding_history WHERE event_type IN ('resolved', 'status_change')"""
-LOG_VIEWS = ["findings", "finding_history"]
-
-
-def _log(spark, sf_dir, sql):
-    return spark.sql(sql.replace("FROM finding_history", "FROM {history}"), history=fx.view(spark, sf_dir, "finding_history"))
-
-
 @query("apply_false_positives", f"""
 WITH m AS ({MARKS_SQL}), last AS (SELECT finding_id, arg_max(m, (marked_at, id)) AS m FROM m GROUP BY finding_id)
 SELECT f.id, f.is_false_positive OR l.m IS NOT NULL AS is_false_positive, l.m.reason AS false_positive_reason,
