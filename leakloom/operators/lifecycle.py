@@ -89,8 +89,40 @@ def suppression_keys(findings: DataFrame, patterns: DataFrame) -> dict[str, Data
     }
 
 
-def flag_suppressed(findings: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Findings with `suppressed`: some pattern of their application or a global one fits."""
+INLINE_PATTERNS = 64
+
+
+def _inline_test(patterns: DataFrame, limit: int) -> Column | None:
+    """The whole pattern table as one condition, if it has at most `limit` rows."""
+    rows = (
+        patterns.where(F.col("pattern_type").isin("file_path", "component", "code_pattern")
+                       & tx.present(F.col("pattern_value")))
+        .select("app_name", "pattern_type", "pattern_value").limit(limit + 1).collect()
+    )
+    if len(rows) > limit:
+        return None
+
+    def fits(row) -> Column:
+        value = F.lit(row.pattern_value)
+        test = {
+            "file_path": lambda: F.col("file_path").startswith(value),
+            "component": lambda: F.col("component") == value,
+            "code_pattern": lambda: F.col("code_snippet").contains(value),
+        }[row.pattern_type]()
+        return test if row.app_name is None else (F.col("app_name") == row.app_name) & test
+
+    return F.coalesce(tx.any_of(fits(r) for r in rows), F.lit(False))
+
+
+def flag_suppressed(findings: DataFrame, patterns: DataFrame, inline_limit: int = INLINE_PATTERNS) -> DataFrame:
+    """Findings with `suppressed`: some pattern of their application or a global one fits.
+
+    The size of the pattern table decides: a few patterns become part of the row
+    expression and nothing is shuffled, more of them go through `suppression_keys`.
+    """
+    inline = _inline_test(patterns, inline_limit)
+    if inline is not None:
+        return findings.withColumn("suppressed", inline)
     flagged = findings
     flags = []
     for column, covered in suppression_keys(findings, patterns).items():
@@ -103,8 +135,12 @@ def flag_suppressed(findings: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
-def suppress_false_positives(findings: DataFrame, patterns: DataFrame) -> DataFrame:
+def suppress_false_positives(findings: DataFrame, patterns: DataFrame,
+                             inline_limit: int = INLINE_PATTERNS) -> DataFrame:
     """Findings no pattern fits."""
+    inline = _inline_test(patterns, inline_limit)
+    if inline is not None:
+        return findings.where(~inline)
     kept = findings
     for column, covered in suppression_keys(findings, patterns).items():
         kept = kept.join(covered, ["app_name", column], "left_anti")
@@ -363,11 +399,12 @@ def comment_threads(comments: DataFrame, per_part: int = COMMENTS_PER_PART) -> D
 # --- enrichment --------------------------------------------------------------
 
 def known_vulnerabilities(spark) -> DataFrame:
-    """The three local vulnerability records."""
-    return spark.createDataFrame(
-        [tuple(r.values()) for r in catalog.KNOWN_VULNERABILITIES],
-        "component string, cve_id string, affected_versions array<string>, fixed_version string, "
-        "impact string, exploit_maturity string, usage_patterns array<string>")
+    """The three local vulnerability records, as a frame whose size the planner knows."""
+    def literal(value) -> Column:
+        return F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
+
+    records = F.array(*[F.struct(*[literal(v).alias(k) for k, v in r.items()]) for r in catalog.KNOWN_VULNERABILITIES])
+    return spark.range(1).select(F.inline(records))
 
 
 def cve_details(ids: DataFrame, records: DataFrame) -> DataFrame:
