@@ -64,7 +64,7 @@ FROM (SELECT o_orderkey % 400 AS o_orderkey,
     "findings": """
 SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 400 AS scan_id,
   concat('app', cast((l_orderkey % 400) % 20 AS string)) AS app_name,
-  CASE rf WHEN 'A' THEN 'secret' WHEN 'N' THEN 'dependency' ELSE 'vulnerability' END AS finding_type,
+  CASE rf WHEN 0 THEN 'secret' WHEN 1 THEN 'dependency' ELSE 'vulnerability' END AS finding_type,
   CASE q % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'moderate' END AS severity,
   concat('T', cast(p % 5 AS string)) AS title, concat('/src/m', cast(p % 4 AS string), '.js') AS file_path,
   p % 2 AS line_number, concat('snip ', cast(p % 6 AS string)) AS code_snippet,
@@ -73,7 +73,7 @@ SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 400 AS scan_id,
   CASE q % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'open' WHEN 2 THEN 'resolved' ELSE 'archived' END AS status,
   q % 10 = 0 AS is_false_positive, d AS created_at
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, cast(min(l_quantity) AS int) AS q,
-    min(l_returnflag) AS rf, min(l_shipdate) AS d FROM {t:lineitem} GROUP BY l_orderkey, l_linenumber) u""",
+    min(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) AS rf, min(l_shipdate) AS d FROM {t:lineitem} GROUP BY l_orderkey, l_linenumber) u""",
     "secret_findings": """
 SELECT id, scan_id, app_name, file_path, line_number, title AS pattern_name, 'regex' AS pattern_type, severity,
   (id % 10) / 10.0e0 AS confidence, substr({sha256}(code_snippet), 1, 16) AS secret_hash, status,
@@ -123,7 +123,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(spark_sql(VIEWS[name], sf_dir))
+    """A view as a frame. Findings group `lineitem` by key, so it is spread by that key if it has few splits."""
+    if "{t:lineitem}" not in _nested(VIEWS[name]):
+        return spark.sql(spark_sql(VIEWS[name], sf_dir))
+    sql = spark_sql(VIEWS[name].replace("{t:lineitem}", "{lineitem}") if name == "findings" else
+                    VIEWS[name].replace("{v:findings}", VIEWS["findings"].replace("{t:lineitem}", "{lineitem}")), sf_dir)
+    return spark.sql(sql, lineitem=spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber"))
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:

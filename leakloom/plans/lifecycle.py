@@ -77,7 +77,10 @@ def suppress_with_derived_patterns(spark, sf_dir):
     derived = life.derive_fp_patterns(_log(spark, sf_dir, MARKS_SQL), rich).select("app_name", "pattern_type", "pattern_value")
     everywhere = spark.range(1).select(F.lit(None).cast("string").alias("app_name"),
                                        F.lit("code_pattern").alias("pattern_type"), F.lit("ip 3").alias("pattern_value"))
-    return life.suppress_false_positives(rich, derived.unionByName(everywhere)).select("id")
+    root = work_dir(spark, "store")
+    tables.append_table(derived.unionByName(everywhere), root, "false_positive_patterns")
+    patterns = tables.read_table(spark, root, "false_positive_patterns")
+    return life.suppress_false_positives(rich, patterns).select("id")
 
 
 # --- upsert ---

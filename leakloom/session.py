@@ -18,6 +18,8 @@ def build_session(app_name: str = "leakloom", master: str | None = None, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture per Column call costs more than planning for wide expressions.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
@@ -54,8 +56,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-bound stages at least one task per core.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-bound stages at least one task per core, by `keys` if there are any.
 
     Only for plans that are a bare scan: there the partition count is known
     without running anything. A scan of many splits is left as it is.
@@ -63,4 +65,4 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    return df.repartition(cores, *keys)
