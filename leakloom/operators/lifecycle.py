@@ -89,6 +89,12 @@ def suppression_keys(findings: DataFrame, patterns: DataFrame) -> dict[str, Data
     }
 
 
+def _join_covered(findings: DataFrame, covered: DataFrame, column: str, how: str) -> DataFrame:
+    keyed = covered.withColumnsRenamed({"app_name": "_app", column: "_value"})
+    same = F.col("app_name").eqNullSafe(F.col("_app")) & (F.col(column) == F.col("_value"))
+    return findings.join(keyed, same, how).drop("_app", "_value")
+
+
 INLINE_PATTERNS = 64
 
 
@@ -128,7 +134,7 @@ def flag_suppressed(findings: DataFrame, patterns: DataFrame, inline_limit: int
     for column, covered in suppression_keys(findings, patterns).items():
         flag = f"_{column}_hit"
         flags.append(flag)
-        flagged = flagged.join(covered.withColumn(flag, F.lit(True)), ["app_name", column], "left")
+        flagged = _join_covered(flagged, covered.withColumn(flag, F.lit(True)), column, "left")
     return (
         flagged.withColumn("suppressed", F.coalesce(*flags, F.lit(False)))
         .select(*findings.columns, "suppressed")
@@ -143,7 +149,7 @@ def suppress_false_positives(findings: DataFrame, patterns: DataFrame,
         return findings.where(~inline)
     kept = findings
     for column, covered in suppression_keys(findings, patterns).items():
-        kept = kept.join(covered, ["app_name", column], "left_anti")
+        kept = _join_covered(kept, covered, column, "left_anti")
     return kept.select(*findings.columns)
 
 
