@@ -149,14 +149,15 @@ def secret_findings_all(spark, sf_dir):
 
 
 @query("batch_scan_counts", f"""
-WITH {HITS_SQL}, apps AS (SELECT app_name FROM code_files UNION SELECT 'no such application')
+WITH {HITS_SQL}, apps AS (SELECT app_name FROM code_files UNION SELECT name FROM applications)
 SELECT a.app_name, count(f.file_id) AS findings
 FROM (SELECT app_name FROM apps WHERE app_name IN (SELECT app_name FROM code_files)) a
-LEFT JOIN found f ON f.app_name = a.app_name GROUP BY a.app_name""", ["code_files"])
+LEFT JOIN found f ON f.app_name = a.app_name GROUP BY a.app_name""", ["code_files", "applications"])
 def batch_scan_counts(spark, sf_dir):
+    """Applications with files, plus those of the inventory, which have none."""
     every = fx.view(spark, sf_dir, "code_files").select("app_name")
     apps = every.select(F.col("app_name").alias("name")).distinct().unionByName(
-        spark.range(1).select(F.lit("no such application").alias("name")))
+        fx.view(spark, sf_dir, "applications").select("name"))
     found = detect.scan_secrets(_files(spark, sf_dir), ("app_name",))
     return detect.batch_scan_counts(apps, every, found)
 
