@@ -34,8 +34,17 @@ def clean_utf8(content: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Universal-newline split; a final newline does not open another line."""
-    lines = F.split(text, "\r\n?|\n", -1)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    body = (F.when(text.endswith("\r\n"), F.left(text, F.length(text) - 2))
+            .when(text.endswith("\n") | text.endswith("\r"), F.left(text, F.length(text) - 1))
+            .otherwise(text))
+    return F.split(body, "\r\n?|\n", -1)
+
+
+def fold_case(text: Column) -> Column:
+    """Lower case in which the letters outside ASCII that match ASCII ones, ignoring case, become those."""
+    for odd, plain in (("ſ", "s"), ("ı", "i"), ("İ", "i")):
+        text = F.replace(text, F.lit(odd), F.lit(plain))
+    return F.lower(text)
 
 
 def java_regex(pattern: str, ignore_case: bool = True) -> str:

@@ -19,9 +19,6 @@ from leakloom.functions import text as tx
 
 HIT_TYPE = "array<struct<pattern_no:int,secret:string,bits:double>>"
 
-# Letters outside ASCII that case folding maps onto ASCII, but lower() does not.
-_ODD_FOLDS = ("ſ", "ı", "İ")
-
 _ENTROPY_GATE = r"""(?U)"[^"]{20}|'[^']{20}|[=:]\s*[A-Za-z0-9+/]{20}"""
 
 
@@ -54,22 +51,11 @@ def scannable_file_count(files: DataFrame) -> DataFrame:
     return files.groupBy("app_name").agg(F.count_if(counted).alias("total_files"))
 
 
-def _body(text: Column) -> Column:
-    """Text without its final newline, so that the split yields exactly the lines."""
-    return (F.when(text.endswith("\r\n"), F.left(text, F.length(text) - 2))
-            .when(text.endswith("\n") | text.endswith("\r"), F.left(text, F.length(text) - 1))
-            .otherwise(text))
-
-
-def _line_array(text: Column) -> Column:
-    return F.split(_body(text), "\r\n?|\n", -1)
-
-
 def file_lines(files: DataFrame, keys: Sequence[str] = ("app_name", "path")) -> DataFrame:
     """One row per line, numbered from 1."""
     return (
         files.where(F.col("text") != "")
-        .select(*keys, F.posexplode(_line_array(F.col("text"))).alias("position", "line"))
+        .select(*keys, F.posexplode(tx.split_lines(F.col("text"))).alias("position", "line"))
         .select(*keys, (F.col("position") + 1).cast("bigint").alias("line_number"), "line")
     )
 
@@ -77,8 +63,7 @@ def file_lines(files: DataFrame, keys: Sequence[str] = ("app_name", "path")) ->
 def _may_match(line: Column, folded: Column, pattern: Pattern) -> Column:
     """A cheap test every line with a match of the pattern passes."""
     if pattern.anchors:
-        return tx.any_of([folded.contains(a) for a in pattern.anchors]
-                         + [line.contains(c) for c in _ODD_FOLDS])
+        return tx.any_of(folded.contains(a) for a in pattern.anchors)
     return line.rlike(tx.java_regex(pattern.shape)) if pattern.shape else F.lit(True)
 
 
@@ -87,7 +72,6 @@ def _worth_matching(line: Column, folded: Column, patterns: Sequence[Pattern], e
         return F.lit(True)
     anchors = sorted({a for p in patterns for a in p.anchors})
     tests = [folded.contains(a) for a in anchors]
-    tests += [line.contains(c) for c in _ODD_FOLDS] if anchors else []
     tests += [line.rlike(tx.java_regex(p.shape)) for p in patterns if p.shape and not p.anchors]
     if entropy:
         opens = tx.any_of(line.contains(c) for c in ("\"", "'", "=", ":"))
@@ -105,7 +89,7 @@ def candidate_lines(
     """Lines that may hold a secret, with their neighbours as two small arrays."""
     lines = F.col("lines")
     numbered = F.transform(lines, lambda line, i: F.struct(
-        i.alias("i"), line.alias("line"), F.lower(line).alias("folded")))
+        i.alias("i"), line.alias("line"), tx.fold_case(line).alias("folded")))
     kept = F.filter(numbered, lambda x: _worth_matching(x["line"], x["folded"], patterns, entropy))
     rows = F.transform(kept, lambda x: F.struct(
         (x["i"] + 1).cast("bigint").alias("line_number"),
@@ -116,7 +100,7 @@ def candidate_lines(
         F.slice(lines, x["i"] + 2, F.lit(context)).alias("after"),
     ))
     return (
-        files.select(*keys, _line_array(F.col("text")).alias("lines"))
+        files.select(*keys, tx.split_lines(F.col("text")).alias("lines"))
         .select(*keys, F.explode(rows).alias("c"))
         .select(*keys, "c.*")
     )

@@ -173,7 +173,10 @@ def derive_fp_patterns(marks: DataFrame, findings: DataFrame) -> DataFrame:
 
 # --- upsert ------------------------------------------------------------------
 
-def batch_arrivals(batch: DataFrame, patterns: DataFrame) -> DataFrame:
+KEYS = ["app_name", "finding_hash"]
+
+
+def batch_arrivals(batch: DataFrame, patterns: DataFrame, now: Column) -> DataFrame:
     """A batch folded to one row per (app_name, finding_hash).
 
     `arrivals` counts all rows. `accepted` counts them from the first row that no
@@ -181,61 +184,82 @@ def batch_arrivals(batch: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     flagged = flag_suppressed(batch, patterns)
     ok = ~F.col("suppressed")
-    folded = flagged.groupBy("app_name", "finding_hash").agg(
+    folded = flagged.groupBy(*KEYS).agg(
         F.count("*").alias("arrivals"),
         F.min(F.when(ok, F.col("id"))).alias("first_ok"),
         F.min_by(F.when(ok, F.struct(*batch.columns)), F.when(ok, F.col("id"))).alias("first"),
     )
     # Suppressed rows ahead of the first accepted one; rare, so only those are joined.
     ahead = (
-        flagged.where("suppressed").select("app_name", "finding_hash", "id")
-        .join(folded.select("app_name", "finding_hash", "first_ok"), ["app_name", "finding_hash"])
+        flagged.where("suppressed").select(*KEYS, "id")
+        .join(folded.select(*KEYS, "first_ok"), KEYS)
         .where(F.col("id") < F.col("first_ok"))
-        .groupBy("app_name", "finding_hash").agg(F.count("*").alias("ahead"))
+        .groupBy(*KEYS).agg(F.count("*").alias("ahead"))
     )
-    return folded.join(ahead, ["app_name", "finding_hash"], "left").select(
-        "app_name", "finding_hash", "arrivals", "first",
+    return folded.join(ahead, KEYS, "left").select(
+        *KEYS, "arrivals", "first",
         (F.col("arrivals") - F.coalesce("ahead", F.lit(0))).alias("accepted"),
+        now.alias("first_at"), now.alias("last_at"),
     )
 
 
-def upsert_findings(snapshot: DataFrame, batch: DataFrame, patterns: DataFrame, now: Column) -> DataFrame:
-    """Snapshot after a batch, as one full join of unique keys.
+def fold_arrivals(deltas: DataFrame) -> DataFrame:
+    """Arrivals of several batches (with `batch_id`) as if they had come in one.
+
+    Per key there is at most one row per batch, so the collected list is as short as
+    the number of batches folded together.
+    """
+    inserting = F.when(F.col("first").isNotNull(), F.col("batch_id"))
+    per_key = deltas.groupBy(*KEYS).agg(
+        F.sum("arrivals").alias("arrivals"),
+        F.min(inserting).alias("inserted_in"),
+        F.min_by("first", inserting).alias("first"),
+        F.min_by("first_at", inserting).alias("first_at"),
+        F.max_by("last_at", "batch_id").alias("last_at"),
+        F.collect_list(F.struct("batch_id", "arrivals", "accepted")).alias("batches"),
+    )
+    counted = F.transform("batches", lambda b: F.when(b["batch_id"] == F.col("inserted_in"), b["accepted"])
+                          .when(b["batch_id"] > F.col("inserted_in"), b["arrivals"]).otherwise(F.lit(0)))
+    accepted = F.aggregate(counted, F.lit(0).cast("bigint"), lambda total, n: total + n)
+    return per_key.select(*KEYS, "arrivals", "first", accepted.alias("accepted"), "first_at", "last_at")
+
+
+def merge_arrivals(snapshot: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Snapshot after the arrivals, as one full join of unique keys.
 
     Known false positives stay as they are. Other known findings are seen again and
     counted; a resolved one is not reopened. Unknown ones are inserted unless a
     pattern fits.
     """
-    keys = ["app_name", "finding_hash"]
-    arrivals = batch_arrivals(batch, patterns)
-    old = snapshot.select(*keys, F.struct(*snapshot.columns).alias("old"))
-    merged = old.join(arrivals, keys, "full")
+    old = snapshot.select(*KEYS, F.struct(*snapshot.columns).alias("old"))
+    merged = old.join(arrivals, KEYS, "full")
     known = F.col("old").isNotNull()
     seen = known & F.col("arrivals").isNotNull() & ~F.coalesce(F.col("old.is_false_positive"), F.lit(False))
-    insert_defaults = {
-        "status": F.lit("open"), "is_false_positive": F.lit(False),
-        "occurrence_count": F.col("accepted"), "first_detected": now, "last_seen": now,
-        "created_at": now, "updated_at": now,
-    }
     refreshed = {
         "occurrence_count": F.col("old.occurrence_count") + F.col("arrivals"),
-        "last_seen": now, "updated_at": now,
+        "last_seen": F.col("last_at"), "updated_at": F.col("last_at"),
+    }
+    inserted = {
+        "status": F.lit("open"), "is_false_positive": F.lit(False), "occurrence_count": F.col("accepted"),
+        "first_detected": F.col("first_at"), "created_at": F.col("first_at"),
+        "last_seen": F.col("last_at"), "updated_at": F.col("last_at"),
     }
-    columns = []
+    arriving = {f.name for f in arrivals.schema["first"].dataType.fields}
+    columns = [F.col(k) for k in KEYS]
     for field in snapshot.schema.fields:
         name = field.name
-        if name in keys:
-            columns.append(F.col(name))
+        if name in KEYS:
             continue
-        if name in insert_defaults:
-            fresh = insert_defaults[name]
-        elif name in batch.columns:
-            fresh = F.col(f"first.{name}")
-        else:
-            fresh = F.lit(None)
-        kept = F.when(seen, refreshed[name]).otherwise(F.col(f"old.{name}")) if name in refreshed else F.col(f"old.{name}")
+        stored = F.col(f"old.{name}")
+        kept = F.when(seen, refreshed[name]).otherwise(stored) if name in refreshed else stored
+        fresh = inserted.get(name, F.col(f"first.{name}") if name in arriving else F.lit(None))
         columns.append(F.when(known, kept).otherwise(fresh).cast(field.dataType).alias(name))
-    return merged.where(known | F.col("first").isNotNull()).select(*columns)
+    return merged.where(known | F.col("first").isNotNull()).select(*columns).select(*snapshot.columns)
+
+
+def upsert_findings(snapshot: DataFrame, batch: DataFrame, patterns: DataFrame, now: Column) -> DataFrame:
+    """Snapshot after one batch of hashed findings."""
+    return merge_arrivals(snapshot, batch_arrivals(batch, patterns, now))
 
 
 # --- comparison --------------------------------------------------------------

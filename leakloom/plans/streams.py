@@ -54,7 +54,7 @@ def stream_upsert(spark, sf_dir):
     root, checkpoint = work_dir(spark, "snapshots"), work_dir(spark, "checkpoint")
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
     now = F.expr(f"TIMESTAMP_NTZ '{STREAM_NOW}'")
-    incremental.stream_upsert(stream, patterns, root, TABLES["findings"], checkpoint, now).awaitTermination()
+    incremental.stream_upsert(stream, patterns, root, TABLES["findings"], checkpoint, now, compact_every=2).awaitTermination()
     return incremental.read_snapshot(spark, root, TABLES["findings"]).select("app_name", "finding_hash", "occurrence_count")
 
 

@@ -8,6 +8,7 @@ through `list_tree` and `read_listed`, which list and read in tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leakloom import catalog
 from leakloom.functions import text as tx
+from leakloom.session import cut
 
 BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 LISTING_SCHEMA = "app_name STRING, root STRING, path STRING, length BIGINT"
@@ -77,68 +79,54 @@ def _filesystem(uri: str):
 
 
 def list_tree(applications: DataFrame, extensions: Sequence[str] = catalog.SCAN_EXTENSIONS,
-              skip_names: Sequence[str] = catalog.SKIP_NAMES, max_bytes: int = catalog.MAX_FILE_BYTES,
-              fan_out: int | None = None) -> DataFrame:
+              skip_names: Sequence[str] = catalog.SKIP_NAMES, max_bytes: int = catalog.MAX_FILE_BYTES) -> DataFrame:
     """Eligible files of each application (name, local_path), hidden names included.
 
-    Skipped directories are pruned while walking. The top level of every application
-    is listed first and its directories are spread over the tasks before the deep
-    walk, so one large application does not end up in one task. A missing root
-    contributes nothing.
+    The tree is listed level by level. All directories of a level are spread over the
+    tasks anew, so a large application or a large subtree never ends up in one task.
+    Skipped directories are not descended into; a missing root contributes nothing.
     """
+    spark = applications.sparkSession
     wanted, skipped = frozenset(extensions), frozenset(skip_names)
 
-    def entries(uri: str, directory: str):
-        from pyarrow import fs
-
-        system, base = _filesystem(uri)
-        target = f"{base.rstrip('/')}/{directory}".rstrip("/")
-        found = system.get_file_info(fs.FileSelector(target, allow_not_found=True))
-        for info in sorted(found, key=lambda i: i.base_name):
-            if info.base_name in skipped:
-                continue
-            relative = f"{directory}/{info.base_name}".lstrip("/")
-            if info.type == fs.FileType.Directory:
-                yield relative, None
-            elif info.type == fs.FileType.File:
-                stem, dot, tail = info.base_name.rpartition(".")
-                if dot and stem and tail and f".{tail.lower()}" in wanted and info.size <= max_bytes:
-                    yield relative, info.size
-
     def frame(rows: list) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["app_name", "root", "path", "length"]).astype({"length": "Int64"})
 
-    def top_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, root in zip(batch["name"], batch["root"]):
-                yield frame([(name, root, path, size) for path, size in entries(root, "")])
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, root, start in zip(batch["app_name"], batch["root"], batch["path"]):
-                pending, rows = [start], []
-                while pending:
-                    for path, size in entries(root, pending.pop()):
-                        if size is None:
-                            pending.append(path)
-                        else:
-                            rows.append((name, root, path, size))
-                        if len(rows) >= 10000:
-                            yield frame(rows)
-                            rows = []
-                yield frame(rows)
-
-    roots = applications.select(
-        "name", F.coalesce(F.nullif("local_path", F.lit("")), F.concat(F.lit("./repos/"), F.col("name"))).alias("root"))
-    top = roots.mapInPandas(top_level, LISTING_SCHEMA)
-    directories = top.where("length IS NULL")
-    spread_over = fan_out or applications.sparkSession.sparkContext.defaultParallelism
-    deep = directories.repartition(spread_over, "app_name", "path").mapInPandas(walk, LISTING_SCHEMA)
-    return top.where("length IS NOT NULL").unionByName(deep)
-
-
-def read_listed(listing: DataFrame, batch_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Contents of listed files, read in tasks and handed over in bounded batches."""
+            rows = []
+            for name, root, directory in zip(batch["app_name"], batch["root"], batch["path"]):
+                system, base = _filesystem(root)
+                target = f"{base.rstrip('/')}/{directory}".rstrip("/")
+                for info in system.get_file_info(fs.FileSelector(target, allow_not_found=True)):
+                    if info.base_name in skipped:
+                        continue
+                    path = f"{directory}/{info.base_name}".lstrip("/")
+                    stem, dot, tail = info.base_name.rpartition(".")
+                    if info.type == fs.FileType.Directory:
+                        rows.append((name, root, path, None))
+                    elif dot and stem and tail and f".{tail.lower()}" in wanted and info.size <= max_bytes:
+                        rows.append((name, root, path, info.size))
+            yield frame(rows)
+
+    root = F.coalesce(F.nullif("local_path", F.lit("")), F.concat(F.lit("./repos/"), F.col("name")))
+    level = applications.select(F.col("name").alias("app_name"), root.alias("root"), F.lit("").alias("path"))
+    found = []
+    while not level.isEmpty():
+        tasks = spark.sparkContext.defaultParallelism
+        entries = cut(level.repartition(tasks, "app_name", "path").mapInPandas(children, LISTING_SCHEMA))
+        found.append(entries.where("length IS NOT NULL"))
+        level = entries.where("length IS NULL")
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], LISTING_SCHEMA)
+
+
+def read_listed(listing: DataFrame, split_bytes: int = 128 * 1024 * 1024, batch_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Contents of listed files, read in tasks and handed over in bounded batches.
+
+    The number of tasks follows the total size of the files.
+    """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, held = [], 0
@@ -153,5 +141,8 @@ def read_listed(listing: DataFrame, batch_bytes: int = 64 * 1024 * 1024) -> Data
             if rows:
                 yield pd.DataFrame(rows, columns=["app_name", "path", "length", "content"])
 
-    binary = listing.mapInPandas(read, "app_name STRING, path STRING, length BIGINT, content BINARY")
+    total = listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(listing.sparkSession.sparkContext.defaultParallelism, -(-int(total) // split_bytes))
+    binary = listing.repartition(tasks, "app_name", "path").mapInPandas(
+        read, "app_name STRING, path STRING, length BIGINT, content BINARY")
     return binary.select("app_name", "path", "length", tx.clean_utf8(F.col("content")).alias("text"))

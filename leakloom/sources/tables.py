@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from leakloom.schemas import conform, table_schema
+from leakloom.session import cut
 
 # Columns rows are clustered by on write: readers filter and join on them.
 CLUSTERING = {
@@ -24,12 +25,15 @@ def append_table(df: DataFrame, root: str, table: str) -> None:
 
     Findings are laid out by application. Rows are range-partitioned first: a task
     then writes few applications, and a large application is split over many tasks.
+    Finding the ranges reads the rows an extra time, so they are materialised before;
+    the scan that produced them, far larger than they are, runs once.
     """
     rows = conform(df, table)
     target = f"{root.rstrip('/')}/{table}"
     if table in CLUSTERING:
         keys = CLUSTERING[table]
-        rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("append").partitionBy("app_name").parquet(target)
+        laid_out = cut(rows).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        laid_out.write.mode("append").partitionBy("app_name").parquet(target)
     else:
         rows.write.mode("append").parquet(target)
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leakloom.catalog import BUILTIN_PATTERNS, Pattern
 from leakloom.operators.detect import eligible_files, scan_secrets
-from leakloom.operators.lifecycle import upsert_findings
+from leakloom.operators.lifecycle import batch_arrivals, fold_arrivals, merge_arrivals
 from leakloom.sources.files import stream_tree
 
 
@@ -28,8 +28,8 @@ def stream_scan(spark: SparkSession, root: str, target: str, checkpoint: str,
     )
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Batch ids with a complete snapshot below `root`."""
+def _complete(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """Numbers of the folders `prefix`N below `root` that were written to the end."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -38,35 +38,58 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     found = []
     for status in system.listStatus(path):
         name = status.getPath().getName()
-        if name.startswith("v=") and system.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name[2:]))
+        if name.startswith(prefix) and system.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(int(name[len(prefix):]))
     return sorted(found)
 
 
+SNAPSHOT, DELTA = "v=", "batch_id="
+
+
+def _state(spark: SparkSession, root: str) -> tuple[int, list[int]]:
+    """Newest snapshot version (-1 if none) and the batches that came after it."""
+    version = max(_complete(spark, f"{root}/snapshots", SNAPSHOT), default=-1)
+    return version, [n for n in _complete(spark, f"{root}/deltas", DELTA) if n > version]
+
+
 def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The newest complete snapshot, empty before the first one."""
-    versions = _versions(spark, root)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/v={versions[-1]}")
+    """Current findings: the newest snapshot with the later batches folded in."""
+    version, batches = _state(spark, root)
+    if version < 0:
+        snapshot = spark.createDataFrame([], schema)
+    else:
+        snapshot = spark.read.schema(schema).parquet(f"{root}/snapshots/{SNAPSHOT}{version}")
+    if not batches:
+        return snapshot
+    deltas = spark.read.option("basePath", f"{root}/deltas").parquet(*[f"{root}/deltas/{DELTA}{n}" for n in batches])
+    return merge_arrivals(snapshot, fold_arrivals(deltas))
+
+
+def compact(spark: SparkSession, root: str, schema: str) -> None:
+    """Write the current findings as a new snapshot; what it was made from stays untouched."""
+    _, batches = _state(spark, root)
+    if batches:
+        read_snapshot(spark, root, schema).write.mode("overwrite").parquet(f"{root}/snapshots/{SNAPSHOT}{batches[-1]}")
 
 
 def stream_upsert(findings: DataFrame, patterns: DataFrame, root: str, schema: str, checkpoint: str,
-                  now: Column) -> StreamingQuery:
-    """Merge each batch of hashed findings into a snapshot versioned by batch id.
+                  now: Column, compact_every: int = 20) -> StreamingQuery:
+    """Merge a stream of hashed findings into the store below `root`.
 
-    Version N is derived from N-1 and never touched again; a replayed batch finds its
-    version complete and leaves it.
+    A batch only writes its own arrivals, folded per fingerprint, under its batch id.
+    The full store is rewritten once per `compact_every` batches; in between readers
+    fold the few open batches in. A replayed batch finds its folder complete and
+    leaves it.
     """
     spark = findings.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        done = [v for v in _versions(spark, root) if v >= batch_id]
-        if done:
-            return
-        snapshot = read_snapshot(spark, root, schema)
-        merged = upsert_findings(snapshot, batch, patterns, now)
-        merged.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        version, batches = _state(spark, root)
+        if batch_id > version and batch_id not in batches:
+            batch_arrivals(batch, patterns, now).write.mode("overwrite").parquet(f"{root}/deltas/{DELTA}{batch_id}")
+            batches.append(batch_id)
+        if len(batches) >= compact_every:
+            compact(spark, root, schema)
 
     return (
         findings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -1,9 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from leakloom.operators import lifecycle as life
-from leakloom.schemas import TABLES
+from leakloom.schemas import TABLES, conform
 from leakloom.streaming import incremental
 
 def now():
@@ -35,28 +36,60 @@ def rows(spark, *items):
               "cve_id string, component string, title string, code_snippet string, severity string"))
 
 
-def test_upsert_stream_is_idempotent(spark, tmp_path):
-    source, root = str(tmp_path / "in"), str(tmp_path / "snap")
+@pytest.mark.parametrize("compact_every", [1, 2, 20])
+def test_upsert_stream_is_idempotent(spark, tmp_path, compact_every):
+    source, root = str(tmp_path / "in"), str(tmp_path / "store")
     patterns = spark.createDataFrame([], "app_name string, pattern_type string, pattern_value string")
-    rows(spark, (1, "x"), (2, "x"), (3, "y")).coalesce(1).write.parquet(source)
-    schema = spark.read.parquet(source).schema
+
+    def add(*items):
+        rows(spark, *items).coalesce(1).write.mode("append").parquet(source)
 
     def run(checkpoint):
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-        incremental.stream_upsert(stream, patterns, root, TABLES["findings"], str(tmp_path / checkpoint), now()).awaitTermination()
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+        incremental.stream_upsert(stream, patterns, root, TABLES["findings"], str(tmp_path / checkpoint), now(), compact_every).awaitTermination()
         return {r.title: r.occurrence_count for r in incremental.read_snapshot(spark, root, TABLES["findings"]).collect()}
 
+    add((1, "x"), (2, "x"), (3, "y"))
     assert run("cp") == {"x": 2, "y": 1}
-    rows(spark, (4, "x"), (5, "z")).coalesce(1).write.mode("append").parquet(source)
-    assert run("cp") == {"x": 3, "y": 1, "z": 1}
+    add((4, "x"), (5, "z"))
     assert run("cp") == {"x": 3, "y": 1, "z": 1}
-    assert run("lost checkpoint") == {"x": 3, "y": 1, "z": 1}
-    assert incremental._versions(spark, root) == [0, 1]
+    add((6, "y"))
+    assert run("cp") == {"x": 3, "y": 2, "z": 1}
+    assert run("cp") == {"x": 3, "y": 2, "z": 1}
+    assert run("lost checkpoint") == {"x": 3, "y": 2, "z": 1}
+    incremental.compact(spark, root, TABLES["findings"])
+    assert run("cp") == {"x": 3, "y": 2, "z": 1}
+
+
+def test_folded_batches_equal_one_after_the_other(spark):
+    """Arrivals of three batches folded together against three single upserts."""
+    patterns = spark.createDataFrame([("a", "code_pattern", "bad")], "app_name string, pattern_type string, pattern_value string")
+    plan = [[(1, "x", "bad"), (2, "y", "ok"), (3, "k", "ok"), (4, "f", "ok")],
+            [(5, "x", "bad"), (6, "x", "ok"), (7, "x", "bad"), (8, "y", "bad"), (9, "f", "ok")],
+            [(10, "x", "bad"), (11, "w", "bad"), (12, "k", "ok")]]
+    days = [F.lit(dt.datetime(2024, 5, n + 1)).cast("timestamp_ntz") for n in range(3)]
+    known = rows(spark, (100, "k"), (101, "f")).withColumn("is_false_positive", F.col("title") == "f")
+    snapshot = conform(known, "findings")
+
+    def batch(items):
+        frame = spark.createDataFrame([(i, s) for i, _, s in items], "id long, code_snippet string")
+        return rows(spark, *[(i, t) for i, t, _ in items]).drop("code_snippet").join(frame, "id")
+
+    one_by_one, deltas = snapshot, None
+    for n, items in enumerate(plan):
+        one_by_one = life.upsert_findings(one_by_one, batch(items), patterns, days[n])
+        delta = life.batch_arrivals(batch(items), patterns, days[n]).withColumn("batch_id", F.lit(n))
+        deltas = delta if deltas is None else deltas.unionByName(delta)
+    together = life.merge_arrivals(snapshot, life.fold_arrivals(deltas))
+    picked = ["id", "title", "occurrence_count", "first_detected", "last_seen", "is_false_positive", "status"]
+    assert sorted(map(tuple, together.select(picked).collect())) == sorted(map(tuple, one_by_one.select(picked).collect()))
+    assert {r.title: r.occurrence_count for r in together.collect()} == {"x": 3, "y": 2, "k": 3, "f": 1}
 
 
 def test_incomplete_version_is_ignored(spark, tmp_path):
-    (tmp_path / "snap" / "v=3").mkdir(parents=True)
-    assert incremental.read_snapshot(spark, str(tmp_path / "snap"), TABLES["findings"]).count() == 0
+    (tmp_path / "store" / "snapshots" / "v=3").mkdir(parents=True)
+    (tmp_path / "store" / "deltas" / "batch_id=4").mkdir(parents=True)
+    assert incremental.read_snapshot(spark, str(tmp_path / "store"), TABLES["findings"]).count() == 0
 
 
 def test_daily_activity_with_late_data(spark, tmp_path):
