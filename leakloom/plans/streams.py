@@ -62,7 +62,7 @@ def stream_upsert(spark, sf_dir):
 SELECT strftime(event_ts, '%Y-%m-%d') AS event_day, event_type, count(*) AS events FROM finding_history GROUP BY ALL""", ["finding_history"])
 def stream_daily_activity(spark, sf_dir):
     """Daily counts of the event history from several small batches in any order."""
-    events = fx.view(spark, sf_dir, "finding_history").withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    events = fx.view(spark, sf_dir, "finding_history")
     path = _written(events, spark, "events-in", 4)
     target, checkpoint = work_dir(spark, "activity"), work_dir(spark, "checkpoint")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)

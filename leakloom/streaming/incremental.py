@@ -99,14 +99,17 @@ def stream_upsert(findings: DataFrame, patterns: DataFrame, root: str, schema: s
 
 def stream_daily_activity(events: DataFrame, target: str, checkpoint: str, late_by: str = "2 days",
                           time_column: str = "event_ts") -> StreamingQuery:
-    """Events per day and type. Days stay open for `late_by`; later events are dropped.
+    """Events per calendar day and type. Days stay open for `late_by`; later events are dropped.
 
-    Every batch writes the days it changed; `read_daily_activity` keeps the newest.
+    The day itself is the event time: a time window would be cut at midnight UTC
+    whatever the session's time zone is. Every batch writes the days it changed;
+    `read_daily_activity` keeps the newest.
     """
     counts = (
-        events.withWatermark(time_column, late_by)
-        .groupBy(F.window(time_column, "1 day"), "event_type").agg(F.count("*").alias("events"))
-        .select(F.to_date("window.start").alias("event_day"), "event_type", "events")
+        events.select(F.date_trunc("day", F.col(time_column).cast("timestamp")).alias("day_start"), "event_type")
+        .withWatermark("day_start", late_by)
+        .groupBy("day_start", "event_type").agg(F.count("*").alias("events"))
+        .select(F.to_date("day_start").alias("event_day"), "event_type", "events")
     )
 
     def save(batch: DataFrame, batch_id: int) -> None:

@@ -94,7 +94,7 @@ def test_incomplete_version_is_ignored(spark, tmp_path):
 
 def test_daily_activity_with_late_data(spark, tmp_path):
     source = tmp_path / "in"
-    schema = "event_ts timestamp, event_type string"
+    schema = "event_ts timestamp_ntz, event_type string"
 
     def add(*days):
         frame = spark.createDataFrame([(dt.datetime(2024, 1, d, 12), "x") for d in days], schema)
