@@ -410,14 +410,38 @@ def status_events(changes: DataFrame) -> DataFrame:
 COMMENTS_PER_PART = 1000
 
 
-def comment_threads(comments: DataFrame, per_part: int = COMMENTS_PER_PART) -> DataFrame:
+def comment_events(comments: DataFrame, analyst: str = "Current User") -> DataFrame:
+    """History rows for comments (finding_id, comment, commented_at)."""
+    return comments.select("finding_id", F.lit("comment_added").alias("event_type"), F.col("comment").alias("details"),
+                           F.lit(analyst).alias("analyst"), F.col("commented_at").alias("event_ts"))
+
+
+def _without_leading_blanks(comments: DataFrame) -> DataFrame:
+    """Blank comments count only after the first one with text. They are rare, so only they are joined."""
+    moment = F.struct("event_ts", "id")
+    filled = comments.where(tx.present(F.col("details")))
+    first = filled.groupBy("finding_id").agg(F.min(moment).alias("first"))
+    later = (comments.where(~tx.present(F.col("details"))).join(first, "finding_id")
+             .where(moment > F.col("first")).select(*comments.columns))
+    return filled.unionByName(later)
+
+
+def comment_threads(comments: DataFrame, findings: DataFrame | None = None,
+                    per_part: int = COMMENTS_PER_PART) -> DataFrame:
     """Comments (finding_id, event_ts, id, details) joined line by line, oldest first.
 
-    A thread comes in parts of `per_part` comments, so that no row has to hold a
-    thread of any length; nearly every finding has part 0 only, and the parts in
-    order are the whole thread.
+    With `findings`, a comment already stored on a finding comes first. A thread is
+    given in parts of `per_part` comments, so that no row has to hold a thread of any
+    length; nearly every finding has part 0 only, and the parts in order, joined by a
+    newline, are the whole thread.
     """
-    numbered = ranked(comments.select("finding_id", "event_ts", "id", "details"), ["finding_id"], ["event_ts", "id"])
+    rows = comments.select("finding_id", "event_ts", "id", "details")
+    if findings is not None:
+        stored = findings.where(tx.present(F.col("analyst_comment"))).select(
+            F.col("id").alias("finding_id"), F.lit(None).cast(rows.schema["event_ts"].dataType).alias("event_ts"),
+            F.lit(None).cast("bigint").alias("id"), F.col("analyst_comment").alias("details"))
+        rows = rows.unionByName(stored)
+    numbered = ranked(_without_leading_blanks(rows), ["finding_id"], ["event_ts", "id"])
     ordered = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("details", F.lit("")).alias("text"))))
     return (
         numbered.groupBy("finding_id", F.floor((F.col("seq") - 1) / per_part).alias("part"))

@@ -177,14 +177,11 @@ def list_findings_filtered(spark, sf_dir):
     return rel.list_findings(fx.view(spark, sf_dir, "findings"), "app2", "high", "open", include_fp=True)
 
 
-@query("scan_history", """
-SELECT s.id, s.app_name, s.scan_type, s.status, s.started_at AS created_at, count(f.id) AS total_findings,
-  cast(sum(CASE WHEN f.severity = 'critical' THEN 1 ELSE 0 END) AS BIGINT) AS critical,
-  cast(sum(CASE WHEN f.severity = 'high' THEN 1 ELSE 0 END) AS BIGINT) AS high,
-  cast(sum(CASE WHEN f.severity = 'medium' THEN 1 ELSE 0 END) AS BIGINT) AS medium,
-  cast(sum(CASE WHEN f.severity = 'low' THEN 1 ELSE 0 END) AS BIGINT) AS low
-FROM scans s LEFT JOIN findings f ON s.id = f.scan_id AND f.is_false_positive = false
-GROUP BY s.id, s.app_name, s.scan_type, s.status, s.started_at""", ["scans", "findings"])
+@query("scan_history", f"""
+WITH n AS (SELECT scan_id, count(*) AS total, {COUNTS_SQL} FROM findings WHERE NOT is_false_positive GROUP BY scan_id)
+SELECT id, app_name, scan_type, status, started_at AS created_at, coalesce(total, 0) AS total_findings,
+  {", ".join(f"coalesce({s}, 0) AS {s}" for s in catalog.SEVERITIES)}
+FROM scans LEFT JOIN n ON n.scan_id = id""", ["scans", "findings"])
 def scan_history(spark, sf_dir):
     return rel.scan_history(*_views(spark, sf_dir, "scans", "findings"))
 

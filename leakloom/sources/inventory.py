@@ -16,13 +16,14 @@ def _position(*more: Column) -> Column:
                     *(more or (F.monotonically_increasing_id().alias("row"),)))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Header CSV. Fields are trimmed; blank url, path, team and owner become null.
 
     The defaults for repo_type and criticality apply only where the column is absent.
-    Rows without a name are skipped.
+    Rows without a name are skipped. `multi_line` admits line breaks within quoted
+    fields; a file is then read by one task.
     """
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     columns = []
     for name in FIELDS:
         if name not in raw.columns:

@@ -172,10 +172,19 @@ def test_comment_threads_come_in_parts(spark):
     rows = [(n, 1, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n), f"c{n}") for n in range(25)] + [(99, 2, NOW, None)]
     frame = spark.createDataFrame(rows, "id long, finding_id long, event_ts timestamp_ntz, details string").repartition(5)
     got = {(r.finding_id, r.part): r.thread for r in life.comment_threads(frame, per_part=10).collect()}
-    assert got[(2, 0)] == ""
+    assert (2, 0) not in got
     assert "\n".join(got[(1, p)] for p in range(3)) == "\n".join(f"c{n}" for n in range(25))
 
 
+def test_blank_and_stored_comments(spark):
+    at = [dt.datetime(2024, 1, d) for d in range(1, 9)]
+    data = [(1, 1, at[0], ""), (2, 1, at[1], "a"), (3, 1, at[2], ""), (4, 1, at[3], "\nb"), (5, 2, at[0], ""), (6, 2, at[1], "x")]
+    frame = spark.createDataFrame(data, "id long, finding_id long, event_ts timestamp_ntz, details string")
+    stored = spark.createDataFrame([(1, ""), (2, "old"), (3, "kept")], "id long, analyst_comment string")
+    got = {r.finding_id: r.thread for r in life.comment_threads(frame, stored).collect()}
+    assert got == {1: "a\n\n\nb", 2: "old\n\nx", 3: "kept"}
+
+
 def test_enrichment(spark):
     known = life.known_vulnerabilities(spark)
     frame = spark.createDataFrame([(1, "lodash"), (2, "moment"), (3, None)], "id long, component string")

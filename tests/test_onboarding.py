@@ -71,6 +71,12 @@ def test_csv(spark, tmp_path):
         ("a", "github", "u", None, "medium", True), ("b", "", "v", 'q, "z"', "medium", False), ("c", "", None, None, "medium", False)]
 
 
+def test_csv_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "apps.csv"
+    path.write_text('name,team\na,"two\nlines"\n')
+    assert inventory.read_csv(spark, str(path), multi_line=True).first().team == "two\nlines"
+
+
 def test_json(spark, tmp_path):
     path = tmp_path / "apps.json"
     path.write_text(json.dumps({"applications": [{"name": " a ", "team": " t "}, {"name": ""}, {"name": "b", "repo_type": "local", "auto_scan": False}]}, indent=1))
