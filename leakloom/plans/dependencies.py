@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leakloom.functions import scoring
-from leakloom.operators import profile, sca
+from leakloom.operators import profile, runs, sca
 from leakloom.plans import fixtures as fx
+from leakloom.plans.detection import HITS_SQL
 from leakloom.plans.registry import query
+from leakloom.session import work_dir
 from leakloom.sources import reports as source
 
 # Columns both engines derive from `part` in the same way.
@@ -250,3 +252,30 @@ def python_findings_located(spark, sf_dir):
     files = fx.view(spark, sf_dir, "project_files").withColumn("app_name", F.regexp_replace("app_name", "^proj", "app"))
     found = sca.normalize_pip_audit(_reports(spark, sf_dir, "pip_audit"), profile.requirements_file(files))
     return found.select("app_name", "package_name", "cve_id", "file_path")
+
+
+_RUN_SQL = f"""
+apps AS (SELECT app_name FROM code_files UNION SELECT name FROM applications),
+v AS (SELECT app_name, severity FROM ({NPM_V7_SQL}) UNION ALL SELECT app_name, severity FROM ({NPM_V6_SQL})
+  UNION ALL SELECT app_name, severity FROM ({DEPENDENCY_CHECK_SQL})),
+every AS (SELECT app_name, severity, 'secret' AS kind FROM found UNION ALL SELECT app_name, severity, 'sca' FROM v)
+SELECT apps.app_name, 'full' AS scan_type, 'completed' AS status, count(*) FILTER (WHERE kind = 'secret') AS secrets_found,
+  count(*) FILTER (WHERE kind = 'sca') AS vulnerabilities_found, count(*) FILTER (WHERE severity = 'critical') AS critical_count,
+  count(*) FILTER (WHERE severity = 'high') AS high_count, count(*) FILTER (WHERE severity = 'medium') AS medium_count,
+  count(*) FILTER (WHERE severity = 'low') AS low_count
+FROM apps LEFT JOIN every ON every.app_name = apps.app_name GROUP BY apps.app_name"""
+
+
+@query("scan_run", f"WITH {HITS_SQL}, {_PARTS}, {_RUN_SQL}", ["code_files", "applications"])
+def scan_run(spark, sf_dir):
+    """A full run over all applications, read back from the store it fills."""
+    files = fx.code_files(spark, sf_dir)
+    apps = (files.select(F.col("app_name").alias("name")).distinct()
+            .union(fx.view(spark, sf_dir, "applications").select("name")))
+    none = _reports(spark, sf_dir, "safety").where(F.lit(False))
+    reports = {"npm": _reports(spark, sf_dir, "npm"), "safety": none, "pip_audit": none,
+               "dependency_check": _reports(spark, sf_dir, "dependency_check")}
+    now = F.expr("TIMESTAMP_NTZ '2024-03-01 00:00:00'")
+    done = runs.run_scan(spark, apps, files, reports, work_dir(spark, "store"), now)
+    return done.select("app_name", "scan_type", "status", "secrets_found", "vulnerabilities_found", "critical_count",
+                       "high_count", "medium_count", "low_count")

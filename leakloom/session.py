@@ -52,6 +52,18 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{_shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def complete_folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders below `root` that a job has written to the end."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    statuses = [s for s in system.listStatus(path) if s.isDirectory()]
+    return sorted(s.getPath().getName() for s in statuses
+                  if system.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` on reliable storage so that recomputation cannot change it."""
     _shared_root(df.sparkSession)

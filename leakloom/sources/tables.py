@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from leakloom.schemas import conform, table_schema
-from leakloom.session import cut
+from leakloom.session import complete_folders, cut
 
 # Columns rows are clustered by on write: readers filter and join on them.
 CLUSTERING = {
@@ -17,34 +17,40 @@ CLUSTERING = {
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A stored table; one nothing was appended to yet is empty."""
+    if table not in complete_folders(spark, root):
+        return spark.createDataFrame([], table_schema(table))
     return spark.read.schema(table_schema(table)).parquet(f"{root.rstrip('/')}/{table}")
 
 
-def append_table(df: DataFrame, root: str, table: str) -> None:
+def append_table(df: DataFrame, root: str, table: str, materialise: bool = True) -> None:
     """Append rows to a table.
 
     Findings are laid out by application. Rows are range-partitioned first: a task
     then writes few applications, and a large application is split over many tasks.
-    Finding the ranges reads the rows an extra time, so they are materialised before;
-    the scan that produced them, far larger than they are, runs once.
+    Finding the ranges reads the rows an extra time, so they are materialised before
+    (unless the caller has done that): the scan that produced them, far larger than
+    they are, runs once.
     """
     rows = conform(df, table)
     target = f"{root.rstrip('/')}/{table}"
     if table in CLUSTERING:
         keys = CLUSTERING[table]
-        laid_out = cut(rows).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        laid_out = (cut(rows) if materialise else rows).repartitionByRange(*keys).sortWithinPartitions(*keys)
         laid_out.write.mode("append").partitionBy("app_name").parquet(target)
     else:
         rows.write.mode("append").parquet(target)
 
 
-def append_secret_findings(findings: DataFrame, root: str, scan_id: Column, now: Column) -> None:
+def append_secret_findings(findings: DataFrame, root: str, scan_id: Column, now: Column,
+                           materialise: bool = True) -> None:
     """Scanner output into the store, open and dated."""
-    append_table(findings.withColumns({"scan_id": scan_id, "created_at": now}), root, "secret_findings")
+    append_table(findings.withColumns({"scan_id": scan_id, "created_at": now}), root, "secret_findings", materialise)
 
 
-def append_sca_findings(findings: DataFrame, root: str, scan_id: Column, now: Column) -> None:
-    append_table(findings.withColumns({"scan_id": scan_id, "created_at": now}), root, "sca_findings")
+def append_sca_findings(findings: DataFrame, root: str, scan_id: Column, now: Column,
+                        materialise: bool = True) -> None:
+    append_table(findings.withColumns({"scan_id": scan_id, "created_at": now}), root, "sca_findings", materialise)
 
 
 def append_comparison(comparison: DataFrame, root: str, now: Column) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from leakloom.catalog import BUILTIN_PATTERNS, Pattern
 from leakloom.operators.detect import eligible_files, scan_secrets
 from leakloom.operators.lifecycle import batch_arrivals, fold_arrivals, merge_arrivals
+from leakloom.session import complete_folders
 from leakloom.sources.files import stream_tree
 
 
@@ -29,18 +30,8 @@ def stream_scan(spark: SparkSession, root: str, target: str, checkpoint: str,
 
 
 def _complete(spark: SparkSession, root: str, prefix: str) -> list[int]:
-    """Numbers of the folders `prefix`N below `root` that were written to the end."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        return []
-    found = []
-    for status in system.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith(prefix) and system.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name[len(prefix):]))
-    return sorted(found)
+    """Numbers of the finished folders `prefix`N below `root`."""
+    return sorted(int(name[len(prefix):]) for name in complete_folders(spark, root) if name.startswith(prefix))
 
 
 SNAPSHOT, DELTA = "v=", "batch_id="

@@ -9,7 +9,7 @@ from leakloom.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
 FILE_IO = ("source_tree_scan", "stream_scan", "stream_upsert", "stream_daily_activity", "append_findings", "append_comparison",
-           "append_scan_record", "findings_export", "finding_history_export", "application_history_export")
+           "append_scan_record", "scan_run", "findings_export", "finding_history_export", "application_history_export")
 PLANNED = sorted(set(registered.queries()) - set(FILE_IO))
 
 
