@@ -48,7 +48,7 @@ def _hit(candidates: DataFrame, keys: DataFrame) -> DataFrame:
         F.col("c.scope").eqNullSafe(F.col("k.scope")) & (F.col("c.value") == F.col("k.value")),
         "left_semi",
     )
-    return matched.drop("scope", "value").distinct()
+    return matched.select("app_name", "key").distinct()
 
 
 def _lengths(keys: DataFrame) -> Column:
@@ -57,31 +57,32 @@ def _lengths(keys: DataFrame) -> Column:
 
 
 def suppression_keys(findings: DataFrame, patterns: DataFrame) -> dict[str, DataFrame]:
-    """Per kind, the distinct (application, field value) pairs some pattern covers.
+    """Per kind, the distinct (application, key) pairs some pattern covers; see `_key_of` for the keys.
 
     Prefix and substring tests are turned into equality: each distinct value is cut
     into its prefixes (or substrings) of exactly the lengths that occur among the
     patterns, which then meet the patterns in a hash join. Nothing is compared
-    pairwise and the pattern table may grow without bound.
+    pairwise and the pattern table may grow without bound. Cutting is row by row:
+    a row carries one piece and the key of its value, never the value itself.
     """
     paths = _pattern_keys(patterns, "file_path")
     snippets = _pattern_keys(patterns, "code_pattern")
     components = _pattern_keys(patterns, "component")
 
     def distinct_values(column: str) -> DataFrame:
-        return findings.where(tx.present(F.col(column))).select("app_name", column).distinct()
-
-    prefixes = distinct_values("file_path").withColumn("lengths", _lengths(paths)).withColumn(
-        "value", F.explode(F.transform(
-            F.filter("lengths", lambda n: n <= F.length("file_path")),
-            lambda n: F.left(F.col("file_path"), n)))).drop("lengths")
-    pieces = distinct_values("code_snippet").withColumn("lengths", _lengths(snippets)).withColumn(
-        "value", F.explode(F.array_distinct(F.flatten(F.transform(
-            F.filter("lengths", lambda n: n <= F.length("code_snippet")),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("code_snippet") - n + 1),
-                lambda start: F.substring(F.col("code_snippet"), start, n))))))).drop("lengths")
-    named = distinct_values("component").withColumn("value", F.col("component"))
+        return (findings.where(tx.present(F.col(column)))
+                .select("app_name", _key_of(column).alias("key"), F.col(column).alias("text")).distinct())
+
+    def per_length(values: DataFrame, keys: DataFrame) -> DataFrame:
+        lengths = values.withColumn("lengths", _lengths(keys))
+        return lengths.select("app_name", "key", "text", F.explode("lengths").alias("n")).where("n <= length(text)")
+
+    prefixes = per_length(distinct_values("file_path"), paths).select(
+        "app_name", "key", F.left("text", F.col("n")).alias("value"))
+    pieces = per_length(distinct_values("code_snippet"), snippets).select(
+        "app_name", "key", "text", "n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("start"),
+    ).select("app_name", "key", F.substring("text", F.col("start"), F.col("n")).alias("value"))
+    named = distinct_values("component").select("app_name", "key", F.col("text").alias("value"))
     return {
         "file_path": _hit(prefixes, paths),
         "component": _hit(named, components),
@@ -89,10 +90,15 @@ def suppression_keys(findings: DataFrame, patterns: DataFrame) -> dict[str, Data
     }
 
 
+def _key_of(column: str) -> Column:
+    """What stands for a value in joins: a digest for snippets, the value itself for short fields."""
+    return F.sha2(column, 256) if column == "code_snippet" else F.col(column)
+
+
 def _join_covered(findings: DataFrame, covered: DataFrame, column: str, how: str) -> DataFrame:
-    keyed = covered.withColumnsRenamed({"app_name": "_app", column: "_value"})
-    same = F.col("app_name").eqNullSafe(F.col("_app")) & (F.col(column) == F.col("_value"))
-    return findings.join(keyed, same, how).drop("_app", "_value")
+    keyed = covered.withColumnsRenamed({"app_name": "_app", "key": "_key"})
+    same = F.col("app_name").eqNullSafe(F.col("_app")) & (_key_of(column) == F.col("_key"))
+    return findings.join(keyed, same, how).drop("_app", "_key")
 
 
 INLINE_PATTERNS = 64

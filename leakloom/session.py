@@ -17,6 +17,8 @@ def build_session(app_name: str = "leakloom", master: str | None = None, **conf:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Checkpoints whose frames are gone leave the shared folder.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Split hot keys even where that costs another shuffle after the join.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -59,7 +59,7 @@ def append_comparison(comparison: DataFrame, root: str, now: Column) -> None:
 
 def append_scan_records(rollup: DataFrame, root: str, now: Column) -> None:
     """Rolled-up scans, and the legacy result table with their four counts."""
-    done = rollup.withColumn("completed_at", now)
+    done = cut(rollup.withColumn("completed_at", now))
     append_table(done, root, "scans")
     append_table(done.withColumn("scan_date", now), root, "scan_results")
 

@@ -56,3 +56,14 @@ def test_hot_group_is_cut_into_slices(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [r["count"] for r in sliced.groupBy(ordered.SLICE).count().collect()]
     assert len(sizes) == 4 and max(sizes) < 2000
+
+
+def test_numbering_of_all_rows_across_slices(spark):
+    rows = hot_rows(1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [(r.seq, r.t, r.id) for r in ordered.ranked(frame(spark, rows), [], ["t", "id"]).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = sorted((t, i) for i, _, t in rows)
+    assert sorted(got) == [(n + 1, t, i) for n, (t, i) in enumerate(expected)]
