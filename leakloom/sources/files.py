@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from urllib.parse import unquote, urlparse
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -68,14 +68,22 @@ def stream_tree(spark: SparkSession, root: str, max_files: int | None = None,
     return _shaped(reader.load(root), root)
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
+def _filesystem_opener():
+    """Function from a URI or path to (file system, path).
+
+    It is built here so that it travels to the tasks by value: they need not have
+    this package installed.
+    """
+    def opened(uri: str):
+        from urllib.parse import unquote, urlparse
+
+        from pyarrow import fs
 
-    if "://" in uri or uri.startswith("file:"):
         if uri.startswith("file:"):
             return fs.LocalFileSystem(), unquote(urlparse(uri).path)
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), uri
+        return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+    return opened
 
 
 def list_tree(applications: DataFrame, extensions: Sequence[str] = catalog.SCAN_EXTENSIONS,
@@ -84,21 +92,25 @@ def list_tree(applications: DataFrame, extensions: Sequence[str] = catalog.SCAN_
 
     The tree is listed level by level. All directories of a level are spread over the
     tasks anew, so a large application or a large subtree never ends up in one task.
-    Skipped directories are not descended into; a missing root contributes nothing.
+    Skipped directories and links to directories are not descended into; a missing
+    root contributes nothing.
     """
     spark = applications.sparkSession
     wanted, skipped = frozenset(extensions), frozenset(skip_names)
+    filesystem = _filesystem_opener()
 
     def frame(rows: list) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["app_name", "root", "path", "length"]).astype({"length": "Int64"})
 
     def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
         from pyarrow import fs
 
         for batch in batches:
             rows = []
             for name, root, directory in zip(batch["app_name"], batch["root"], batch["path"]):
-                system, base = _filesystem(root)
+                system, base = filesystem(root)
                 target = f"{base.rstrip('/')}/{directory}".rstrip("/")
                 for info in system.get_file_info(fs.FileSelector(target, allow_not_found=True)):
                     if info.base_name in skipped:
@@ -106,7 +118,9 @@ def list_tree(applications: DataFrame, extensions: Sequence[str] = catalog.SCAN_
                     path = f"{directory}/{info.base_name}".lstrip("/")
                     stem, dot, tail = info.base_name.rpartition(".")
                     if info.type == fs.FileType.Directory:
-                        rows.append((name, root, path, None))
+                        # Links to directories are not followed; they may form loops.
+                        if not (isinstance(system, fs.LocalFileSystem) and os.path.islink(info.path)):
+                            rows.append((name, root, path, None))
                     elif dot and stem and tail and f".{tail.lower()}" in wanted and info.size <= max_bytes:
                         rows.append((name, root, path, info.size))
             yield frame(rows)
@@ -127,11 +141,13 @@ def read_listed(listing: DataFrame, split_bytes: int = 128 * 1024 * 1024, batch_
 
     The number of tasks follows the total size of the files.
     """
+    filesystem = _filesystem_opener()
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, held = [], 0
             for name, root, path, length in zip(batch["app_name"], batch["root"], batch["path"], batch["length"]):
-                system, base = _filesystem(root)
+                system, base = filesystem(root)
                 with system.open_input_stream(f"{base.rstrip('/')}/{path}", compression=None) as stream:
                     rows.append((name, path, length, stream.read()))
                 held += int(length)

@@ -54,7 +54,8 @@ def test_scan_of_a_tree(spark, tree):
         ("deep/er/UPPER.JSON", 2, hashlib.sha256(SECRET.encode()).hexdigest()[:16])}
 
 
-def test_listing_includes_hidden_names(spark, tree):
+def test_listing_includes_hidden_names_and_follows_no_links(spark, tree):
+    (tree / "app2" / "loop").symlink_to(tree / "app2", target_is_directory=True)
     apps = spark.createDataFrame([("app1", f"{tree}/app1"), ("app2", f"file:{tree}/app2"), ("none", f"{tree}/none"), ("blank", "")],
                                  "name string, local_path string")
     listed = src.list_tree(apps)
