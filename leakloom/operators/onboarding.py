@@ -123,4 +123,5 @@ def accepted_applications(requests: DataFrame, applications: DataFrame, as_of: C
         "row.auto_scan",
         F.lit("active").alias("status"),
         as_of.alias("created_at"),
+        as_of.alias("updated_at"),
     )

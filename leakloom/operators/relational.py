@@ -49,12 +49,16 @@ def scan_activity(scans: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
 
 
 def app_last_scan(applications: DataFrame, scans: DataFrame) -> DataFrame:
-    """Applications with the time of their latest finished scan."""
+    """Applications with the time of their latest finished scan, which also updates them."""
     last = (
         scans.where(F.col("status") != "running").groupBy(F.col("app_name").alias("name"))
         .agg(F.max("completed_at").alias("last_scan_at"))
     )
-    return applications.drop("last_scan_at").join(last, "name", "left")
+    before = [F.col(c) for c in ("updated_at", "created_at") if c in applications.columns]
+    return (
+        applications.drop("last_scan_at").join(last, "name", "left")
+        .withColumn("updated_at", F.coalesce("last_scan_at", *before))
+    )
 
 
 def app_scanning_flag(applications: DataFrame, scans: DataFrame) -> DataFrame:

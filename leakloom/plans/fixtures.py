@@ -133,7 +133,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files to scan, spread over the cores because scanning is CPU-bound."""
-    return spread(view(spark, sf_dir, "code_files"))
+    return spread(view(spark, sf_dir, "code_files"), "file_id")
 
 
 def with_views(names: list[str], sql: str) -> str:

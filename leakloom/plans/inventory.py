@@ -112,7 +112,7 @@ def bulk_onboard_result(spark, sf_dir):
 
 @query("accepted_applications", f"""
 WITH {_OUTCOME} SELECT c.name, repo_type, repo_url, local_path, team, owner, criticality, auto_scan, 'active' AS status,
-  TIMESTAMP '2024-02-01 00:00:00' AS created_at
+  TIMESTAMP '2024-02-01 00:00:00' AS created_at, TIMESTAMP '2024-02-01 00:00:00' AS updated_at
 FROM checked c JOIN firsts f ON f.name = c.name AND f.first_valid = c.pos WHERE c.name NOT IN (SELECT name FROM applications)""",
        ["applications"])
 def accepted_applications(spark, sf_dir):

@@ -75,12 +75,12 @@ def _finished(scans):
 
 
 @query("app_last_scan", """
-SELECT a.id, a.name, s.last_scan_at FROM applications a LEFT JOIN (
+SELECT a.id, a.name, s.last_scan_at, coalesce(s.last_scan_at, a.created_at) AS updated_at FROM applications a LEFT JOIN (
   SELECT app_name, max(started_at + INTERVAL 1 HOUR) AS last_scan_at FROM scans WHERE status <> 'running' GROUP BY app_name) s
 ON s.app_name = a.name""", ["scans", "applications"])
 def app_last_scan(spark, sf_dir):
     scans, apps = _views(spark, sf_dir, "scans", "applications")
-    return rel.app_last_scan(apps, _finished(scans)).select("id", "name", "last_scan_at")
+    return rel.app_last_scan(apps, _finished(scans)).select("id", "name", "last_scan_at", "updated_at")
 
 
 @query("app_scanning_flag", """
