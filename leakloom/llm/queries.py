@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from leakloom.llm import mixing, trie_dedup, url_cascade
+from leakloom.llm import mixing, positional_index, trie_dedup, url_cascade
 
 QUERIES = {
     "op2_url_cascade": url_cascade.op2_url_cascade,
     "op8_trie_dedup": trie_dedup.op8_trie_dedup,
+    "op9_positional_index": positional_index.op9_positional_index,
     "op10_mix": mixing.op10_mix,
 }
 ORACLES = {
     "op2_url_cascade": url_cascade.OP2_SQL,
     "op8_trie_dedup": trie_dedup.OP8_SQL,
+    "op9_positional_index": positional_index.OP9_SQL,
     "op10_mix": mixing.OP10_SQL,
 }
