@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leakloom.llm import mixing, positional_index, trie_dedup, url_cascade
+from leakloom.llm import mixing, positional_index, toxicity, trie_dedup, url_cascade
 
 QUERIES = {
     "op2_url_cascade": url_cascade.op2_url_cascade,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_trie_dedup": trie_dedup.op8_trie_dedup,
     "op9_positional_index": positional_index.op9_positional_index,
     "op10_mix": mixing.op10_mix,

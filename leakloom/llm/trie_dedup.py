@@ -183,7 +183,7 @@ def _row_hashes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bodies = [normalised(t) for t in batch["text"]]
         yield pd.DataFrame({
             "doc_id": batch["doc_id"].array, "size": [len(b) for b in bodies],
-            "sha": [hashlib.sha256(b).hexdigest() for b in bodies], "points": [len(t or "") for t in batch["text"]]})
+            "sha": pd.Series([hashlib.sha256(b).hexdigest() for b in bodies], dtype=object), "points": [len(t or "") for t in batch["text"]]})
 
 
 def trie_owners(documents: DataFrame) -> DataFrame:
