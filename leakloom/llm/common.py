@@ -10,6 +10,8 @@ from leakloom.session import work_dir
 
 #: The six white-space characters of the contracts, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
+#: Rows of a side that may be broadcast: a few words each, so some ten megabytes.
+BROADCAST_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,10 +26,9 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parallel(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Spread the rows of a table of few splits over the cores; larger tables stay as they are read."""
-    cores = least or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def counted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a stored table of few enough rows; a larger one is left to shuffled joins."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def fold_ascii(column: Column) -> Column:

@@ -22,12 +22,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from leakloom.llm.common import fold_ascii, on_keys, stored
+from leakloom.llm.common import counted, fold_ascii, on_keys, stored
 
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Rows of a side that may be broadcast: at most some ten bytes each.
-BROADCAST_ROWS = 500_000
 
 
 def _fold_word(word: Column) -> Column:
@@ -48,11 +46,6 @@ def _positions(texts: DataFrame, *columns: str) -> DataFrame:
             .select(*columns, "n_words", (F.col("_at") - F.col("_head")).alias("pos"), _fold_word(F.col("_word")).alias("word")))
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    """Broadcast a stored table if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def build_index(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Stored postings (row, doc_id, n_words, pos, term) of the words in `vocabulary` (word, term).
 
@@ -61,7 +54,7 @@ def build_index(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     texts = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     words = _positions(texts, "row", "doc_id")
-    return stored(words.join(_counted(vocabulary), "word", "left")
+    return stored(words.join(counted(vocabulary), "word", "left")
                   .where(F.col("term").isNotNull() | (F.col("pos") >= F.col("n_words") - 1))
                   .select("row", "doc_id", "n_words", "pos", "term"), "positional-index")
 
@@ -95,18 +88,18 @@ def occurrences(index: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     postings = index.where("term IS NOT NULL").select("row", "pos", "term")
     counts = stored(postings.groupBy("term").agg(F.count("*").alias("n")), "term-counts")
     pairs = stored(_rare_pairs(items, counts, window), "rare-pairs")
-    first = (postings.join(_counted(pairs), "term")
+    first = (postings.join(counted(pairs), "term")
              .select("row", "item", (F.col("pos") - F.col("at")).alias("diagonal"), "term2",
                      (F.col("pos") - F.col("at") + F.col("at2")).alias("pos2")))
     second_terms = stored(pairs.where("term2 IS NOT NULL").select(F.col("term2").alias("term")).distinct(), "second-terms")
-    second = (postings.join(_counted(second_terms), "term", "left_semi")
+    second = (postings.join(counted(second_terms), "term", "left_semi")
               .select("row", F.col("pos").alias("pos2"), F.col("term").alias("term2")))
     alignments = stored(
         first.where("term2 IS NULL").select("row", "item", "diagonal")
         .unionByName(on_keys(first, second, ["row", "pos2", "term2"]).select("row", "item", "diagonal"))
         .distinct(), "alignments")
     rows = stored(alignments.select("row").distinct(), "aligned-rows")
-    near = postings.join(_counted(rows), "row", "left_semi")
+    near = postings.join(counted(rows), "row", "left_semi")
     expected = (on_keys(alignments, items.select("item", "item_id", "n_words", F.col("pos").alias("at"), "term"), ["item"])
                 .withColumn("pos", F.col("diagonal") + F.col("at")))
     matched = on_keys(expected, near, ["row", "pos", "term"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leakloom.llm import mixing, positional_index, token_records, toxicity, trie_dedup, url_cascade
+from leakloom.llm import mixing, parity_join, positional_index, token_records, toxicity, trie_dedup, url_cascade
 
 QUERIES = {
     "op2_url_cascade": url_cascade.op2_url_cascade,
+    "op3_parity_join": parity_join.op3_parity_join,
     "op5_token_records": token_records.op5_token_records,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_trie_dedup": trie_dedup.op8_trie_dedup,
