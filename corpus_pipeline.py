@@ -1,4 +1,75 @@
-STAGES = []
+"""Training corpus from `documents`: five stages, each written and reread before the next.
+
+A doc_id names a document: where a stage drops a document, all rows with its id go.
+Rows without an id can't be named and are only touched by decisions on rows
+(toxicity, mixing). Empty tables pass through every stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from leakloom.llm import mixing, parity_join, positional_index, token_records, toxicity
+from leakloom.llm.common import counted, on_workers, stored
+
+
+def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """`docs` without those whose id has no row with `stays`; ids without a row stay."""
+    dropped = stored(decisions.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("stays").alias("stays"))
+                     .where("NOT stays").select("doc_id"), "dropped-ids")
+    return docs.join(counted(dropped), "doc_id", "left_anti").select(*docs.columns)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold."""
+    on_workers(spark)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(toxicity.toxicity(model)("text") < toxicity.THRESHOLD)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each component of near duplicates."""
+    on_workers(spark)
+    found = parity_join.parity_join(docs)
+    return _without(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = positional_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select("doc_id", (~F.col("contaminated")).alias("stays")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    others = [c for c in docs.columns if c not in ("doc_id", "source")]
+    taken = mixing.mix_sources(docs, keep=others)
+    return (taken.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+            .select(*docs.columns))
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token records of all documents, as read back from their files."""
+    on_workers(spark)
+    root, index = token_records.write_records(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_records.read_back(root, index)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("n-gram Jaccard join", one_of_near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources to target weights", mixed),
+    ("token-ID / binary output", tokenised),
+]
+
+#: Learning, and the tokenizer, can't be said in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + "-".join(name.lower().replace("/", " ").split()))
+    return docs

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+import leakloom
 from leakloom.session import work_dir
 
 #: The six white-space characters of the contracts, as a Java character class body.
@@ -15,6 +19,20 @@ BROADCAST_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package, also where they were not started with it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_leakloom_shipped", False):
+        return
+    package = Path(leakloom.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="leakloom-")) / "leakloom.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._leakloom_shipped = True
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write `df` below the shared folder and read it back.
 

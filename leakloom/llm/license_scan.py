@@ -26,6 +26,8 @@ from collections.abc import Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from leakloom.llm.common import on_workers
+
 #: Usual notices of licences.
 TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -152,6 +154,7 @@ def scan_licenses(documents: DataFrame, templates: Sequence[tuple[str, str]] = T
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
+    on_workers(spark)
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"),
                         F.array_join("licenses.license", ",").alias("licenses"),

@@ -37,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leakloom.llm.common import counted, stored
+from leakloom.llm.common import counted, on_workers, stored
 from leakloom.llm.components import components
 from leakloom.llm.hashing import WordHashes, batched, mix, shingle_sets
 
@@ -496,4 +496,5 @@ def parity_join(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
 
 def op3_parity_join(spark, sf_dir: str) -> DataFrame:
+    on_workers(spark)
     return parity_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from leakloom.llm.common import stored
+from leakloom.llm.common import on_workers, stored
 
 SAMPLE_ROWS = 20_000
 MOST_TERMS = 5_000
@@ -287,6 +287,7 @@ def toxicity(model: Model):
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    on_workers(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return (documents.select("doc_id", "text").withColumn("score", toxicity(model)("text"))

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from leakloom.llm.common import SPACE
+from leakloom.llm.common import on_workers, SPACE
 
 _DELETED = b" \t\n\x0b\x0c\r"
 TRIE_BYTES = 24_000_000
@@ -215,6 +215,7 @@ def mark_copies(documents: DataFrame) -> DataFrame:
 
 
 def op8_trie_dedup(spark, sf_dir: str) -> DataFrame:
+    on_workers(spark)
     return mark_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
