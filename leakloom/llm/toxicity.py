@@ -19,6 +19,7 @@ scored alike; null ids are scored, but never learnt from or held out.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -46,7 +47,7 @@ PRIOR = np.array([-3.0, 3.0, 2.0, 1.5, 0.5, 0.0])
 SPREAD = 2.0
 
 _END = "$"
-_TABLE = 300_000
+_TABLE = 500_000
 _WORD = re.compile(r"[^\W_]+(?:[*@'0-9]+[^\W_]+)*")
 _QUOTES = "\"“”„«»"
 _REPORTING = frozenset(("said", "says", "quote", "quoted", "called", "wrote", "word", "term"))
@@ -56,38 +57,46 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-class LexiconTrie:
-    """Trie of terms; `match` runs the Levenshtein automaton of a word along it."""
+class LexiconTrie(dict):
+    """Trie of terms; indexing by a word gives 0: no term, 1: a term as it is, 2: a misspelt term.
+
+    `match` runs the Levenshtein automaton of a word along the trie. Answers are
+    remembered until the table is full.
+    """
 
     def __init__(self, terms: Iterable[str]):
+        super().__init__()
         self.root: dict = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
-        self.seen: dict[str, int] = {}
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[tuple[int, int], set[str]] = {}
         for term in terms:
             node = self.root
             for letter in term:
                 node = node.setdefault(letter, {})
-            node[""] = 1 if len(term.rstrip(_END)) >= FUZZY_FROM else 0
-            self.heads.add(term[:2])
-            if node[""]:
-                self.tails.add(term[2:4])
-
-    def __call__(self, word: str) -> int:
-        """0: no term, 1: a term as it is, 2: a misspelt term."""
-        kind = self.seen.get(word)
-        if kind is None:
-            if len(self.seen) >= _TABLE:
-                self.seen.clear()
-            kind = self.seen[word] = self._look_up(word)
+            fuzzy = len(term.rstrip(_END)) >= FUZZY_FROM
+            node[""] = int(fuzzy)
+            # One edit leaves one half of a term as it is, the second half at most one place off.
+            half = len(term) // 2 if fuzzy else len(term)
+            self.heads.setdefault(half, set()).add(term[:half])
+            if fuzzy:
+                tail = term[half:half + 4]
+                self.tails.setdefault((half, len(tail)), set()).add(tail)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _TABLE:
+            self.clear()
+        kind = self[word] = self._look_up(word + _END)
         return kind
 
     def _look_up(self, word: str) -> int:
-        # One edit leaves the first two letters of a term in place, or the next two at most one place off.
-        if word[:2] not in self.heads and not (
-                word[2:4] in self.tails or word[1:3] in self.tails or word[3:5] in self.tails):
-            return 0
-        return self.match(word + _END)
+        for half, heads in self.heads.items():
+            if word[:half] in heads:
+                return self.match(word)
+        for (half, n), tails in self.tails.items():
+            if (word[half:half + n] in tails or word[half - 1:half - 1 + n] in tails
+                    or word[half + 1:half + 1 + n] in tails):
+                return self.match(word)
+        return 0
 
     def match(self, word: str) -> int:
         best = 3
@@ -114,7 +123,8 @@ def _step(states: tuple, letter: str, word: str) -> tuple:
         if place < len(word) and word[place] == letter:
             after[place + 1] = min(errors, after.get(place + 1, 2))
         elif errors == 0:
-            after[place] = min(1, after.get(place, 2))          # the term's letter is missing
+            if letter != _END:
+                after[place] = min(1, after.get(place, 2))          # the term's letter is missing
             if letter != _END and place < len(word) and word[place] != _END:
                 after[place + 1] = min(1, after.get(place + 1, 2))  # another letter in its place
             if place + 1 < len(word) and word[place + 1] == letter:
@@ -122,19 +132,25 @@ def _step(states: tuple, letter: str, word: str) -> tuple:
     return tuple(after.items())
 
 
+@functools.lru_cache(maxsize=1)
+def trie_of(terms: tuple[str, ...]) -> LexiconTrie:
+    """One trie per worker process: later tasks find the words of earlier ones."""
+    return LexiconTrie(terms)
+
+
 @dataclass
 class Model:
     terms: list[str]
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def features(self, texts: Iterable[str | None]) -> np.ndarray:
-        trie = LexiconTrie(self.terms)
+        trie = trie_of(tuple(self.terms))
         return np.array([text_features(t, trie) for t in texts]).reshape(-1, len(PRIOR))
 
 
 def text_features(text: str | None, trie: LexiconTrie) -> tuple:
     words = words_of(text)
-    kinds = list(map(trie, words))
+    kinds = list(map(trie.__getitem__, words))
     exact = misspelt = quoted = 0
     if any(kinds):
         spans = None
@@ -176,16 +192,13 @@ def learning_rows(documents: DataFrame, labels: DataFrame, sample_rows: int) ->
     return stored(texts.select("text", "toxic"), "toxicity-sample")
 
 
-def _starts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts of each kind that have a word with a start, summed per task."""
+def _word_counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts that have a word, summed per task: clean ones by word, toxic ones by word and the word before it."""
     counts = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"]):
-            own = set()
-            for word in set(words_of(text)):
-                marked = word[:LONGEST] + _END
-                own.update(marked[:n] for n in range(SHORTEST, len(marked) + 1))
-            counts[int(toxic)].update(own)
+            words = words_of(text)
+            counts[int(toxic)].update(set(zip(words, ["", *words])) if toxic else set(words))
         if len(counts[0]) + len(counts[1]) > 500_000:
             yield from _count_rows(counts)
             counts = (Counter(), Counter())
@@ -193,11 +206,11 @@ def _starts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count_rows(counts: tuple[Counter, Counter], rows: int = 20_000) -> Iterator[pd.DataFrame]:
-    terms = list(counts[0].keys() | counts[1].keys())
-    for at in range(0, len(terms), rows):
-        part = terms[at:at + rows]
-        yield pd.DataFrame({"term": pd.Series(part, dtype=object), "toxic": [counts[1][t] for t in part],
-                            "clean": [counts[0][t] for t in part]})
+    found = [(word, None, 0, n) for word, n in counts[0].items()]
+    found += [(word, context, n, 0) for (word, context), n in counts[1].items()]
+    for at in range(0, len(found), rows):
+        frame = pd.DataFrame(found[at:at + rows], columns=["word", "context", "toxic", "clean"])
+        yield frame.astype({"word": object, "context": object})
 
 
 def learn_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
@@ -209,7 +222,15 @@ def learn_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
     n = float(toxic + clean)
     seen = F.col("toxic") + F.col("clean")
     part = lambda have, rows: F.when(have > 0, have * F.log(have * n / (seen * float(rows)))).otherwise(0.0)
-    found = (sample.mapInPandas(_starts, "term string, toxic long, clean long")
+    marked = F.concat(F.substring("word", 1, LONGEST), F.lit(_END))
+    starts = F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.length(marked))),
+                         lambda n: F.substring(marked, F.lit(1), n))
+    # A word counts as often as it follows different words, so that copies of one text are little evidence.
+    # A text counts once for each of its words that have the start.
+    found = (sample.mapInPandas(_word_counts, "word string, context string, toxic long, clean long")
+             .groupBy("word", "context").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+             .groupBy("word").agg(F.least(F.sum("toxic"), F.count("context")).alias("toxic"), F.sum("clean").alias("clean"))
+             .select(F.explode(starts).alias("term"), "toxic", "clean")
              .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
              .withColumn("evidence", 2 * (part(F.col("toxic"), toxic) + part(F.col("clean"), clean)))
              .where((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)) & (F.col("evidence") >= LEAST_EVIDENCE)
@@ -279,7 +300,7 @@ def toxicity(model: Model):
     """Function from a text column to its score."""
     @F.pandas_udf(DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trie = LexiconTrie(model.terms)
+        trie = trie_of(tuple(model.terms))
         for texts in batches:
             x = np.array([text_features(t, trie) for t in texts]).reshape(-1, len(PRIOR))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
