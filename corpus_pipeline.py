@@ -45,8 +45,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     others = [c for c in docs.columns if c not in ("doc_id", "source")]
     taken = mixing.mix_sources(docs, keep=others)
-    return (taken.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-            .select(*docs.columns))
+    repeated = taken.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(f"_keep_{c}").alias(c) if c in others else c for c in docs.columns])
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def mix_sources(documents: DataFrame, keep: Sequence[str] = (), weights: Sequenc
                 share: float = SHARE, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
     """Copies of each row of `documents` (doc_id, text, source) that the mix takes.
 
-    Returns doc_id, source, size, source_size, target, copies, and the columns `keep`.
+    Returns doc_id, source, size, source_size, target, copies, and each column c of `keep` as _keep_c.
     The text is read once; only ids, sources and sizes are shuffled. Sums over
     blocks give each source's size and each block's start, so a source with any
     share of the rows is spread over its blocks.
@@ -109,7 +109,7 @@ def mix_sources(documents: DataFrame, keep: Sequence[str] = (), weights: Sequenc
             .withColumn("_at", F.col("_start") + within * F.col("_rate"))
             .withColumn("copies", F.shiftright(F.col("_at") + F.col("_rate"), PLACES) - F.shiftright(F.col("_at"), PLACES))
             .select("doc_id", "source", "size", "source_size", "target", "copies",
-                    *[F.col(f"_keep_{c}").alias(c) for c in keep]))
+                    *[f"_keep_{c}" for c in keep]))
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:
