@@ -22,6 +22,7 @@ files and an empty index.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
@@ -35,7 +36,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from leakloom.llm.common import before, stored
+from leakloom.llm.common import before, on_workers, stored
 from leakloom.session import work_dir
 
 END_ID = 1
@@ -165,6 +166,12 @@ class Encoder:
             self.young[word] = self._plain(word)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process: later tasks find the words of earlier ones."""
+    return Encoder(path)
+
+
 def _parts(word: str) -> tuple[str, str]:
     """Stem and tail that are encoded like the word: a mark after letters is a piece of its own, and A-Z is folded."""
     stem, tail = (word[:-1], word[-1]) if word[-1] in ".," and word[:-1].isalpha() and max(word) < "\u0250" else (word, "")
@@ -173,7 +180,7 @@ def _parts(word: str) -> tuple[str, str]:
 
 def _writer(root: str, tokenizer_path: str, end_id: int | None, file_bytes: int):
     def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         part = TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         system, base = pyarrow.fs.FileSystem.from_uri(root)
@@ -270,6 +277,7 @@ def read_at(root: str, index: DataFrame) -> DataFrame:
 
 
 def op5_token_records(spark, sf_dir: str) -> DataFrame:
+    on_workers(spark)
     import public_tokenizers
 
     root, index = write_records(spark.read.parquet(f"{sf_dir}/documents.parquet"),
