@@ -13,14 +13,14 @@ COLUMNS = ("app_name", "package_manager", "package_name", "current_version", "vu
            "fixed_version", "cve_id", "severity", "cvss_score", "description", "remediation", "file_path")
 
 
-def _text(path: str, default: str | None = None, of: str = "entry") -> Column:
+def _text(name: str, default: str | None = None) -> Column:
     """String field with a default; JSON null counts as missing."""
-    value = F.try_variant_get(F.col(of), path, "string")
+    value = F.col(f"entry.{name}")
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
-def _number(path: str, default: Column) -> Column:
-    return F.coalesce(F.try_variant_get(F.col("entry"), path, "double"), default)
+def _number(name: str, default: Column) -> Column:
+    return F.coalesce(F.col(f"entry.{name}").try_cast("double"), default)
 
 
 def _in_directory(file_name: Column | str) -> Column:
@@ -35,23 +35,18 @@ def _finding(entries: DataFrame, **columns: Column) -> DataFrame:
 
 def _via_cves() -> Column:
     """CVE ids of the object items in `via`; plain strings name other packages."""
-    items = F.filter(
-        F.try_variant_get(F.col("entry"), "$.via", "array<variant>"),
-        lambda item: F.startswith(F.schema_of_variant(item), F.lit("OBJECT")),
-    )
-    ids = F.transform(items, lambda item: F.coalesce(
-        F.try_variant_get(item, "$.cve", "array<string>"),
-        F.array_compact(F.array(F.try_variant_get(item, "$.cve", "string")))))
+    items = F.filter(F.col("entry.via"), src.is_object)
+    cves = F.transform(items, lambda item: src.read_json(item, "cve string")["cve"])
+    ids = F.transform(F.array_compact(cves), lambda cve: F.coalesce(src.read_json(cve, "array<string>"), F.array(cve)))
     joined = F.array_join(F.flatten(ids), ", ")
     return F.coalesce(F.nullif(joined, F.lit("")), F.lit("N/A"))
 
 
-def normalize_npm_v7(reports: DataFrame) -> DataFrame:
-    package = F.col("package")
-    severity = _text("$.severity", "unknown")
-    version = _text("$.range", "unknown")
-    return _finding(
-        src.npm_v7_entries(reports),
+def _npm_v7_columns() -> dict[str, Column]:
+    package = F.col("name")
+    severity = _text("severity", "unknown")
+    version = _text("range", "unknown")
+    return dict(
         package_manager=F.lit("npm"),
         package_name=package,
         current_version=version,
@@ -66,27 +61,40 @@ def normalize_npm_v7(reports: DataFrame) -> DataFrame:
     )
 
 
-def normalize_npm_v6(reports: DataFrame) -> DataFrame:
-    package = _text("$.module_name", "unknown")
-    severity = _text("$.severity", "unknown")
-    version = _text("$.vulnerable_versions", "unknown")
-    return _finding(
-        src.npm_v6_entries(reports),
+def _npm_v6_columns() -> dict[str, Column]:
+    package = _text("module_name", "unknown")
+    severity = _text("severity", "unknown")
+    version = _text("vulnerable_versions", "unknown")
+    return dict(
         package_manager=F.lit("npm"),
         package_name=package,
         current_version=version,
         vulnerable_version=version,
-        fixed_version=_text("$.patched_versions", "unknown"),
-        cve_id=_text("$.cve", "N/A"),
+        fixed_version=_text("patched_versions", "unknown"),
+        cve_id=_text("cve", "N/A"),
         severity=severity,
-        cvss_score=_number("$.cvss.score", scoring.severity_to_cvss(severity)),
-        description=F.coalesce(_text("$.title"), F.concat(F.lit("Vulnerability in "), package)),
-        remediation=F.coalesce(_text("$.recommendation"),
+        cvss_score=_number("cvss.score", scoring.severity_to_cvss(severity)),
+        description=F.coalesce(_text("title"), F.concat(F.lit("Vulnerability in "), package)),
+        remediation=F.coalesce(_text("recommendation"),
                                F.concat(F.lit("Update "), package, F.lit(" to a secure version"))),
         file_path=_in_directory("package.json"),
     )
 
 
+def normalize_npm_v7(reports: DataFrame) -> DataFrame:
+    return _finding(src.npm_records(reports).where("version = 7"), **_npm_v7_columns())
+
+
+def normalize_npm_v6(reports: DataFrame) -> DataFrame:
+    return _finding(src.npm_records(reports).where("version = 6"), **_npm_v6_columns())
+
+
+def normalize_npm(reports: DataFrame) -> DataFrame:
+    """Findings of either report version, from one parse."""
+    new, old = _npm_v7_columns(), _npm_v6_columns()
+    return _finding(src.npm_records(reports), **{c: F.when(F.col("version") == 7, new[c]).otherwise(old[c]) for c in new})
+
+
 def _requirements(entries: DataFrame, requirements: DataFrame | None) -> DataFrame:
     """Entries with the requirements file of their application."""
     if requirements is None:
@@ -99,34 +107,34 @@ def normalize_safety(reports: DataFrame, requirements: DataFrame | None = None)
     return _finding(
         _requirements(src.safety_entries(reports), requirements),
         package_manager=F.lit("pip"),
-        package_name=_text("$.package", "unknown"),
-        current_version=_text("$.installed_version", "unknown"),
-        vulnerable_version=_text("$.vulnerable_spec", "unknown"),
-        fixed_version=_text("$.safe_version", "See advisory"),
-        cve_id=_text("$.vulnerability_id", "N/A"),
-        severity=scoring.id_severity(_text("$.vulnerability_id")),
+        package_name=_text("package", "unknown"),
+        current_version=_text("installed_version", "unknown"),
+        vulnerable_version=_text("vulnerable_spec", "unknown"),
+        fixed_version=_text("safe_version", "See advisory"),
+        cve_id=_text("vulnerability_id", "N/A"),
+        severity=scoring.id_severity(_text("vulnerability_id")),
         cvss_score=F.lit(0.0),
-        description=_text("$.advisory", "Python package vulnerability"),
-        remediation=F.concat(F.lit("Update "), _text("$.package", "package"), F.lit(" to version "),
-                             _text("$.safe_version", "latest")),
+        description=_text("advisory", "Python package vulnerability"),
+        remediation=F.concat(F.lit("Update "), _text("package", "package"), F.lit(" to version "),
+                             _text("safe_version", "latest")),
         file_path=_in_directory(F.col("requirements_file")),
     )
 
 
 def normalize_pip_audit(reports: DataFrame, requirements: DataFrame | None = None) -> DataFrame:
-    fixes = F.try_variant_get(F.col("entry"), "$.fix_versions", "array<string>")
+    fixes = F.col("entry.fix_versions")
     return _finding(
         _requirements(src.pip_audit_entries(reports), requirements),
         package_manager=F.lit("pip"),
-        package_name=_text("$.package", "unknown"),
-        current_version=_text("$.installed_version", "unknown"),
-        vulnerable_version=_text("$.vulnerable_spec", "unknown"),
+        package_name=_text("package", "unknown"),
+        current_version=_text("installed_version", "unknown"),
+        vulnerable_version=_text("vulnerable_spec", "unknown"),
         fixed_version=F.coalesce(F.try_element_at(fixes, F.lit(1)), F.lit("See advisory")),
-        cve_id=_text("$.id", "N/A"),
-        severity=scoring.id_severity(_text("$.id")),
+        cve_id=_text("id", "N/A"),
+        severity=scoring.id_severity(_text("id")),
         cvss_score=F.lit(0.0),
-        description=_text("$.description", "Python package vulnerability"),
-        remediation=F.concat(F.lit("Update "), _text("$.package", "package"), F.lit(" to a secure version")),
+        description=_text("description", "Python package vulnerability"),
+        remediation=F.concat(F.lit("Update "), _text("package", "package"), F.lit(" to a secure version")),
         file_path=_in_directory(F.col("requirements_file")),
     )
 
@@ -146,10 +154,10 @@ def normalize_dependency_check(reports: DataFrame) -> DataFrame:
         current_version=jar_version(F.coalesce(name, F.lit(""))),
         vulnerable_version=F.lit("unknown"),
         fixed_version=F.lit("See advisory"),
-        cve_id=_text("$.name", "N/A"),
-        severity=F.lower(_text("$.severity", "unknown")),
-        cvss_score=_number("$.cvssv3.baseScore", F.lit(0.0)),
-        description=_text("$.description", "Maven dependency vulnerability"),
+        cve_id=_text("name", "N/A"),
+        severity=F.lower(_text("severity", "unknown")),
+        cvss_score=_number("cvssv3.baseScore", F.lit(0.0)),
+        description=_text("description", "Maven dependency vulnerability"),
         remediation=F.lit("Update dependency to a secure version"),
         file_path=_in_directory("pom.xml"),
     )
@@ -169,8 +177,7 @@ def normalize_all(npm: DataFrame, safety: DataFrame, pip_audit: DataFrame, depen
     """
     covered = safety.select("app_name").distinct()
     parts = [
-        normalize_npm_v7(npm),
-        normalize_npm_v6(npm),
+        normalize_npm(npm),
         normalize_safety(safety, requirements),
         normalize_pip_audit(pip_audit.join(covered, "app_name", "left_anti"), requirements),
         normalize_dependency_check(dependency_check),

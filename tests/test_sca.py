@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from leakloom.operators import profile, sca
 from leakloom.sources import reports as src
@@ -71,6 +72,38 @@ def test_malformed_reports_are_set_aside(spark):
         assert normalize(frame).count() == 0
 
 
+def test_repeated_keys_and_entries_that_are_no_objects(spark):
+    npm = reports(spark, '{"vulnerabilities":{"p":{"severity":"low"}},"vulnerabilities":{"q":{"severity":"low","severity":"high"},"r":"x",'
+                         '"s":[1],"t":null,"u":3,"q":{"severity":"critical"},"v":{"range":"a","range":"b"}}}')
+    rows = {r.package_name: (r.severity, r.current_version) for r in sca.normalize_npm_v7(npm).collect()}
+    assert rows == {"q": ("critical", "unknown"), "v": ("unknown", "b")}
+    assert sorted(r.text for r in src.entry_rejects(npm, "npm").collect() if r.text) == ["3", "[1]", "x"]
+    lists = reports(spark, [["pkg", "<1", "1.0", "adv", "123"], {"package": "p"}, "x", None])
+    assert [r.package_name for r in sca.normalize_safety(lists).collect()] == ["p"]
+    assert src.entry_rejects(lists, "safety").count() == 3
+    audit = reports(spark, {"vulnerabilities": {"p": "x"}}, {"vulnerabilities": ["x", {"id": "CVE-1"}]})
+    assert [r.cve_id for r in sca.normalize_pip_audit(audit).collect()] == ["CVE-1"]
+    check = reports(spark, {"dependencies": ["x", {"fileName": "a", "vulnerabilities": ["y", {"name": "C"}]}, {"vulnerabilities": "z"}]})
+    assert [(r.package_name, r.cve_id) for r in sca.normalize_dependency_check(check).collect()] == [("a", "C")]
+
+
+def test_one_parse_gives_both_npm_versions(spark):
+    frame = reports(spark, {"vulnerabilities": {"p": {"severity": "high"}}}, {"advisories": {"1": {"module_name": "m", "cvss": {"score": "4.5"}}}})
+    both = sorted(map(tuple, sca.normalize_npm(frame).collect()))
+    assert both == sorted(map(tuple, sca.normalize_npm_v7(frame).union(sca.normalize_npm_v6(frame)).collect()))
+    assert {r[8] for r in both} == {7.5, 4.5}
+
+
+def test_a_report_beyond_128_megabytes(spark):
+    """Made where it is read: 600 entries of 240 kB each."""
+    text = F.concat(F.lit('{"dependencies":[{"fileName":"a.jar","vulnerabilities":['), F.array_join(F.transform(
+        F.sequence(F.lit(1), F.lit(600)), lambda i: F.concat(F.lit('{"name":"CVE-'), i.cast("string"), F.lit('","description":"'),
+                                                             F.repeat(F.lit("d"), 240_000), F.lit('"}'))), ","), F.lit("]}]}"))
+    frame = spark.range(1).select(F.lit("a").alias("app_name"), F.lit("/d").alias("directory"), text.alias("report"))
+    assert frame.select(F.length("report")).first()[0] > 128 * 2**20
+    assert sca.normalize_dependency_check(frame).select("cve_id").distinct().count() == 600
+
+
 def test_safety_is_preferred_per_application(spark):
     safety = reports(spark, [], app="a")
     audit = reports(spark, {"vulnerabilities": [{"package": "x"}]}, app="a").unionAll(reports(spark, {"vulnerabilities": [{"package": "y"}]}, app="b"))
