@@ -42,51 +42,57 @@ def _scoped(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("scope", F.explode(scopes))
 
 
-def _hit(candidates: DataFrame, keys: DataFrame) -> DataFrame:
-    matched = _scoped(candidates).alias("c").join(
-        keys.alias("k"),
-        F.col("c.scope").eqNullSafe(F.col("k.scope")) & (F.col("c.value") == F.col("k.value")),
-        "left_semi",
-    )
-    return matched.select("app_name", "key").distinct()
-
-
-def _lengths(keys: DataFrame) -> Column:
-    """Distinct pattern lengths as one array; never longer than the longest pattern."""
-    return keys.agg(F.collect_set(F.length("value"))).scalar()
+def _class_length(value: Column) -> Column:
+    """Largest power of two that is not above the length."""
+    return F.pow(F.lit(2), F.floor(F.log2(F.length(value)))).cast("int")
+
+
+def _pieces(values: DataFrame, keys: DataFrame, anywhere: bool) -> DataFrame:
+    """Values (app_name, key, text) cut to the class lengths that occur among the patterns."""
+    lengths = keys.agg(F.collect_set(_class_length(F.col("value")))).scalar()
+    cut_to = (values.withColumn("_lengths", lengths)
+              .select("app_name", "key", "text", F.explode("_lengths").alias("n")).where("n <= length(text)"))
+    if not anywhere:
+        return cut_to.select("app_name", "key", F.left("text", F.col("n")).alias("piece"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1),
+                         lambda i: F.substring("text", i, F.col("n")))
+    return cut_to.select("app_name", "key", F.explode(F.array_distinct(starts)).alias("piece"))
+
+
+def _covered(values: DataFrame, keys: DataFrame, anywhere: bool) -> DataFrame:
+    """(app_name, key) of the values that start with, or contain, a pattern of their scope."""
+    named = keys.select("scope", F.col("value").alias("pattern"), F.left("value", _class_length(F.col("value"))).alias("piece"))
+    pieces = _scoped(_pieces(values, keys, anywhere)).alias("c")
+    candidates = pieces.join(
+        named.alias("k"), F.col("c.scope").eqNullSafe(F.col("k.scope")) & (F.col("c.piece") == F.col("k.piece")),
+    ).select("app_name", "key", "pattern").distinct()
+    # The value itself comes back only for candidates.
+    same = F.col("v.app_name").eqNullSafe(F.col("c.app_name")) & (F.col("v.key") == F.col("c.key"))
+    fits = F.col("v.text").contains(F.col("c.pattern")) if anywhere else F.col("v.text").startswith(F.col("c.pattern"))
+    return (candidates.alias("c").join(values.alias("v"), same).where(fits)
+            .select("c.app_name", "c.key").distinct())
 
 
 def suppression_keys(findings: DataFrame, patterns: DataFrame) -> dict[str, DataFrame]:
     """Per kind, the distinct (application, key) pairs some pattern covers; see `_key_of` for the keys.
 
-    Prefix and substring tests are turned into equality: each distinct value is cut
-    into its prefixes (or substrings) of exactly the lengths that occur among the
-    patterns, which then meet the patterns in a hash join. Nothing is compared
-    pairwise and the pattern table may grow without bound. Cutting is row by row:
-    a row carries one piece and the key of its value, never the value itself.
+    Prefix and substring tests are turned into equality: a pattern is known by its
+    first 2^k characters, the largest such number it has, and each distinct value is
+    cut into pieces of just those few lengths. Pieces meet the patterns in a hash
+    join, and what meets is tested in full. Nothing is compared pairwise, the pattern
+    table may grow without bound, and pieces carry the key of their value only.
     """
-    paths = _pattern_keys(patterns, "file_path")
-    snippets = _pattern_keys(patterns, "code_pattern")
-    components = _pattern_keys(patterns, "component")
-
     def distinct_values(column: str) -> DataFrame:
         return (findings.where(tx.present(F.col(column)))
                 .select("app_name", _key_of(column).alias("key"), F.col(column).alias("text")).distinct())
 
-    def per_length(values: DataFrame, keys: DataFrame) -> DataFrame:
-        lengths = values.withColumn("lengths", _lengths(keys))
-        return lengths.select("app_name", "key", "text", F.explode("lengths").alias("n")).where("n <= length(text)")
-
-    prefixes = per_length(distinct_values("file_path"), paths).select(
-        "app_name", "key", F.left("text", F.col("n")).alias("value"))
-    pieces = per_length(distinct_values("code_snippet"), snippets).select(
-        "app_name", "key", "text", "n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("start"),
-    ).select("app_name", "key", F.substring("text", F.col("start"), F.col("n")).alias("value"))
-    named = distinct_values("component").select("app_name", "key", F.col("text").alias("value"))
+    components = _pattern_keys(patterns, "component").alias("k")
+    named = _scoped(distinct_values("component")).alias("c").join(
+        components, F.col("c.scope").eqNullSafe(F.col("k.scope")) & (F.col("c.text") == F.col("k.value")), "left_semi")
     return {
-        "file_path": _hit(prefixes, paths),
-        "component": _hit(named, components),
-        "code_snippet": _hit(pieces, snippets),
+        "file_path": _covered(distinct_values("file_path"), _pattern_keys(patterns, "file_path"), anywhere=False),
+        "component": named.select("app_name", "key").distinct(),
+        "code_snippet": _covered(distinct_values("code_snippet"), _pattern_keys(patterns, "code_pattern"), anywhere=True),
     }
 
 
@@ -101,40 +107,8 @@ def _join_covered(findings: DataFrame, covered: DataFrame, column: str, how: str
     return findings.join(keyed, same, how).drop("_app", "_key")
 
 
-INLINE_PATTERNS = 64
-
-
-def _inline_test(patterns: DataFrame, limit: int) -> Column | None:
-    """The whole pattern table as one condition, if it has at most `limit` rows."""
-    rows = (
-        patterns.where(F.col("pattern_type").isin("file_path", "component", "code_pattern")
-                       & tx.present(F.col("pattern_value")))
-        .select("app_name", "pattern_type", "pattern_value").limit(limit + 1).collect()
-    )
-    if len(rows) > limit:
-        return None
-
-    def fits(row) -> Column:
-        value = F.lit(row.pattern_value)
-        test = {
-            "file_path": lambda: F.col("file_path").startswith(value),
-            "component": lambda: F.col("component") == value,
-            "code_pattern": lambda: F.col("code_snippet").contains(value),
-        }[row.pattern_type]()
-        return test if row.app_name is None else (F.col("app_name") == row.app_name) & test
-
-    return F.coalesce(tx.any_of(fits(r) for r in rows), F.lit(False))
-
-
-def flag_suppressed(findings: DataFrame, patterns: DataFrame, inline_limit: int = INLINE_PATTERNS) -> DataFrame:
-    """Findings with `suppressed`: some pattern of their application or a global one fits.
-
-    The size of the pattern table decides: a few patterns become part of the row
-    expression and nothing is shuffled, more of them go through `suppression_keys`.
-    """
-    inline = _inline_test(patterns, inline_limit)
-    if inline is not None:
-        return findings.withColumn("suppressed", inline)
+def flag_suppressed(findings: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Findings with `suppressed`: some pattern of their application or a global one fits."""
     flagged = findings
     flags = []
     for column, covered in suppression_keys(findings, patterns).items():
@@ -147,12 +121,8 @@ def flag_suppressed(findings: DataFrame, patterns: DataFrame, inline_limit: int
     )
 
 
-def suppress_false_positives(findings: DataFrame, patterns: DataFrame,
-                             inline_limit: int = INLINE_PATTERNS) -> DataFrame:
+def suppress_false_positives(findings: DataFrame, patterns: DataFrame) -> DataFrame:
     """Findings no pattern fits."""
-    inline = _inline_test(patterns, inline_limit)
-    if inline is not None:
-        return findings.where(~inline)
     kept = findings
     for column, covered in suppression_keys(findings, patterns).items():
         kept = _join_covered(kept, covered, column, "left_anti")
@@ -279,9 +249,9 @@ def baseline_scans(scans: DataFrame) -> DataFrame:
 
 
 def scan_hashes(findings: DataFrame) -> DataFrame:
-    """The distinct fingerprints of each scan, false positives left out."""
+    """The distinct fingerprints of each scan; only findings marked as no false positives, so unknown ones are left out."""
     return (
-        findings.where(~F.coalesce("is_false_positive", F.lit(False)))
+        findings.where(~F.col("is_false_positive"))
         .select("app_name", "scan_id", "finding_hash").distinct()
     )
 

@@ -49,9 +49,9 @@ def scan_activity(scans: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
 
 
 def app_last_scan(applications: DataFrame, scans: DataFrame) -> DataFrame:
-    """Applications with the time of their latest finished scan, which also updates them."""
+    """Applications with the time of their latest completed scan, which also updates them; failed ones don't count."""
     last = (
-        scans.where(F.col("status") != "running").groupBy(F.col("app_name").alias("name"))
+        scans.where(F.col("status") == "completed").groupBy(F.col("app_name").alias("name"))
         .agg(F.max("completed_at").alias("last_scan_at"))
     )
     before = [F.col(c) for c in ("updated_at", "created_at") if c in applications.columns]
@@ -91,7 +91,7 @@ def _open_sca(sca: DataFrame) -> DataFrame:
 
 
 def get_findings(secrets: DataFrame, sca: DataFrame, app_name: str | None = None, severity: str | None = None,
-                 finding_type: str | None = None, limit: int | None = 100, order: str = "reference") -> DataFrame:
+                 finding_type: str | None = None, limit: int | None = None, order: str = "reference") -> DataFrame:
     """Open findings of both kinds.
 
     The default order puts unknown severities first and critical last, newest first
@@ -248,7 +248,7 @@ def history_rows(history: DataFrame, findings: DataFrame, app_name: str | None =
 
 def application_history(history: DataFrame, findings: DataFrame, app_name: str | None = None,
                         days: int | None = None, as_of: Column | None = None,
-                        limit: int | None = 1000) -> DataFrame:
+                        limit: int | None = None) -> DataFrame:
     rows = history_rows(history, findings, app_name, days, as_of).orderBy(F.desc("event_ts"), F.desc("id"))
     return rows if limit is None else rows.limit(limit)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,24 +25,31 @@ def numbered(rows: DataFrame, order: Sequence[str], stored: DataFrame) -> DataFr
 def run_scan(spark: SparkSession, applications: DataFrame, files: DataFrame, reports: dict[str, DataFrame],
              root: str, now: Column, scan_type: str = "full",
              patterns: Sequence[Pattern] = BUILTIN_PATTERNS) -> DataFrame:
-    """Scan every application (name) and append findings and one scan record each.
+    """Scan the applications (name) and append findings and one scan record each.
+
+    An application without any source file or report of the kinds that are scanned
+    was not there to scan: it gets no record. Runs on one store must not overlap,
+    since ids continue those stored.
 
     `files` are source files, `reports` audit reports by kind (npm, safety, pip_audit,
     dependency_check). Each input is read once; the roll-up works on what was stored.
     Returns the scan records of this run.
     """
     kinds = SCAN_TYPES[scan_type]
-    names = applications.select(F.col("name").alias("app_name")).distinct()
+    sources = [files] if "secrets" in kinds else []
+    sources += list(reports.values()) if "sca" in kinds else []
+    there = reduce(DataFrame.unionAll, [s.select("app_name") for s in sources]).distinct()
+    names = applications.select(F.col("name").alias("app_name")).distinct().join(there, "app_name", "left_semi")
     scans = cut(numbered(names, ["app_name"], tables.read_table(spark, root, "scans"))
                 .withColumns({"scan_type": F.lit(scan_type), "started_at": now}))
     scan_of = scans.select("app_name", F.col("id").alias("scan_id"))
-    first_scan = scans.agg(F.min("id")).first()[0]
 
-    def of_this_run(table: str) -> DataFrame:
-        return tables.read_table(spark, root, table).where(F.col("scan_id") >= F.lit(first_scan))
+    def of_this_run(table: str, key: str = "scan_id") -> DataFrame:
+        return tables.read_table(spark, root, table).join(scans.select(F.col("id").alias(key)), key, "left_semi")
 
     if "secrets" in kinds:
-        found = detect.scan_secrets(detect.eligible_files(files), patterns=patterns)
+        listed = detect.eligible_files(files).join(names, "app_name", "left_semi")
+        found = detect.scan_secrets(listed, patterns=patterns)
         rows = cut(found.withColumnRenamed("path", "file_path").join(scan_of, "app_name"))
         order = ("app_name", "file_path", "line_number", "pattern_name", "secret_hash")
         ready = numbered(rows, order, tables.read_table(spark, root, "secret_findings"))
@@ -54,4 +62,4 @@ def run_scan(spark: SparkSession, applications: DataFrame, files: DataFrame, rep
         tables.append_sca_findings(ready, root, F.col("scan_id"), now, materialise=False)
     rollup = relational.scan_rollup(scans, of_this_run("secret_findings"), of_this_run("sca_findings"))
     tables.append_scan_records(rollup.withColumn("started_at", now), root, now)
-    return tables.read_table(spark, root, "scans").where(F.col("id") >= F.lit(first_scan))
+    return of_this_run("scans", "id")

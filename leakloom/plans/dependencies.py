@@ -255,9 +255,9 @@ def python_findings_located(spark, sf_dir):
 
 
 _RUN_SQL = f"""
-apps AS (SELECT app_name FROM code_files UNION SELECT name FROM applications),
-v AS (SELECT app_name, severity FROM ({NPM_V7_SQL}) UNION ALL SELECT app_name, severity FROM ({NPM_V6_SQL})
-  UNION ALL SELECT app_name, severity FROM ({DEPENDENCY_CHECK_SQL})),
+apps AS (SELECT DISTINCT app_name FROM (SELECT app_name FROM code_files UNION SELECT name FROM applications) x
+  WHERE app_name IN (SELECT app_name FROM code_files) OR app_name IN (SELECT app_name FROM p)),
+v AS (SELECT app_name, severity FROM ({_UNION_SQL})),
 every AS (SELECT app_name, severity, 'secret' AS kind FROM found UNION ALL SELECT app_name, severity, 'sca' FROM v)
 SELECT apps.app_name, 'full' AS scan_type, 'completed' AS status, count(*) FILTER (WHERE kind = 'secret') AS secrets_found,
   count(*) FILTER (WHERE kind = 'sca') AS vulnerabilities_found, count(*) FILTER (WHERE severity = 'critical') AS critical_count,
@@ -272,8 +272,8 @@ def scan_run(spark, sf_dir):
     files = fx.code_files(spark, sf_dir)
     apps = (files.select(F.col("app_name").alias("name")).distinct()
             .union(fx.view(spark, sf_dir, "applications").select("name")))
-    none = _reports(spark, sf_dir, "safety").where(F.lit(False))
-    reports = {"npm": _reports(spark, sf_dir, "npm"), "safety": none, "pip_audit": none,
+    reports = {"npm": _reports(spark, sf_dir, "npm"), "safety": _safety_reports(spark, sf_dir),
+               "pip_audit": _reports(spark, sf_dir, "pip_audit"),
                "dependency_check": _reports(spark, sf_dir, "dependency_check")}
     now = F.expr("TIMESTAMP_NTZ '2024-03-01 00:00:00'")
     done = runs.run_scan(spark, apps, files, reports, work_dir(spark, "store"), now)

@@ -56,10 +56,11 @@ def _requests(spark, sf_dir, kind):
         entry = F.struct(*[F.nullif(F.col(c), F.lit("")).alias(c) if c in ("repo_url", "local_path", "team", "owner") else F.col(c)
                            for c in rows.columns if c not in ("pos", "auto_scan")],
                          (F.lower("auto_scan") == "true").alias("auto_scan"))
-        (rows.repartitionByRange("pos").sortWithinPartitions("pos")
-         .select(F.to_json(F.struct(F.array(entry).alias("applications"))).alias("value")).write.text(path))
-        loaded = spark.read.schema(source.JSON_SCHEMA).json(path)
-        return source.json_requests(loaded)
+        # One document per range of rows, each in a file of its own.
+        ranges = rows.repartitionByRange("pos").select("pos", entry.alias("entry"), F.spark_partition_id().alias("range"))
+        documents = ranges.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("pos", "entry"))).alias("listed"))
+        (documents.select(F.to_json(F.struct(F.col("listed.entry").alias("applications"))).alias("value"))
+         .write.option("maxRecordsPerFile", 1).text(path))
     return source.load_inventory(spark, path)
 
 

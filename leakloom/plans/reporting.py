@@ -76,7 +76,7 @@ def _finished(scans):
 
 @query("app_last_scan", """
 SELECT a.id, a.name, s.last_scan_at, coalesce(s.last_scan_at, a.created_at) AS updated_at FROM applications a LEFT JOIN (
-  SELECT app_name, max(started_at + INTERVAL 1 HOUR) AS last_scan_at FROM scans WHERE status <> 'running' GROUP BY app_name) s
+  SELECT app_name, max(started_at + INTERVAL 1 HOUR) AS last_scan_at FROM scans WHERE status = 'completed' GROUP BY app_name) s
 ON s.app_name = a.name""", ["scans", "applications"])
 def app_last_scan(spark, sf_dir):
     scans, apps = _views(spark, sf_dir, "scans", "applications")
@@ -95,19 +95,19 @@ def app_scanning_flag(spark, sf_dir):
 
 @query("get_findings", f"WITH {OPEN_SQL} SELECT * FROM open_all {FINDINGS_ORDER} LIMIT 100", OPEN_VIEWS)
 def get_findings(spark, sf_dir):
-    return rel.get_findings(*_views(spark, sf_dir, *OPEN_VIEWS))
+    return rel.get_findings(*_views(spark, sf_dir, *OPEN_VIEWS), limit=100)
 
 
 @query("get_findings_filtered", f"""
 WITH {OPEN_SQL} SELECT * FROM open_all WHERE app_name = 'app3' AND severity = 'critical' AND type = 'sca' {FINDINGS_ORDER} LIMIT 100""", OPEN_VIEWS)
 def get_findings_filtered(spark, sf_dir):
-    return rel.get_findings(*_views(spark, sf_dir, *OPEN_VIEWS), app_name="app3", severity="critical", finding_type="sca")
+    return rel.get_findings(*_views(spark, sf_dir, *OPEN_VIEWS), app_name="app3", severity="critical", finding_type="sca", limit=100)
 
 
 @query("get_findings_critical_first", f"""
 WITH {OPEN_SQL} SELECT * FROM open_all ORDER BY {RANK_SQL}, created_at DESC, type = 'sca', id LIMIT 100""", OPEN_VIEWS)
 def get_findings_critical_first(spark, sf_dir):
-    return rel.get_findings(*_views(spark, sf_dir, *OPEN_VIEWS), order="critical_first")
+    return rel.get_findings(*_views(spark, sf_dir, *OPEN_VIEWS), order="critical_first", limit=100)
 
 
 for _kind in ("secret", "sca"):
@@ -201,14 +201,14 @@ HISTORY_VIEWS = ["finding_history", "findings"]
 
 @query("application_history", f"{HISTORY_SQL} ORDER BY event_ts DESC, h.id DESC LIMIT 1000", HISTORY_VIEWS)
 def application_history(spark, sf_dir):
-    return rel.application_history(*_views(spark, sf_dir, *HISTORY_VIEWS))
+    return rel.application_history(*_views(spark, sf_dir, *HISTORY_VIEWS), limit=1000)
 
 
 @query("application_history_recent", f"""
 {HISTORY_SQL} WHERE f.app_name = 'app1' AND event_ts >= TIMESTAMP '{HISTORY_AS_OF}' - INTERVAL 7 DAY
 ORDER BY event_ts DESC, h.id DESC LIMIT 1000""", HISTORY_VIEWS)
 def application_history_recent(spark, sf_dir):
-    return rel.application_history(*_views(spark, sf_dir, *HISTORY_VIEWS), app_name="app1", days=7, as_of=_at(HISTORY_AS_OF))
+    return rel.application_history(*_views(spark, sf_dir, *HISTORY_VIEWS), app_name="app1", days=7, as_of=_at(HISTORY_AS_OF), limit=1000)
 
 
 @query("finding_history", """
@@ -347,10 +347,10 @@ def retention_filter(spark, sf_dir):
 @query("findings_export", f"""
 WITH {OPEN_SQL} SELECT type AS "Type", app_name AS "Application", file_path AS "File Path", line_number AS "Line Number",
   title AS "Title", severity AS "Severity", confidence AS "Confidence", created_at AS "Created At", status AS "Status"
-FROM open_all {FINDINGS_ORDER} LIMIT 10000""", OPEN_VIEWS)
+FROM open_all""", OPEN_VIEWS)
 def findings_export(spark, sf_dir):
     path = work_dir(spark, "findings-export")
-    found = rel.get_findings(*_views(spark, sf_dir, *OPEN_VIEWS), limit=10000)
+    found = rel.get_findings(*_views(spark, sf_dir, *OPEN_VIEWS))
     tables.write_csv(tables.findings_export(found), path)
     schema = ("Type STRING, Application STRING, `File Path` STRING, `Line Number` BIGINT, Title STRING, Severity STRING, "
               "Confidence DOUBLE, `Created At` TIMESTAMP_NTZ, Status STRING")

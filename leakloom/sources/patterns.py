@@ -5,18 +5,29 @@ from __future__ import annotations
 import logging
 import re
 
+from pyspark.sql import SparkSession
+
 from leakloom.catalog import Pattern
+from leakloom.functions.text import java_regex
 
 log = logging.getLogger(__name__)
 
 
-def load_patterns(path: str) -> list[Pattern]:
-    """Patterns of a YAML file with a `patterns` list; any error gives none."""
+def load_patterns(path: str, spark: SparkSession | None = None) -> list[Pattern]:
+    """Patterns of a YAML file with a `patterns` list; any error gives none.
+
+    With a session, Spark reads the file, from wherever it can, and each pattern must
+    also compile as the JVM regex that the scan will use.
+    """
     try:
         import yaml
 
-        with open(path, encoding="utf-8") as handle:
-            entries = (yaml.safe_load(handle) or {}).get("patterns", [])
+        if spark is None:
+            with open(path, encoding="utf-8") as handle:
+                text = handle.read()
+        else:
+            text = spark.read.text(path, wholetext=True).first()[0]
+        entries = (yaml.safe_load(text) or {}).get("patterns", [])
         loaded = [
             Pattern(
                 name=entry["name"],
@@ -31,6 +42,8 @@ def load_patterns(path: str) -> list[Pattern]:
         ]
         for pattern in loaded:
             re.compile(pattern.pattern)
+            if spark is not None:
+                spark.sparkContext._jvm.java.util.regex.Pattern.compile(java_regex(pattern.pattern))
         return loaded
     except Exception as error:
         log.error("cannot load patterns from %s: %s", path, error)

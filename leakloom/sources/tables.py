@@ -72,14 +72,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     texts = [F.col(f"`{f.name}`").cast("string").alias(f.name) if f.dataType.typeName().startswith("timestamp")
              else F.col(f"`{f.name}`") for f in df.schema.fields]
     (df.select(texts).write.option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("emptyValue", "").option("nullValue", "").csv(path))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An exported file, typed by a DDL schema."""
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Exported files, typed by a DDL schema.
+
+    Texts may hold line breaks, so each file is read by one task; exports have one
+    file per writing task. Without line breaks, `multi_line=False` splits large files.
+    """
     fields = StructType.fromDDL(schema).fields
     raw = (spark.read.schema(StructType([StructField(f.name, StringType()) for f in fields]))
-           .option("header", True).option("escape", '"').option("nullValue", None).csv(path))
+           .option("header", True).option("escape", '"').option("nullValue", None)
+           .option("multiLine", multi_line).csv(path))
     return raw.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
 
 

@@ -63,16 +63,38 @@ def expected_suppressed(rules):
     return found
 
 
-@pytest.mark.parametrize("inline_limit", [64, 0], ids=["inline", "joined"])
 @pytest.mark.parametrize("rules", PATTERN_CASES)
-def test_suppression(spark, rules, inline_limit):
+def test_suppression(spark, rules):
     frame = findings(spark, SUBJECTS)
-    kept = life.suppress_false_positives(frame, patterns(spark, *rules), inline_limit)
+    kept = life.suppress_false_positives(frame, patterns(spark, *rules))
     assert {r.id for r in kept.collect()} == {s[0] for s in SUBJECTS} - expected_suppressed(rules)
-    flagged = life.flag_suppressed(frame, patterns(spark, *rules), inline_limit)
+    flagged = life.flag_suppressed(frame, patterns(spark, *rules))
     assert {r.id for r in flagged.collect() if r.suppressed} == expected_suppressed(rules)
 
 
+def test_a_long_snippet_against_many_pattern_lengths(spark):
+    """Pieces have a few class lengths, so a hundred pattern lengths cost little more than one."""
+    text = "".join(chr(97 + i * i % 23) for i in range(10_000))
+    frame = findings(spark, SUBJECTS[:1]).withColumn("code_snippet", F.lit(text))
+    rules = [(None, "code_pattern", "z" * n) for n in range(1, 100)] + [(None, "code_pattern", text[4321:4421])]
+    pieces = life._pieces(frame.select("app_name", F.lit("k").alias("key"), F.lit(text).alias("text")),
+                          life._pattern_keys(patterns(spark, *rules), "code_pattern"), anywhere=True)
+    assert pieces.count() <= 7 * len(text)
+    assert life.suppress_false_positives(frame, patterns(spark, *rules)).count() == 0
+
+
+def test_suppression_plans_without_a_job(spark):
+    frame, rules = findings(spark, SUBJECTS), patterns(spark, *PATTERN_CASES[-1])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        life.suppress_false_positives(frame, rules)
+        life.flag_suppressed(frame, rules)
+        assert tracker.getJobIdsForGroup("planning") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def snapshot(spark, rows=()):
     """Stored rows from (finding, status, fp, count) tuples."""
     if not rows:
