@@ -395,41 +395,54 @@ def _key_groups(frequent: DataFrame) -> DataFrame:
     return stored(frequent.join(chosen, "key"), "parity-groups")
 
 
+_COLUMNS = ("key", "i", "j", "minor", "mark", "comp", "n", "sketch")
+#: Bytes of sketches that one step of a block's comparison holds.
+_STEP_BYTES = 4_000_000
+
+
+def _block_pairs(minor, mark, comp, n, sketch) -> np.ndarray:
+    """Pairs (rows a, b) of a block's minor rows with its others, in different components, that may link."""
+    length = np.array([len(s) for s in sketch])
+    found = []
+    for size_a in np.unique(length[minor]):
+        mine = np.flatnonzero(minor & (length == size_a))
+        for size_b in np.unique(length[~minor]):
+            if not size_a <= 4 * size_b <= 16 * size_a:
+                continue
+            other = np.flatnonzero(~minor & (length == size_b))
+            size = min(size_a, size_b)
+            x, y = (folded(_bytes_matrix(sketch[own]), size).view(_U) for own in (mine, other))
+            step = max(1, _STEP_BYTES // y.nbytes)
+            for at in range(0, len(mine), step):
+                own = mine[at:at + step]
+                bound = np.bitwise_count(x[at:at + step, None] ^ y[None]).sum(axis=2, dtype=np.int64)
+                apart = np.abs(n[own][:, None] - n[other][None])
+                fits = may_link(n[own][:, None], n[other][None], np.maximum(bound, apart)) & (comp[own][:, None] != comp[other][None])
+                rows, columns = np.nonzero(fits)
+                found.append(np.stack((mark[own[rows]], mark[other[columns]])))
+    return np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+
+
 def _cross(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of different components within blocks, from rows sorted by block; minor ones against all."""
-    held: list[pd.DataFrame] = []
-
-    def compared():
-        block = pd.concat(held) if len(held) > 1 else held[0]
-        found = []
-        for (_, size_a), mine in block[block["minor"]].groupby(["minor", block["sketch"].str.len()]):
-            a = _bytes_matrix(mine["sketch"])
-            for size_b, other in block[~block["minor"]].groupby(block["sketch"].str.len()):
-                if not size_a / 4 <= size_b <= 4 * size_a:
-                    continue
-                size = min(size_a, size_b)
-                x, y = folded(a, size), folded(_bytes_matrix(other["sketch"]), size)
-                n_b, comp_b, mark_b = other["n"].to_numpy(), other["comp"].to_numpy(), other["mark"].to_numpy()
-                for row, n_a, comp, mark in zip(x, mine["n"], mine["comp"], mine["mark"]):
-                    bound = np.maximum(np.bitwise_count(y ^ row).sum(axis=1), np.abs(n_b - n_a))
-                    for hit in mark_b[may_link(n_a, n_b, bound) & (comp_b != comp)]:
-                        found.append((min(mark, hit), max(mark, hit)))
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
-
-    last = None
+    rest = None
     for batch in batches:
-        names = list(zip(batch["key"], batch["i"], batch["j"]))
-        at = [k for k in range(1, len(names)) if names[k] != names[k - 1]]
-        for begin, end in zip([0, *at], [*at, len(names)]):
-            if begin == end:
-                continue
-            if held and names[begin] != last:
-                yield compared()
-                held.clear()
-            held.append(batch.iloc[begin:end])
-            last = names[begin]
-    if held:
-        yield compared()
+        columns = [batch[c].to_numpy() for c in _COLUMNS]
+        if rest is not None:
+            columns = [np.concatenate(c) for c in zip(rest, columns)]
+        at = _starts(*columns[:3])
+        pairs = [_block_pairs(*[c[b:e] for c in columns[3:]]) for b, e in zip(at, at[1:])]
+        rest = [c[at[-1]:] for c in columns] if len(at) else None
+        if pairs:
+            yield _pair_rows(pairs)
+    if rest is not None:
+        yield _pair_rows([_block_pairs(*rest[3:])])
+
+
+def _pair_rows(pairs: list[np.ndarray]) -> pd.DataFrame:
+    both = np.concatenate(pairs, axis=1)
+    both = np.unique(np.stack((both.min(axis=0), both.max(axis=0))), axis=1)
+    return pd.DataFrame({"a": both[0], "b": both[1]})
 
 
 def _cross_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -445,7 +458,7 @@ def _cross_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame) -> Da
             .withColumn("nm", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")))
     row_block = F.pmod(F.xxhash64("mark"), F.col("nb")).cast("int")
     minor_block = F.pmod(F.xxhash64("mark", F.lit(1)), F.col("nm")).cast("int")
-    columns = ["key", "i", "j", "minor", "mark", "comp", "n", "sketch"]
+    columns = list(_COLUMNS)
     all_rows = (rows.withColumn("i", row_block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)))
                 .withColumn("minor", F.lit(False)).select(*columns))
     minor = (rows.where("comp != main").withColumn("j", minor_block)
