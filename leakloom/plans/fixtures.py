@@ -136,6 +136,25 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(view(spark, sf_dir, "code_files"), "file_id")
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write rows (app_name, path, text) as files of those names below `root`, in tasks."""
+    uri = root if "://" in root else "file://" + root
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for app, path, text in zip(batch["app_name"], batch["path"], batch["text"]):
+                target = f"{base}/{app}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target) as stream:
+                    stream.write(text.encode())
+            yield batch[["path"]].iloc[:0]
+
+    files.select("app_name", "path", "text").mapInPandas(write, "path string").count()
+
+
 def with_views(names: list[str], sql: str) -> str:
     """DuckDB statement with the named views in front."""
     ctes = ",\n".join(f"{name} AS ({duck_sql(VIEWS[name])})" for name in names)

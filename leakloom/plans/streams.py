@@ -41,18 +41,21 @@ def stream_scan(spark, sf_dir):
 
 
 @query("stream_upsert", f"""
-WITH {HASHED_SQL}, f AS (SELECT f.*, {SUPPRESSED_SQL} AS suppressed FROM h f)
-SELECT app_name, finding_hash, count(*) AS occurrence_count FROM f GROUP BY ALL HAVING NOT bool_or(suppressed)""",
-       ["findings", "false_positive_patterns"])
+WITH {HASHED_SQL}, f AS (SELECT f.*, {SUPPRESSED_SQL} AS suppressed FROM h f),
+  k AS (SELECT app_name, finding_hash, min(id) FILTER (WHERE NOT suppressed) AS first_ok FROM f GROUP BY ALL)
+SELECT app_name, finding_hash, count(*) AS occurrence_count FROM f JOIN k USING (app_name, finding_hash)
+WHERE id >= first_ok GROUP BY ALL""", ["findings", "false_positive_patterns"])
 def stream_upsert(spark, sf_dir):
-    """All findings streamed into a snapshot in several batches."""
+    """All findings, suppressed ones too, streamed into a snapshot in several batches in order of id."""
     hashed = life.with_hash(fx.view(spark, sf_dir, "findings"))
     patterns = fx.view(spark, sf_dir, "false_positive_patterns")
-    kept = life.flag_suppressed(hashed, patterns)
-    clean = kept.join(kept.where("suppressed").select("app_name", "finding_hash").distinct(), ["app_name", "finding_hash"], "left_anti")
-    path = _written(clean.drop("suppressed"), spark, "findings-in", 3)
+    path, parts = work_dir(spark, "findings-in"), 3
+    low, high = hashed.agg(F.min("id"), F.max("id")).first()
+    part = F.floor((F.col("id") - low) * parts / (high - low + 1))
+    for n in range(parts):  # one after the other: a file stream takes files by time
+        hashed.where(part == n).coalesce(1).write.mode("append").parquet(path)
     root, checkpoint = work_dir(spark, "snapshots"), work_dir(spark, "checkpoint")
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(hashed.schema).option("maxFilesPerTrigger", 1).parquet(path)
     now = F.expr(f"TIMESTAMP_NTZ '{STREAM_NOW}'")
     incremental.stream_upsert(stream, patterns, root, TABLES["findings"], checkpoint, now, compact_every=2).awaitTermination()
     return incremental.read_snapshot(spark, root, TABLES["findings"]).select("app_name", "finding_hash", "occurrence_count")

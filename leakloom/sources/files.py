@@ -36,9 +36,10 @@ def _relative(root: str) -> Column:
     return F.replace(F.substring(full, F.length(F.lit(prefix)) + 1, F.length(full)), F.lit("//"), F.lit("/"))
 
 
-def _shaped(binary: DataFrame, root: str) -> DataFrame:
+def _shaped(binary: DataFrame, root: str, max_bytes: int | None) -> DataFrame:
     relative = _relative(root)
-    return binary.where(F.col("length") <= catalog.MAX_FILE_BYTES).select(
+    small = binary if max_bytes is None else binary.where(F.col("length") <= max_bytes)
+    return small.select(
         F.substring_index(relative, "/", 1).alias("app_name"),
         F.regexp_replace(relative, r"^[^/]*/", "").alias("path"),
         "length",
@@ -47,7 +48,16 @@ def _shaped(binary: DataFrame, root: str) -> DataFrame:
     )
 
 
-def read_tree(spark: SparkSession, root: str, extensions: Sequence[str] = catalog.SCAN_EXTENSIONS) -> DataFrame:
+def oversized(spark: SparkSession, root: str, extensions: Sequence[str] = catalog.SCAN_EXTENSIONS,
+              max_bytes: int = catalog.MAX_FILE_BYTES) -> DataFrame:
+    """Files that the size limit leaves out: (path, length, modificationTime), without opening them."""
+    reader = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+              .option("pathGlobFilter", suffix_glob(extensions)))
+    return reader.load(root).where(F.col("length") > max_bytes).select("path", "length", "modificationTime")
+
+
+def read_tree(spark: SparkSession, root: str, extensions: Sequence[str] = catalog.SCAN_EXTENSIONS,
+              max_bytes: int | None = catalog.MAX_FILE_BYTES) -> DataFrame:
     """All files below `root`/<application>/, decoded.
 
     Suffixes prune the listing and the size limit reaches the reader, so neither
@@ -55,17 +65,18 @@ def read_tree(spark: SparkSession, root: str, extensions: Sequence[str] = catalo
     """
     reader = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
               .option("pathGlobFilter", suffix_glob(extensions)))
-    return _shaped(reader.load(root), root)
+    return _shaped(reader.load(root), root, max_bytes)
 
 
 def stream_tree(spark: SparkSession, root: str, max_files: int | None = None,
-                extensions: Sequence[str] = catalog.SCAN_EXTENSIONS) -> DataFrame:
+                extensions: Sequence[str] = catalog.SCAN_EXTENSIONS,
+                max_bytes: int | None = catalog.MAX_FILE_BYTES) -> DataFrame:
     """The same rows as a stream of new files."""
     reader = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", True)
               .option("pathGlobFilter", suffix_glob(extensions)))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _shaped(reader.load(root), root)
+    return _shaped(reader.load(root), root, max_bytes)
 
 
 def _filesystem_opener():
