@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from leakloom import catalog
@@ -11,6 +13,7 @@ from leakloom.plans import fixtures as fx
 from leakloom.plans.registry import query, sql_list, sql_text
 from leakloom.session import work_dir
 from leakloom.sources import files as source
+from leakloom.sources.patterns import load_patterns
 
 KEYS = ("file_id", "app_name", "path")
 ALL_PATTERNS = catalog.BUILTIN_PATTERNS + catalog.CUSTOM_PATTERNS
@@ -236,3 +239,22 @@ def listed_tree_scan(spark, sf_dir):
     apps = files.select(F.col("app_name").alias("name"), F.concat(F.lit(f"{root}/"), "app_name").alias("local_path")).distinct()
     found = detect.scan_secrets(source.read_listed(source.list_tree(apps)), ("app_name", "path"))
     return found.groupBy("app_name", "path", "pattern_name", "secret_hash").agg(F.count("*").alias("findings"))
+
+
+_OWN = (
+    catalog.Pattern("Long Hex", "[0-9a-f]{32}", "low", 0.5, "", "Check"),
+    catalog.Pattern("Quoted Password", "password\\s*=\\s*'([^']+)'", "high", 0.9, "", "Move it"),
+    catalog.Pattern("Slack", "xox[bp]-([0-9a-f]+)", "medium", 0.8, "", ""),
+)
+
+
+@query("pattern_file_scan", f"""
+WITH {LINES_SQL}, hits AS ({_pattern_sql(_OWN)})
+SELECT {_SCAN_COLUMNS}, {_HASH} FROM hits""", ["code_files"])
+def pattern_file_scan(spark, sf_dir):
+    """A user's pattern file in the shared folder, loaded by Spark and used for a scan."""
+    path = work_dir(spark, "patterns")
+    entries = [{"name": p.name, "pattern": p.pattern, "severity": p.severity, "confidence": p.confidence,
+                "remediation": p.remediation} for p in _OWN]
+    spark.range(1).select(F.lit(json.dumps({"patterns": entries}))).coalesce(1).write.text(path)
+    return _scan(spark, sf_dir, load_patterns(path, spark))

@@ -92,6 +92,20 @@ def test_pattern_file(tmp_path):
     assert load_patterns(str(tmp_path / "missing.yaml")) == []
 
 
+@pytest.mark.parametrize("pattern, count", [(r"(?P<q>[\"']).{4}(?P=q)", 0), (r"(a)?(?(1)b|c)", 0), (r"TCK-(\d{4})\Z", 1)])
+def test_patterns_must_compile_where_they_run(spark, tmp_path, pattern, count):
+    pytest.importorskip("yaml")
+    path = tmp_path / "own.yaml"
+    path.write_text("patterns:\n  - name: Own\n    pattern: |-\n      " + pattern + "\n")
+    assert len(load_patterns(str(path), spark)) == count
+    assert load_patterns(str(tmp_path / "missing.yaml"), spark) == []
+
+
+def test_files_beyond_the_limit_are_listable(spark, tree):
+    assert [r.path.rpartition("/")[2] for r in src.oversized(spark, str(tree)).collect()] == ["big.txt"]
+    assert "big.txt" in {r.path for r in src.read_tree(spark, str(tree), max_bytes=None).select("path").collect()}
+
+
 def test_user_patterns_without_anchors(spark, tmp_path):
     pytest.importorskip("yaml")
     good = tmp_path / "good.yaml"

@@ -168,6 +168,11 @@ def test_comparison_identities(spark, current, baseline):
     assert 0 <= row.remediation_score <= 100
 
 
+def test_comparison_leaves_out_unknown_flags(spark):
+    rows = findings(spark, [finding(1, fp=None), finding(2, line=2), finding(3, line=3, fp=True)])
+    assert life.scan_hashes(rows).count() == 1
+
+
 def test_status_fold_keeps_resolution_date(spark):
     day = [dt.datetime(2024, 1, d) for d in range(1, 6)]
     changes = spark.createDataFrame(
