@@ -383,9 +383,6 @@ def status_events(changes: DataFrame) -> DataFrame:
         "analyst", F.col("changed_at").alias("event_ts"))
 
 
-COMMENTS_PER_PART = 1000
-
-
 def comment_events(comments: DataFrame, analyst: str = "Current User") -> DataFrame:
     """History rows for comments (finding_id, comment, commented_at)."""
     return comments.select("finding_id", F.lit("comment_added").alias("event_type"), F.col("comment").alias("details"),
@@ -402,14 +399,10 @@ def _without_leading_blanks(comments: DataFrame) -> DataFrame:
     return filled.unionByName(later)
 
 
-def comment_threads(comments: DataFrame, findings: DataFrame | None = None,
-                    per_part: int = COMMENTS_PER_PART) -> DataFrame:
-    """Comments (finding_id, event_ts, id, details) joined line by line, oldest first.
+def comment_lines(comments: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """Comments (finding_id, event_ts, id, details) that belong to threads, in no order.
 
-    With `findings`, a comment already stored on a finding comes first. A thread is
-    given in parts of `per_part` comments, so that no row has to hold a thread of any
-    length; nearly every finding has part 0 only, and the parts in order, joined by a
-    newline, are the whole thread.
+    With `findings`, a comment already stored on a finding comes first, without a time.
     """
     rows = comments.select("finding_id", "event_ts", "id", "details")
     if findings is not None:
@@ -417,13 +410,28 @@ def comment_threads(comments: DataFrame, findings: DataFrame | None = None,
             F.col("id").alias("finding_id"), F.lit(None).cast(rows.schema["event_ts"].dataType).alias("event_ts"),
             F.lit(None).cast("bigint").alias("id"), F.col("analyst_comment").alias("details"))
         rows = rows.unionByName(stored)
-    numbered = ranked(_without_leading_blanks(rows), ["finding_id"], ["event_ts", "id"])
-    ordered = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("details", F.lit("")).alias("text"))))
-    return (
-        numbered.groupBy("finding_id", F.floor((F.col("seq") - 1) / per_part).alias("part"))
-        .agg(F.count("*").alias("comments"),
-             F.array_join(F.transform(ordered, lambda c: c["text"]), "\n").alias("thread"))
-    )
+    return _without_leading_blanks(rows)
+
+
+def comment_threads(comments: DataFrame, findings: DataFrame | None = None, per_part: int | None = None) -> DataFrame:
+    """One text per finding: its comments line by line, oldest first.
+
+    `per_part` gives threads in numbered parts of that many comments instead, for
+    threads that no row should hold as a whole; the parts in order, joined by a
+    newline, are the thread.
+    """
+    lines = comment_lines(comments, findings)
+    text = F.coalesce("details", F.lit("")).alias("text")
+
+    def joined(*order: str) -> Column:
+        ordered = F.sort_array(F.collect_list(F.struct(*order, text)))
+        return F.array_join(F.transform(ordered, lambda c: c["text"]), "\n").alias("thread")
+
+    if per_part is None:
+        return lines.groupBy("finding_id").agg(F.count("*").alias("comments"), joined("event_ts", "id"))
+    numbered = ranked(lines, ["finding_id"], ["event_ts", "id"])
+    return (numbered.groupBy("finding_id", F.floor((F.col("seq") - 1) / per_part).alias("part"))
+            .agg(F.count("*").alias("comments"), joined("seq")))
 
 
 # --- enrichment --------------------------------------------------------------

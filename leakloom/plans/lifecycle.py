@@ -234,8 +234,8 @@ def current_status(spark, sf_dir):
 @query("comment_thread", """
 WITH c AS (SELECT finding_id, event_ts, id, details, row_number() OVER (PARTITION BY finding_id ORDER BY event_ts, id) AS seq
   FROM finding_history WHERE event_type = 'comment_added')
-SELECT finding_id, cast(floor((seq - 1) / 1000) AS BIGINT) AS part, count(*) AS comments,
-  string_agg(coalesce(details, ''), chr(10) ORDER BY seq) AS thread FROM c GROUP BY ALL""", ["finding_history"])
+SELECT finding_id, count(*) AS comments, string_agg(coalesce(details, ''), chr(10) ORDER BY seq) AS thread
+FROM c GROUP BY finding_id""", ["finding_history"])
 def comment_thread(spark, sf_dir):
     history = fx.view(spark, sf_dir, "finding_history")
     return life.comment_threads(history.where(F.col("event_type") == "comment_added"))
