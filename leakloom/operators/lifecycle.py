@@ -496,7 +496,11 @@ def enrich_components(findings: DataFrame, vulnerabilities: DataFrame,
         packed = details.select(F.col("cve_id").alias("known_cve_id"),
                                 F.struct(*details.columns).alias("cve_details"))
         table = table.join(packed, "known_cve_id", "left")
-    return findings.join(table, "component", "left")
+    # Findings without a component match nothing; they stay out of the join, where they would be one key.
+    joined = findings.where(F.col("component").isNotNull()).join(table, "component", "left")
+    rest = findings.where(F.col("component").isNull())
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in table.schema.fields if f.name != "component"}
+    return joined.unionByName(rest.withColumns(missing))
 
 
 def dependency_chain_nodes(findings: DataFrame) -> DataFrame:

@@ -283,7 +283,11 @@ def history_timeline(history: DataFrame, findings: DataFrame, app_name: str | No
     Rows stay rows: a day's events are never collected into one value.
     """
     rows = history_rows(history, findings, app_name).withColumn("event_day", F.to_date("event_ts"))
-    sizes = rows.groupBy("event_day").agg(F.count("*").alias("day_events"))
+    wanted = findings if not app_name else findings.where(F.col("app_name") == app_name)
+    # Days are counted on keys alone, before the wide join.
+    sizes = (history.select("finding_id", F.to_date("event_ts").alias("event_day"))
+             .join(wanted.select(F.col("id").alias("finding_id")), "finding_id")
+             .groupBy("event_day").agg(F.count("*").alias("day_events")))
     return rows.join(sizes, "event_day").orderBy(F.desc("event_day"), F.desc("event_ts"), F.desc("id"))
 
 

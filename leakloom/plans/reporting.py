@@ -257,11 +257,11 @@ def risk_score(spark, sf_dir):
 
 
 @query("risk_level", f"""
-SELECT p_partkey, p_size AS score, {RISK_LEVEL_SQL.format('(p_size * 2)')} AS risk_level FROM part""")
+SELECT p_partkey, p_size * 2 AS score, {RISK_LEVEL_SQL.format('(p_size * 2)')} AS risk_level FROM part""")
 def risk_level(spark, sf_dir):
     parts = fx.table(spark, sf_dir, "part")
-    return parts.select("p_partkey", F.col("p_size").alias("score"),
-                        scoring.risk_level(F.col("p_size") * 2).alias("risk_level"))
+    score = F.col("p_size") * 2
+    return parts.select("p_partkey", score.alias("score"), scoring.risk_level(score).alias("risk_level"))
 
 
 @query("executive_summary", f"""
