@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 import leakloom
@@ -33,6 +34,20 @@ def on_workers(spark: SparkSession) -> None:
     context._leakloom_shipped = True
 
 
+def id_text(column: str = "doc_id") -> Column:
+    """An id on its way into pandas: a long column with nulls would become floating point there."""
+    return F.col(column).cast("long").cast("string").alias(column)
+
+
+def id_values(texts) -> list[int | None]:
+    return [None if t is None else int(t) for t in texts]
+
+
+def longs(values) -> pd.array:
+    """Whole numbers and nulls on their way out of pandas."""
+    return pd.array(list(values), dtype="Int64")
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write `df` below the shared folder and read it back.
 

@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from leakloom.llm.common import on_workers
+from leakloom.llm.common import id_text, id_values, longs, on_workers
 
 #: Usual notices of licences.
 TEMPLATES = (
@@ -144,12 +144,12 @@ def scan_licenses(documents: DataFrame, templates: Sequence[tuple[str, str]] = T
         for batch in batches:
             found = [scan(text) for text in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n_words": [n for n, _ in found],
+                "doc_id": longs(id_values(batch["doc_id"])), "n_words": [n for n, _ in found],
                 "licenses": pd.Series([[{"license": k, "coverage": c, "first_word": a, "last_word": b}
                                         for k, (c, a, b) in sorted(hits.items())] for _, hits in found],
                                       dtype=object, index=batch.index)})
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, (
+    return documents.select(id_text(), "text").mapInPandas(run, (
         "doc_id long, n_words long, licenses array<struct<license string, coverage double, first_word long, last_word long>>"))
 
 

@@ -36,7 +36,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from leakloom.llm.common import before, on_workers, stored
+from leakloom.llm.common import before, id_text, id_values, longs, on_workers, stored
 from leakloom.session import work_dir
 
 END_ID = 1
@@ -187,13 +187,12 @@ def _writer(root: str, tokenizer_path: str, end_id: int | None, file_bytes: int)
         stream, place, offset, name, rows = None, -1, 0, "", []
         try:
             for batch in batches:
-                for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
+                for own, text in zip(id_values(batch["doc_id"]), batch["text"]):
                     if stream is None:
                         place, offset = place + 1, 0
                         name = f"part-{part:06d}-{place:04d}-{uuid.uuid4().hex}.bin"
                         system.create_dir(base, recursive=True)
                         stream = system.open_output_stream(f"{base}/{name}")
-                    own = None if pd.isna(doc_id) else int(doc_id)
                     ids = np.frombuffer(encode(text) + end, "<u4")
                     record = frame(serialise(own, ids))
                     stream.write(record)
@@ -215,7 +214,7 @@ def _writer(root: str, tokenizer_path: str, end_id: int | None, file_bytes: int)
 
 def _index_rows(rows: list[tuple]) -> pd.DataFrame:
     frame_ = pd.DataFrame(rows, columns=[c.split()[0] for c in _INDEX.split(", ")])
-    frame_["doc_id"] = frame_["doc_id"].astype("Int64")
+    frame_["doc_id"] = longs(r[5] for r in rows)
     return frame_
 
 
@@ -226,13 +225,13 @@ def write_records(documents: DataFrame, tokenizer_path: str, end_id: int | None
     if "://" not in root:
         root = "file://" + root
     ordered = (documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id")
-               .sortWithinPartitions("doc_id", F.xxhash64("text")))
+               .sortWithinPartitions("doc_id", F.xxhash64("text")).select(id_text(), "text"))
     return root, stored(ordered.mapInPandas(_writer(root, tokenizer_path, end_id, file_bytes), _INDEX), "token-index")
 
 
 def _record_rows(rows: list[tuple]) -> pd.DataFrame:
     frame_ = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-    frame_["doc_id"] = frame_["doc_id"].astype("Int64")
+    frame_["doc_id"] = longs(r[0] for r in rows)
     return frame_
 
 

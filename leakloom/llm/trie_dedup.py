@@ -20,14 +20,14 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from leakloom.llm.common import on_workers, SPACE
+from leakloom.llm.common import SPACE, id_text, id_values, longs, on_workers
 
 _DELETED = b" \t\n\x0b\x0c\r"
 TRIE_BYTES = 24_000_000
 _CHUNK_BYTES = 4_000_000
 _NO_ID = 1 << 63
 
-_PARTIAL = "size long, slice long, body binary, points long, doc_id long, n long"
+_PARTIAL = "size long, slice long, body binary, points long, doc_id string, n long"
 _OWNERS = "size long, sha string, points long, keep_id long, n long"
 _ROWS = "doc_id long, size long, sha string, points long"
 
@@ -125,7 +125,6 @@ def _fold_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def flush():
         nonlocal held, size
         frame = pd.DataFrame(held, columns=["size", "slice", "body", "points", "doc_id", "n"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
         held, size = [], 0
         return frame
 
@@ -133,14 +132,14 @@ def _fold_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nonlocal size
         for body, (points, doc_id, n) in entries:
             piece = int.from_bytes(hashlib.sha256(body).digest()[:2], "big")
-            held.append((len(body), piece, body, points, None if doc_id == _NO_ID else doc_id, n))
+            held.append((len(body), piece, body, points, None if doc_id == _NO_ID else str(doc_id), n))
             size += len(body)
             if size >= _CHUNK_BYTES:
                 yield flush()
 
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
-            trie.insert(normalised(text), (len(text or ""), _NO_ID if pd.isna(doc_id) else int(doc_id), 1))
+        for doc_id, text in zip(id_values(batch["doc_id"]), batch["text"]):
+            trie.insert(normalised(text), (len(text or ""), _NO_ID if doc_id is None else doc_id, 1))
             while trie.bytes > TRIE_BYTES:
                 yield from add(trie.spill())
     yield from add(trie.entries())
@@ -159,17 +158,17 @@ def _owners(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def flush():
         nonlocal held
         frame = pd.DataFrame(held, columns=["size", "sha", "points", "keep_id", "n"])
-        frame["keep_id"] = frame["keep_id"].astype("Int64")
+        frame["keep_id"] = longs(r[3] for r in held)
         held = []
         return frame
 
     for batch in batches:
         for size, piece, body, points, doc_id, n in zip(batch["size"], batch["slice"], batch["body"], batch["points"],
-                                                        batch["doc_id"].array, batch["n"]):
+                                                        id_values(batch["doc_id"]), batch["n"]):
             if (size, piece) != key:
                 drained(trie.entries())
                 trie, key = PatriciaTrie(), (size, piece)
-            trie.insert(bytes(body), (int(points), _NO_ID if pd.isna(doc_id) else int(doc_id), int(n)))
+            trie.insert(bytes(body), (int(points), _NO_ID if doc_id is None else doc_id, int(n)))
             while trie.bytes > TRIE_BYTES and trie.root.children and len(trie.root.children) > 1:
                 drained(trie.spill())
         if len(held) >= 10_000:
@@ -182,7 +181,7 @@ def _row_hashes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         bodies = [normalised(t) for t in batch["text"]]
         yield pd.DataFrame({
-            "doc_id": batch["doc_id"].array, "size": [len(b) for b in bodies],
+            "doc_id": longs(id_values(batch["doc_id"])), "size": [len(b) for b in bodies],
             "sha": pd.Series([hashlib.sha256(b).hexdigest() for b in bodies], dtype=object), "points": [len(t or "") for t in batch["text"]]})
 
 
@@ -192,7 +191,7 @@ def trie_owners(documents: DataFrame) -> DataFrame:
     `documents` has doc_id and text; null texts count as empty, null ids come
     after all others. The text is shuffled once, without the copies of a task.
     """
-    partial = documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(_fold_rows, _PARTIAL)
+    partial = documents.select(id_text(), "text").mapInPandas(_fold_rows, _PARTIAL)
     owners = (partial.repartition("size", "slice").sortWithinPartitions("size", "slice")
               .mapInPandas(_owners, _OWNERS))
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("keep_id").isNull().alias("u"), "keep_id"))
@@ -206,7 +205,7 @@ def mark_copies(documents: DataFrame) -> DataFrame:
     Rows that repeat a doc_id together with an equally long equal text can't be
     told apart; they are all marked alike. An empty table gives an empty result.
     """
-    rows = documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(_row_hashes, _ROWS)
+    rows = documents.select(id_text(), "text").mapInPandas(_row_hashes, _ROWS)
     owners = trie_owners(documents).select("size", "sha", F.col("points").alias("_points"), "keep_id", "n")
     return rows.join(owners, ["size", "sha"]).select(
         "doc_id", "keep_id", F.col("n").alias("group_size"),

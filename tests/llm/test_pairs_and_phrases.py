@@ -95,12 +95,14 @@ def test_trie_holds_every_string():
 @pytest.mark.parametrize("limit", [trie_dedup.TRIE_BYTES, 400])
 def test_copies_of_odd_tables(spark, limit, monkeypatch):
     rows = [(5, "a b", None), (3, "ab", None), (4, " a  b", None), (2, "a b ", None), (7, None, None), (6, "", None),
-            (None, "\t", None), (9, "Ab", None), (9, "Ab", None), (None, "x", None), (8, "long " * 50_000, None)]
+            (None, "\t", None), (9, "Ab", None), (9, "Ab", None), (None, "x", None), (8, "long " * 50_000, None),
+            (2**60 + 1, "big", None), (2**60 + 2, "b ig", None)]
     monkeypatch.setattr(trie_dedup, "TRIE_BYTES", limit)
     got = sorted(map(str, (tuple(r)[:4] for r in trie_dedup.mark_copies(clashing(table(spark, rows))).collect())))
     assert got == sorted(map(str, [
         (5, 4, 4, False), (3, 4, 4, False), (4, 4, 4, True), (2, 4, 4, False), (7, None, 3, False), (6, None, 3, False),
-        (None, None, 3, True), (9, 9, 2, True), (9, 9, 2, True), (None, None, 1, True), (8, 8, 1, True)]))
+        (None, None, 3, True), (9, 9, 2, True), (9, 9, 2, True), (None, None, 1, True), (8, 8, 1, True),
+        (2**60 + 1, 2**60 + 2, 2, False), (2**60 + 2, 2**60 + 2, 2, True)]))
     assert trie_dedup.mark_copies(table(spark, [])).collect() == []
 
 

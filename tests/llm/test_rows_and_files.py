@@ -32,11 +32,11 @@ def test_licenses_in_texts(spark):
             (2, "LICENSED under Apache license\nversion 2.0", None),  # one word of eight missing
             (3, "licensed under the old version of 2 of the apache", None),
             (4, "Released under the MIT License. All rights reserved. " * 2, None),
-            (5, None, None), (6, "", None), (None, "all rights reserved", None), (4, filler, None)]
+            (5, None, None), (6, "", None), (None, "all rights reserved", None), (4, filler, None), (2**60 + 1, "x", None)]
     got = sorted(((r["doc_id"] or 0, ",".join(x["license"] for x in r["licenses"]))
                   for r in license_scan.scan_licenses(clashing(table(spark, rows))).collect()))
     assert got == [(0, "all-rights-reserved"), (1, "Apache-2.0"), (2, "Apache-2.0"), (3, ""), (4, ""),
-                   (4, "MIT,all-rights-reserved"), (5, ""), (6, "")]
+                   (4, "MIT,all-rights-reserved"), (5, ""), (6, ""), (2**60 + 1, "")]
     assert license_scan.scan_licenses(table(spark, [])).collect() == []
 
 
@@ -145,7 +145,7 @@ def test_few_rows_for_many_shards(spark):
 def test_records_round_trip(spark):
     odd = ["It's I'LL Don't 12a.b, ..", "\x1c a\x1db", "<|endoftext|>x y<|startoftext|>", "\u0130stanbul \u03a3\u03b1\u03c2", None, "",
            "word, Word. WORD " * 3000, "e\u0301 \u0301x caf\u00e9.", "a\u00a0b\u2003c\x85d"]
-    rows = [(i * 7 % 10 - 3, t, None) for i, t in enumerate(odd)] + [(None, "no id", None), (2, "again", None), (2, "again", None)]
+    rows = [(i * 7 % 10 - 3, t, None) for i, t in enumerate(odd)] + [(None, "no id", None), (2, "again", None), (2, "again", None), (2**60 + 1, "far", None)]
     root, index = token_records.write_records(clashing(table(spark, rows)), TOKENIZER, file_bytes=4000)
     assert index.select("file").distinct().count() > 1
     library = Tokenizer.from_file(TOKENIZER)
