@@ -5,6 +5,7 @@ have and clean ones hardly do; it is taken as long as nearly all its toxic texts
 allow, up to the whole word. The terms form a trie. A word of a text is looked up
 by running its Levenshtein automaton along the trie, so that misspellings are
 found, too; the answer for a word is remembered, so frequent words cost a look-up.
+Words of clean labelled texts that are an edit away from a term are no misspellings.
 
 Each hit is read in its window: one between quotation marks, or after a word that
 reports speech, counts as quoted, others as abuse. A text's counts of exact,
@@ -39,11 +40,12 @@ THRESHOLD = 0.7
 #: Least toxic texts of a term, also as a share of all toxic ones; least evidence (G-squared) and purity.
 LEAST_TEXTS, LEAST_SHARE, LEAST_EVIDENCE, LEAST_PURITY = 4, 0.01, 20.0, 0.8
 SHORTEST, LONGEST = 3, 24
-#: Terms of this length and more may be misspelt by one edit.
-FUZZY_FROM = 5
+#: Whole words, and starts of words, of this length and more may be misspelt by one edit.
+FUZZY_FROM, FUZZY_START_FROM = 5, 7
 WINDOW = 6
-#: Intercept, any hit, log of exact, misspelt and quoted hits, share of hits: prior means and their spread.
-PRIOR = np.array([-3.0, 3.0, 2.0, 1.5, 0.5, 0.0])
+#: Intercept, any hit, log of all hits, of misspelt and of quoted ones, share of hits: prior means and their spread.
+#: A misspelt hit counts like an exact one, less what the labels say against it.
+PRIOR = np.array([-3.0, 3.0, 2.0, -1.0, 0.5, 0.0])
 SPREAD = 2.0
 
 _END = "$"
@@ -64,8 +66,9 @@ class LexiconTrie(dict):
     remembered until the table is full.
     """
 
-    def __init__(self, terms: Iterable[str]):
+    def __init__(self, terms: Iterable[str], plain: Iterable[str] = ()):
         super().__init__()
+        self.plain = frozenset(plain)
         self.root: dict = {}
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[tuple[int, int], set[str]] = {}
@@ -73,7 +76,7 @@ class LexiconTrie(dict):
             node = self.root
             for letter in term:
                 node = node.setdefault(letter, {})
-            fuzzy = len(term.rstrip(_END)) >= FUZZY_FROM
+            fuzzy = len(term.rstrip(_END)) >= (FUZZY_FROM if term.endswith(_END) else FUZZY_START_FROM)
             node[""] = int(fuzzy)
             # One edit leaves one half of a term as it is, the second half at most one place off.
             half = len(term) // 2 if fuzzy else len(term)
@@ -85,7 +88,8 @@ class LexiconTrie(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= _TABLE:
             self.clear()
-        kind = self[word] = self._look_up(word + _END)
+        kind = self._look_up(word + _END)
+        kind = self[word] = 0 if kind == 2 and word in self.plain else kind
         return kind
 
     def _look_up(self, word: str) -> int:
@@ -133,18 +137,19 @@ def _step(states: tuple, letter: str, word: str) -> tuple:
 
 
 @functools.lru_cache(maxsize=1)
-def trie_of(terms: tuple[str, ...]) -> LexiconTrie:
+def trie_of(terms: tuple[str, ...], plain: tuple[str, ...]) -> LexiconTrie:
     """One trie per worker process: later tasks find the words of earlier ones."""
-    return LexiconTrie(terms)
+    return LexiconTrie(terms, plain)
 
 
 @dataclass
 class Model:
     terms: list[str]
+    plain: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def features(self, texts: Iterable[str | None]) -> np.ndarray:
-        trie = trie_of(tuple(self.terms))
+        trie = trie_of(tuple(self.terms), tuple(self.plain))
         return np.array([text_features(t, trie) for t in texts]).reshape(-1, len(PRIOR))
 
 
@@ -166,7 +171,7 @@ def text_features(text: str | None, trie: LexiconTrie) -> tuple:
                 else:
                     misspelt += 1
     hits = exact + misspelt
-    return (1.0, float(hits > 0), math.log1p(exact), math.log1p(misspelt), math.log1p(quoted),
+    return (1.0, float(hits > 0), math.log1p(hits), math.log1p(misspelt), math.log1p(quoted),
             hits / len(words) if words else 0.0)
 
 
@@ -256,9 +261,24 @@ def _longest_forms(counts: dict[str, int]) -> list[str]:
     return forms
 
 
+def plain_words(sample: DataFrame, terms: list[str]) -> list[str]:
+    """Words of clean texts that are an edit away from a term: ordinary words, no misspellings.
+
+    There are at most as many as terms have neighbours.
+    """
+    def found(batches):
+        trie, seen = trie_of(tuple(terms), ()), set()
+        for batch in batches:
+            for text in batch["text"]:
+                seen.update(w for w in set(words_of(text)) if trie[w] == 2)
+        yield pd.DataFrame({"word": pd.Series(sorted(seen), dtype=object)})
+
+    return sorted(r[0] for r in sample.where("toxic = 0").mapInPandas(found, "word string").distinct().collect())
+
+
 def fit(sample: DataFrame, terms: list[str]) -> Model:
     """Weights by a few Newton steps on the sample's features, with the prior."""
-    model = Model(terms)
+    model = Model(terms, plain_words(sample, terms))
 
     def rows(batches):
         for batch in batches:
@@ -300,7 +320,7 @@ def toxicity(model: Model):
     """Function from a text column to its score."""
     @F.pandas_udf(DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trie = trie_of(tuple(model.terms))
+        trie = trie_of(tuple(model.terms), tuple(model.plain))
         for texts in batches:
             x = np.array([text_features(t, trie) for t in texts]).reshape(-1, len(PRIOR))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))

@@ -194,7 +194,7 @@ def test_no_records(spark):
 # --- toxicity ---
 
 def test_automaton_matches_edit_distance():
-    terms = ["idiot$", "scum$", "pathetic$", "lostra", "lowei", "ch\u00f3n", "veju"]
+    terms = ["idiot$", "scum$", "pathetic$", "lostrax", "lowei", "ch\u00f3n", "veju"]
     trie, draw = toxicity.LexiconTrie(terms), random.Random(1)
     for _ in range(5000):
         word = list(draw.choice(terms).rstrip("$"))
@@ -211,13 +211,14 @@ def test_automaton_matches_edit_distance():
         for term in terms:
             stem = term.rstrip("$")
             found = [edit_distance(word, stem)] if term != stem else [edit_distance(word[:n], stem) for n in range(len(word) + 1)]
-            errors += [e for e in found if e <= (1 if len(stem) >= toxicity.FUZZY_FROM else 0)]
+            least = toxicity.FUZZY_FROM if term != stem else toxicity.FUZZY_START_FROM
+            errors += [e for e in found if e <= (1 if len(stem) >= least else 0)]
         assert trie[word] == (1 + min(errors) if errors else 0), word
 
 
 def test_quotation_is_not_abuse():
     trie = toxicity.LexiconTrie(["idiot$"])
-    assert toxicity.text_features("you idiot idi0t", trie)[2:5] == pytest.approx((np.log(2), np.log(2), 0))
+    assert toxicity.text_features("you idiot idi0t", trie)[2:5] == pytest.approx((np.log(3), np.log(2), 0))
     assert toxicity.text_features('he wrote "you idiot" there', trie)[2:5] == pytest.approx((0, 0, np.log(2)))
     assert toxicity.text_features("called idiot", trie)[4] > 0
     assert toxicity.text_features(None, trie) == toxicity.text_features("", trie) == (1.0, 0.0, 0.0, 0.0, 0.0, 0.0)
@@ -236,12 +237,14 @@ def test_learnt_scores(spark):
             words[5:5] = [draw.choice(["zzgrot", "qimblen", "qimblung", "qimblich"])] * 2
         rows.append((i, " ".join(words), None))
         labels.append((i, 1, int(i % 4 == 0)))
+    rows[1] = (1, "zzgrob " + rows[1][1], None)  # an ordinary word next to a term
     rows += [(1000, "a zzgrt here and zgrot", None), (1001, None, None), (1002, "", None), (None, "zzgrot zzgrot", None)]
     labels += [(5000, 1, 1), (None, 0, 1), (2, 1, None), (7, 0, 5)]
     docs = clashing(table(spark, rows))
     model = toxicity.learn(docs, table(spark, labels, LABELS))
     assert "zzgrot$" in model.terms and any("qimbl".startswith(t) or t.startswith("qimbl") for t in model.terms)
     scored = {r["doc_id"]: r["s"] for r in docs.withColumn("s", toxicity.toxicity(model)("text")).collect()}
+    assert model.plain == ["zzgrob"]
     assert all((scored[i] >= toxicity.THRESHOLD) == (i % 4 == 0) for i in range(600))
     assert scored[None] >= toxicity.THRESHOLD > scored[1001] == scored[1002] and scored[1000] > scored[1001]
 
