@@ -2,16 +2,34 @@
 
 A doc_id names a document: where a stage drops a document, all rows with its id go.
 Rows without an id can't be named and are only touched by decisions on rows
-(toxicity, mixing). Empty tables pass through every stage.
+(toxicity, mixing). Empty tables pass through every stage. A stage's result is to be
+written before the next stage is called: that call deletes its intermediate results.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leakloom.llm import mixing, parity_join, positional_index, token_records, toxicity
-from leakloom.llm.common import counted, on_workers, stored
+from leakloom.llm.common import counted, on_workers, release, scratch, stored
+from leakloom.session import work_dir
+
+
+def _stage(decide):
+    """A stage. When it begins, what the stage before it wrote for itself goes: its result has been written since."""
+    @functools.wraps(decide)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        on_workers(spark)
+        context = spark.sparkContext
+        release(spark, getattr(context, "_corpus_pipeline_scratch", []))
+        before = set(scratch(spark))
+        result = decide(spark, docs, sf_dir)
+        context._corpus_pipeline_scratch = [p for p in scratch(spark) if p not in before]
+        return result
+    return run_stage
 
 
 def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -21,26 +39,28 @@ def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     return docs.join(counted(dropped), "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
-    on_workers(spark)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.toxicity(model)("text") < toxicity.THRESHOLD)
 
 
+@_stage
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each component of near duplicates."""
-    on_workers(spark)
     found = parity_join.parity_join(docs)
     return _without(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")))
 
 
+@_stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     found = positional_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.select("doc_id", (~F.col("contaminated")).alias("stays")))
 
 
+@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     others = [c for c in docs.columns if c not in ("doc_id", "source")]
@@ -49,9 +69,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repeated.select(*[F.col(f"_keep_{c}").alias(c) if c in others else c for c in docs.columns])
 
 
+@_stage
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token records of all documents, as read back from their files."""
-    on_workers(spark)
     root, index = token_records.write_records(docs, public_tokenizers.path("word_bpe_49k.json"))
     return token_records.read_back(root, index)
 
@@ -71,5 +91,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + "-".join(name.lower().replace("/", " ").split()))
+        path = work_dir(spark, "pipeline-" + "-".join(name.lower().replace("/", " ").split()))
+        result = stage(spark, docs, sf_dir)
+        result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
     return docs

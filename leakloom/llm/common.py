@@ -55,10 +55,28 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     stages, and retries after a lost executor, read these files.
     """
     path = work_dir(df.sparkSession, purpose)
+    scratch(df.sparkSession).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> list[str]:
+    """Folders that operators of this session have written as intermediate results."""
+    context = spark.sparkContext
+    if not hasattr(context, "_leakloom_scratch"):
+        context._leakloom_scratch = []
+    return context._leakloom_scratch
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate results whose consumers have been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+        scratch(spark).remove(path)
+
+
 def counted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a stored table of few enough rows; a larger one is left to shuffled joins."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -14,7 +14,7 @@ _FINAL = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
 
 #: Entries a word table may hold before it is emptied; results do not depend on it.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 200_000
 
 
 class WordHashes(dict):
@@ -78,7 +78,7 @@ def shingle_sets(texts: Iterable[str | None], table: WordHashes, width: int = 5)
     return values[first], np.bincount(owner[first], minlength=len(n))
 
 
-def batched(rows: Iterable[tuple], text_at: int, limit: int = 4_000_000) -> Iterable[list[tuple]]:
+def batched(rows: Iterable[tuple], text_at: int, limit: int = 2_000_000) -> Iterable[list[tuple]]:
     """Rows in lists of about `limit` characters; one long text is a list of its own."""
     held, size = [], 0
     for row in rows:

@@ -50,7 +50,7 @@ LISTED = 32
 #: Sets of one block in comparisons across components.
 BLOCK = 512
 #: Shingles held per task before they are sorted and sent on.
-_HELD = 4_000_000
+_HELD = 1_000_000
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)

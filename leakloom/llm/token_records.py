@@ -36,7 +36,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from leakloom.llm.common import before, id_text, id_values, longs, on_workers, stored
+from leakloom.llm.common import before, id_text, id_values, longs, on_workers, scratch, stored
 from leakloom.session import work_dir
 
 END_ID = 1
@@ -222,6 +222,7 @@ def write_records(documents: DataFrame, tokenizer_path: str, end_id: int | None
                   file_bytes: int = FILE_BYTES) -> tuple[str, DataFrame]:
     """Encode and write all rows (doc_id, text); the files' folder and the stored index."""
     root = work_dir(documents.sparkSession, "token-records")
+    scratch(documents.sparkSession).append(root)
     if "://" not in root:
         root = "file://" + root
     ordered = (documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id")
