@@ -5,12 +5,12 @@ import re
 import pytest
 
 import __spark_entry__ as registered
-from leakloom.plans import fixtures as fx
+from leakloom.plans import fixtures as fx, registry
 
 SF = "/root/testdata/sf0.001"
-FILE_IO = ("source_tree_scan", "stream_scan", "stream_upsert", "stream_daily_activity", "append_findings", "append_comparison",
+FILE_IO = ("source_tree_scan", "listed_tree_scan", "stream_scan", "stream_upsert", "stream_daily_activity", "append_findings", "append_comparison",
            "append_scan_record", "scan_run", "findings_export", "finding_history_export", "application_history_export")
-PLANNED = sorted(set(registered.queries()) - set(FILE_IO))
+PLANNED = sorted(set(registry.QUERIES) - set(FILE_IO))
 
 
 def plan(df):
