@@ -49,7 +49,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @_stage
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each component of near duplicates."""
-    found = parity_join.parity_join(docs)
+    found = parity_join.parity_join(docs, count_links=False)
     return _without(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")))
 
 

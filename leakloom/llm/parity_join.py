@@ -23,9 +23,15 @@ symmetric difference that rejects most pairs; the rest are compared shingle by
 shingle. A key without frequent shingles has few holders by construction, and
 their pairs are listed. The holders of a frequent key are compared with one of
 them; those that this leaves in different components are compared across
-components, in blocks, by bit sketches. Thus no link between different sets is lost,
-and a cluster of n near copies costs about n comparisons. Equal sets are one class
-from the scan on.
+components, in blocks, by bit sketches. Thus the components are those of all links,
+and finding a cluster of n near copies costs about n comparisons. Equal sets are one
+class from the scan on.
+
+Counting. Each set's number of links is of all its links. Where holders of a frequent
+key are in a component that is no clique of the links found so far, all pairs of the
+component's sets are compared exactly, each pair once: in blocks, by products of 0/1
+matrices over the shingles that a block shares. Only counts leave a block, no pairs.
+This costs the square of a component's number of different sets.
 """
 
 from __future__ import annotations
@@ -49,6 +55,8 @@ FILTER_BITS = 23
 LISTED = 32
 #: Sets of one block in comparisons across components.
 BLOCK = 512
+#: When a component's links are counted: least sets of a block, blocks up to BLOCK sets each, shingles of a block.
+COUNT_BLOCK, COUNT_BLOCKS, COUNT_SHINGLES = 64, 16, 400_000
 #: Shingles held per task before they are sorted and sent on.
 _HELD = 1_000_000
 
@@ -369,6 +377,7 @@ def _linked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class _Verifier:
     def __init__(self, texts: DataFrame, holders: DataFrame, sketches: DataFrame):
         self.texts, self.holders, self.sketches = texts, holders, sketches
+        self.contents: list[DataFrame] = []
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """Stored links (a, b) among distinct candidate pairs (a, b)."""
@@ -379,10 +388,20 @@ class _Verifier:
         texts = self.texts.alias("t").join(counted(wanted).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
         contents = stored(texts.select("w.mark", "t.text").mapInArrow(_set_contents, "mark long, shingles binary")
                           .dropDuplicates(["mark"]), "parity-contents")
+        self.contents.append(contents)
         both = (passing.join(contents.select(F.col("mark").alias("a"), F.col("shingles").alias("va")), "a")
                 .join(contents.select(F.col("mark").alias("b"), F.col("shingles").alias("vb")), "b"))
         return stored(both.mapInPandas(_linked, "a long, b long"), "parity-links")
 
+    def contents_of(self, marks: DataFrame) -> DataFrame:
+        """`marks` (mark, ...) with the shingles of those sets that were ever verified: all that have a link."""
+        found = None
+        for contents in self.contents:
+            own = marks.join(contents, "mark")
+            found = own if found is None else found.unionByName(own.join(earlier, "mark", "left_anti"))
+            earlier = contents.select("mark")
+        return found
+
 
 # --- holders of frequent keys ----------------------------------------------------------------
 
@@ -468,9 +487,92 @@ def _cross_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame) -> Da
             .mapInPandas(_cross, "a long, b long").distinct())
 
 
-def parity_join(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+# --- numbers of links ------------------------------------------------------------------------
+
+#: Shingles whose columns of a block's matrix are held at once.
+_STEP_COLUMNS = 4096
+
+
+def _common(owner: np.ndarray, values: np.ndarray, a: np.ndarray, b: np.ndarray, sets: int) -> np.ndarray:
+    """Numbers of shingles that each of the sets `a` shares with each of `b`; set `owner[k]` holds `values[k]`."""
+    _, column, n = np.unique(values, return_inverse=True, return_counts=True)
+    shared = n > 1
+    kept = shared[column]
+    owner, column = owner[kept], (np.cumsum(shared) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(a), len(b)), np.int64)
+    for first in range(0, int(shared.sum()), _STEP_COLUMNS):
+        begin, end = np.searchsorted(column, (first, first + _STEP_COLUMNS))
+        held = np.zeros((sets, int(column[end - 1]) - first + 1), np.float32)
+        held[owner[begin:end], column[begin:end] - first] = 1
+        both += (held[a] @ held[b].T).astype(np.int64)
+    return both
+
+
+def _block_links(second, mark, shingles) -> pd.DataFrame:
+    """Numbers of links of a block's sets: of the first with the second ones, or among all if there are no second ones."""
+    n = np.array([len(s) // 8 for s in shingles])
+    values = np.frombuffer(b"".join(shingles), _U)
+    alone = not second.any()
+    a = np.flatnonzero(~second)
+    b = a if alone else np.flatnonzero(second)
+    both = _common(_owners(n), values, a, b, len(n))
+    linked = 100 * both >= 75 * (n[a][:, None] + n[b][None] - both)
+    if alone:
+        np.fill_diagonal(linked, False)
+        return pd.DataFrame({"mark": mark[a], "links": linked.sum(axis=1)})
+    return pd.DataFrame({"mark": np.concatenate((mark[a], mark[b])),
+                         "links": np.concatenate((linked.sum(axis=1), linked.sum(axis=0)))})
+
+
+_COUNTED = ("root", "i", "j", "second", "mark", "shingles")
+
+
+def _count_links(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (mark, links) of pairs of blocks, from rows sorted by them."""
+    rest = None
+    for batch in batches:
+        columns = [batch[c].to_numpy() for c in _COUNTED]
+        if rest is not None:
+            columns = [np.concatenate(c) for c in zip(rest, columns)]
+        at = _starts(*columns[:3])
+        for b, e in zip(at, at[1:]):
+            yield _block_links(*[c[b:e] for c in columns[3:]])
+        rest = [c[at[-1]:] for c in columns] if len(at) else None
+    if rest is not None:
+        yield _block_links(*rest[3:])
+
+
+def _all_degrees(links: DataFrame, comps: DataFrame, groups: DataFrame, sketches: DataFrame, verify: _Verifier) -> DataFrame:
+    """Stored (mark, links): the number of sets that each set with a link is linked with."""
+    known = stored(links.select(F.col("a").alias("mark")).unionAll(links.select("b"))
+                   .groupBy("mark").agg(F.count("*").alias("links")), "parity-known")
+    sets = comps.select(F.col("node").alias("mark"), "root")
+    hubbed = groups.where("size > 2").select("mark").distinct()
+    partial = (sets.join(known, "mark").join(sketches.select("mark", "n"), "mark")
+               .join(hubbed.withColumn("hubbed", F.lit(True)), "mark", "left")
+               .groupBy("root").agg(F.count("*").alias("size"), F.sum("links").alias("links"), F.sum("n").alias("shingles"),
+                                    F.max("hubbed").alias("hubbed"))
+               .where("hubbed AND links < size * (size - 1)")
+               .select("root", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / COUNT_SHINGLES),
+                                          F.least(F.ceil(F.col("size") / COUNT_BLOCK), F.lit(COUNT_BLOCKS))).cast("int").alias("nb")))
+    open_sets = stored(sets.join(partial, "root"), "parity-open")
+    own, other = F.pmod(F.xxhash64("mark"), F.col("nb")).cast("int"), F.col("other")
+    rows = (verify.contents_of(open_sets).withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            .select("root", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"),
+                    (F.col("own") > other).alias("second"), "mark", "shingles"))
+    counted_links = (rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+                     .mapInPandas(_count_links, "mark long, links long").groupBy("mark").agg(F.sum("links").alias("links")))
+    return stored(known.join(open_sets, "mark", "left_anti").unionByName(counted_links), "parity-degrees")
+
+
+def parity_join(documents: DataFrame, frequent: int = FREQUENT, count_links: bool = True) -> DataFrame:
     """Per row of `documents` (doc_id, text): doc_id, n_shingles, component_id, links (of its class to other classes).
 
+    links is the number of other sets with a similarity of 0.75 or more, all of them
+    counted; without `count_links` the column is left out.
     component_id is the smallest doc_id reachable by links; rows without words
     link with nothing. Defined results: null texts count as empty; null ids are
     passed over in the smallest id, and stay null where a component has no other;
@@ -497,15 +599,15 @@ def parity_join(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     more = verify(_cross_pairs(groups, components(links), sketches))
     links = links.unionByName(more).distinct()
     comps = components(links)
-    degrees = (links.select(F.col("a").alias("mark")).unionAll(links.select("b"))
-               .groupBy("mark").agg(F.count("*").alias("links")))
-    named = (rows.join(comps.withColumnRenamed("node", "mark"), "mark", "left").join(degrees, "mark", "left")
-             .withColumn("_root", F.when(F.col("n") > 0, F.coalesce("root", "mark"))))
+    named = rows.join(comps.withColumnRenamed("node", "mark"), "mark", "left")
+    if count_links:
+        named = named.join(_all_degrees(links, comps, groups, sketches, verify), "mark", "left")
+    named = (named.withColumn("_root", F.when(F.col("n") > 0, F.coalesce("root", "mark"))))
     least = named.where("n > 0").groupBy("_root").agg(F.min("doc_id").alias("_least"))
+    counts = [F.coalesce("links", F.lit(0)).cast("long").alias("links")] if count_links else []
     return (named.join(least, "_root", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"),
-                    F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+                    F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"), *counts))
 
 
 def op3_parity_join(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 from leakloom.llm import parity_join, positional_index, trie_dedup
 from leakloom.llm.components import components
-from tests.llm.helpers import clashing, contamination, near_duplicates, table
+from tests.llm.helpers import clashing, contamination, near_duplicates, shingle_set, table
 
 
 def corpus(seed, clusters=12, singles=30):
@@ -39,6 +39,25 @@ def test_components_match_all_pairs(spark, seed, frequent):
     assert got == near_duplicates(docs)
 
 
+@pytest.mark.parametrize("frequent", [8, 1_000_000])
+def test_links_of_large_clusters_match_all_pairs(spark, frequent):
+    """Clusters of 9, 40 and 150 different near copies, some of them too different to be linked with each other."""
+    draw, texts = random.Random(11), []
+    for cluster, (copies, most) in enumerate(((9, 0), (40, 3), (150, 4))):
+        base = [f"w{cluster}x{i}" for i in range(80)]
+        for copy in range(copies):
+            own = list(base)
+            for k in range(draw.randint(0, most)):
+                own[draw.randrange(len(own))] = f"c{cluster}x{copy}x{k}"
+            texts.append(" ".join([*own, f"end{cluster}x{copy}"]))
+    texts += texts[:3]
+    sets = [shingle_set(t) for t in texts]
+    want = {i: len({b for b in sets if b != a and 100 * len(a & b) >= 75 * len(a | b)}) for i, a in enumerate(sets)}
+    assert want[0] == 8 and len(set(want.values())) > 5
+    found = parity_join.parity_join(table(spark, [(i, t, None) for i, t in enumerate(texts)]), frequent=frequent)
+    assert {r["doc_id"]: r["links"] for r in found.collect()} == want
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert parity_join.parity_join(table(spark, [])).collect() == []
     rows = [(1, "a b c d e f", None), (1, "a b c d e f", None), (None, "a b c d e f", None), (None, "z", None), (4, None, None)]
