@@ -7,8 +7,10 @@ template's words that are aligned.
 
 Where to look follows from the coverage wanted: a stretch that covers a share c of
 a template of n words must hold one of any n - ceil(c n) + 1 of them. So only the
-occurrences of those template words that are rarest in the text begin a stretch,
-and texts without enough of the words are passed over. This leaves out nothing.
+occurrences of those template words that are rarest in the text are looked around,
+and texts without enough of the words are passed over. Every window of STRETCH times
+the template's length there is aligned by itself if it holds enough of the words, so
+stray template words outside a window take no part in it. This leaves out nothing.
 
 A text is handled within its own task, row by row, without any shuffle. Defined
 results: null and empty texts have no words and no licence; repeated rows are
@@ -102,6 +104,20 @@ def align(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]
     return sorted(found)
 
 
+def windows(places: Sequence[int], reach: int) -> Iterator[tuple[int, int]]:
+    """Different ranges (first, end) of the sorted `places` that windows of `reach` words hold."""
+    first = end = 0
+    last = None
+    for begin in sorted({0, *places, *(p + 1 for p in places), *(p - reach + 1 for p in places if p >= reach)}):
+        while first < len(places) and places[first] < begin:
+            first += 1
+        while end < len(places) and places[end] < begin + reach:
+            end += 1
+        if first < end and (first, end) != last:
+            last = first, end
+            yield last
+
+
 class Scanner:
     def __init__(self, templates: Iterable[tuple[str, str]], coverage: float):
         self.templates = []
@@ -127,12 +143,25 @@ class Scanner:
                         places[word].append(place)
             rarest = sorted(range(len(template)), key=lambda j: (len(places.get(template[j], ())), j))
             reach = int(STRETCH * len(template))
-            stretches = sorted({(max(0, i - reach), i + reach + 1)
-                                for j in rarest[:len(template) - need + 1] for i in places.get(template[j], ())})
-            for begin, end in stretches:
-                matched = align(words[begin:end], template)
-                if len(matched) >= need and matched[-1][0] - matched[0][0] < reach:
-                    found = (len(matched) / len(template), -(begin + matched[0][0]), -(begin + matched[-1][0]))
+            around = sorted({i for j in rarest[:len(template) - need + 1] for i in places.get(template[j], ())})
+            own = sorted(i for w in counts for i in places.get(w, ()))
+            own = [i for i in own if (k := bisect_left(around, i - reach + 1)) < len(around) and around[k] < i + reach]
+            held: Counter[str] = Counter()
+            enough = begin = end = 0  # words of the template that the window holds
+            for first, last in windows(own, reach):
+                for i in own[end:last]:
+                    held[words[i]] += 1
+                    enough += held[words[i]] <= counts[words[i]]
+                for i in own[begin:first]:
+                    enough -= held[words[i]] <= counts[words[i]]
+                    held[words[i]] -= 1
+                begin, end = first, last
+                if enough < need:
+                    continue
+                at = own[first]
+                matched = align(words[at:own[last - 1] + 1], template)
+                if len(matched) >= need:
+                    found = (len(matched) / len(template), -(at + matched[0][0]), -(at + matched[-1][0]))
                     best[name] = max(best.get(name, found), found)
         return len(words), {name: (c, -first, -last) for name, (c, first, last) in best.items()}
 

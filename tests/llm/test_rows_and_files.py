@@ -26,6 +26,35 @@ def test_patience_alignment():
     assert len(license_scan.align("a b a c a d a".split(), "a b a c a d a".split())) == 7
 
 
+def test_stray_template_words_around_a_notice():
+    scan = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    text = ("Please read this page before you copy anything from here. "
+            "The work is licensed under the GNU General Public License, version 3.")
+    assert scan(text)[1] == {"GPL-3.0": (11 / 12, 11, 21)}
+
+
+def test_license_windows_match_all_windows():
+    """Notices with a word missing, among stray words of their template: as found by aligning every window."""
+    template = "a b c d e f g h i j".split()
+    scan, draw, found = license_scan.Scanner([("t", " ".join(template))], 0.8), random.Random(3), 0
+    for _ in range(400):
+        notice = [w for k, w in enumerate(template) if k != draw.randrange(12)]
+        stray = lambda: [draw.choice([*template, "x", "y", "z", "x"]) for _ in range(draw.randrange(25))]
+        words = stray() + (notice if draw.random() < 0.7 else []) + stray()
+        best = 0
+        for at in range(len(words)):
+            window = words[at:at + 15]
+            while window and window[0] not in template:
+                window.pop(0)
+            while window and window[-1] not in template:
+                window.pop()
+            best = max(best, len(license_scan.align(window, template)))
+        got = scan(" ".join(words))[1]
+        assert got.get("t", (0,))[0] == (best / 10 if best >= 8 else 0)
+        found += bool(got)
+    assert found > 150
+
+
 def test_licenses_in_texts(spark):
     filler = " ".join(f"the of work {i}" for i in range(2000))
     rows = [(1, f"{filler} Licensed under the Apache License, Version 2.0. {filler}", None),
