@@ -2,7 +2,10 @@
 
 Documents with equal texts are linked. Each has a shard as its label; in every
 round the members of a group move towards the shard where most of their
-neighbours are, as far as that shard's quota of rows has room. Members of a group
+neighbours are: in exchange for as many members that want to go the other way, so
+full shards are no hindrance, or as far as that shard's quota of rows has room. This
+goes on until no member moves. Every move makes a group less even, so the rounds end.
+Members of a group
 are interchangeable, so the state of the iteration is how many members a group
 has in each shard: at most one row per group and shard, however large the group,
 and no pair of neighbours is ever listed. A group larger than a quota fills one
@@ -20,10 +23,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from leakloom.llm.common import before, blocked_total, on_keys, stored
+from leakloom.llm.common import before, blocked_total, on_keys, release, scratch, stored
 
 SHARDS = 16
-ROUNDS = 12
+#: Rounds without a move after which the state counts as settled; ties are drawn anew in each.
+QUIET = 4
 #: Blocks that ranks within one group, shard or the whole table are cut into.
 BLOCKS = 256
 
@@ -45,39 +49,69 @@ def _literal_ends(sizes: list[int]) -> Column:
     return F.array(*ends)
 
 
-def _moved(state: DataFrame, room: list[int]) -> DataFrame:
-    """Admitted moves (group, shard, target, moved) of one round."""
-    free = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("shard") + 1)
-    weight = F.struct(F.col("members"), F.xxhash64("group", "shard").alias("tie"))
-    goals = (state.where(free > 0).groupBy("group")
+def _shard_literals(values: list[int], shard: str) -> Column:
+    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col(shard) + 1)
+
+
+def _moved(state: DataFrame, room: list[int], quotas: list[int], turn: int) -> DataFrame:
+    """Admitted moves (group, shard, target, moved) of one round.
+
+    A target has more members of the group than the shard that is left, or as many
+    and a tie drawn by the round. In every third round only shards with free room are
+    targets, so that members whose first choice is full go elsewhere.
+    """
+    weight = F.struct(F.col("members"), F.xxhash64("group", "shard", F.lit(turn)).alias("tie"))
+    open_ = F.col("members") < _shard_literals(quotas, "shard")  # one that the group fills by itself is settled
+    if turn % 3 == 0 and any(r > 0 for r in room):
+        open_ = open_ & (_shard_literals(room, "shard") > 0)
+    goals = (state.where(open_).groupBy("group")
              .agg(F.max(weight).alias("best"), F.max_by("shard", weight).alias("target")))
     wishes = stored(on_keys(state, goals, ["group"]).where((F.col("shard") != F.col("target")) & (weight < F.col("best")))
                     .select("group", "shard", "target", "members", (-F.length(F.bin("total"))).alias("_class"),
                             _block("group").alias("_block")), "shard-wishes")
-    # Larger groups first; what a shard has room for is cut exactly at its quota.
-    queued = blocked_total(wishes, ["target"], ["_class", "_block"], ["group", "shard"], "members", "_before")
-    space = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("target") + 1)
-    return (queued.withColumn("moved", F.least("members", space - F.col("_before"))).where("moved > 0")
+    # Between two shards as many go as come, larger groups first. There are at most SHARDS^2 pairs.
+    asked = wishes.groupBy("shard", "target").agg(F.sum("members").alias("_asked"))
+    back = asked.select(F.col("shard").alias("target"), F.col("target").alias("shard"), F.col("_asked").alias("_back"))
+    swaps = on_keys(asked, back, ["shard", "target"]).select("shard", "target", F.least("_asked", "_back").alias("_swap"))
+    queued = blocked_total(wishes, ["shard", "target"], ["_class", "_block"], ["group"], "members", "_before")
+    swapped = F.greatest(F.lit(0), F.least("members", F.coalesce("_swap", F.lit(0)) - F.col("_before")))
+    queued = stored(queued.join(F.broadcast(swaps), ["shard", "target"], "left").withColumn("_swapped", swapped)
+                    .withColumn("_left", F.col("members") - F.col("_swapped")).drop("_before", "_swap"), "shard-swaps")
+    # The others go where there is room; what a shard has room for is cut exactly at its quota.
+    queued = blocked_total(queued, ["target"], ["_class", "_block"], ["group", "shard"], "_left", "_before")
+    taken = F.greatest(F.lit(0), F.least("_left", _shard_literals(room, "target") - F.col("_before")))
+    return (queued.withColumn("moved", F.col("_swapped") + taken).where("moved > 0")
             .select("group", "shard", "target", "moved"))
 
 
-def propagate(state: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Final stored state (group, total, shard, members); ends when no member moves."""
-    for _ in range(rounds):
+def _cut(state: DataFrame) -> int:
+    """Members that are not in the shard that holds most of their group."""
+    return (state.groupBy("group").agg((F.sum("members") - F.max("members")).alias("cut"))
+            .agg(F.coalesce(F.sum("cut"), F.lit(0))).first()[0])
+
+
+def propagate(state: DataFrame, quotas: list[int], rounds: int | None = None) -> DataFrame:
+    """Final stored state (group, total, shard, members): after `rounds`, or once nothing is cut or has moved for QUIET rounds."""
+    spark = state.sparkSession
+    quiet = turn = 0
+    while quiet < QUIET and (rounds is None or turn < rounds) and _cut(state):
+        earlier = list(scratch(spark))
         held = dict(state.groupBy("shard").agg(F.sum("members")).collect())
-        moves = stored(_moved(state, [q - held.get(s, 0) for s, q in enumerate(quotas)]), "shard-moves")
-        if moves.isEmpty():
-            break
-        totals = state.select("group", "total").distinct()
-        change = (moves.select("group", "shard", (-F.col("moved")).alias("members"))
-                  .unionAll(moves.select("group", F.col("target").alias("shard"), F.col("moved").alias("members"))))
-        after = (state.select("group", "shard", "members").unionByName(change)
-                 .groupBy("group", "shard").agg(F.sum("members").alias("members")).where("members > 0"))
-        state = stored(on_keys(after, totals, ["group"]).select("group", "total", "shard", "members"), "shard-state")
+        moves = stored(_moved(state, [q - held.get(s, 0) for s, q in enumerate(quotas)], quotas, turn), "shard-moves")
+        turn, quiet = turn + 1, quiet + 1
+        if not moves.isEmpty():
+            quiet = 0
+            totals = state.select("group", "total").distinct()
+            change = (moves.select("group", "shard", (-F.col("moved")).alias("members"))
+                      .unionAll(moves.select("group", F.col("target").alias("shard"), F.col("moved").alias("members"))))
+            after = (state.select("group", "shard", "members").unionByName(change)
+                     .groupBy("group", "shard").agg(F.sum("members").alias("members")).where("members > 0"))
+            state = stored(on_keys(after, totals, ["group"]).select("group", "total", "shard", "members"), "shard-state")
+        release(spark, [p for p in scratch(spark) if p not in earlier and "shard-state" not in p])
     return state
 
 
-def balanced_shards(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(documents: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, group, shard and slot (gapless in its shard) of each row (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     rows = stored(documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
