@@ -6,6 +6,8 @@ allow, up to the whole word. The terms form a trie. A word of a text is looked u
 by running its Levenshtein automaton along the trie, so that misspellings are
 found, too; the answer for a word is remembered, so frequent words cost a look-up.
 Words of clean labelled texts that are an edit away from a term are no misspellings.
+Evidence is counted over different texts: exact and near copies in the sample are
+one, found by least shingle hashes.
 
 Each hit is read in its window: one between quotation marks, or after a word that
 reports speech, counts as quoted, others as abuse. A text's counts of exact,
@@ -33,12 +35,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from leakloom.llm.common import on_workers, stored
+from leakloom.llm.hashing import WordHashes, batched, mix, shingle_sets
 
 SAMPLE_ROWS = 20_000
 MOST_TERMS = 5_000
 THRESHOLD = 0.7
-#: Least toxic texts of a term, also as a share of all toxic ones; least evidence (G-squared) and purity.
-LEAST_TEXTS, LEAST_SHARE, LEAST_EVIDENCE, LEAST_PURITY = 4, 0.01, 20.0, 0.8
+#: Least different toxic texts of a term; least evidence (G-squared) and purity.
+LEAST_TEXTS, LEAST_EVIDENCE, LEAST_PURITY = 4, 20.0, 0.8
+#: Near copies in the sample: least hashes of a text, how many are compared at once, how many must agree.
+SIGNATURE, BAND, SAME = 40, 4, 26
 SHORTEST, LONGEST = 3, 24
 #: Whole words, and starts of words, of this length and more may be misspelt by one edit.
 FUZZY_FROM, FUZZY_START_FROM = 5, 7
@@ -197,30 +202,79 @@ def learning_rows(documents: DataFrame, labels: DataFrame, sample_rows: int) ->
     return stored(texts.select("text", "toxic"), "toxicity-sample")
 
 
-def _word_counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts that have a word, summed per task: clean ones by word, toxic ones by word and the word before it."""
-    counts = (Counter(), Counter())
+def _signatures(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per text its least shingle hashes under SIGNATURE permutations; texts without words have none."""
+    table, factors = WordHashes(), mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
     for batch in batches:
-        for text, toxic in zip(batch["text"], batch["toxic"]):
-            words = words_of(text)
-            counts[int(toxic)].update(set(zip(words, ["", *words])) if toxic else set(words))
-        if len(counts[0]) + len(counts[1]) > 500_000:
-            yield from _count_rows(counts)
-            counts = (Counter(), Counter())
-    yield from _count_rows(counts)
+        held = list(zip(batch["key"], batch["text"]))
+        for rows in batched(held, 1):
+            values, counts = shingle_sets((text for _, text in rows), table)
+            least = []
+            for own in np.split(values, np.cumsum(counts)[:-1]):
+                least.append(np.array([mix(own * f).min() for f in factors]).tobytes() if len(own) else None)
+            yield pd.DataFrame({"key": [k for k, _ in rows], "signature": pd.Series(least, dtype=object)})
+
+
+def _copy_classes(keys: list[int], signatures: list[bytes | None]) -> dict[int, int]:
+    """Class of each text: texts that agree in SAME of their signature's places are near copies."""
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    rows = [(k, np.frombuffer(s, np.uint64)) for k, s in sorted(zip(keys, signatures)) if s is not None]
+    for at in range(0, SIGNATURE, BAND):
+        holders: dict[bytes, list] = {}
+        for k, own in rows:
+            earlier = holders.setdefault(own[at:at + BAND].tobytes(), [])
+            for other, theirs in earlier:
+                if find(other) != find(k) and (own == theirs).sum() >= SAME:
+                    low, high = sorted((find(other), find(k)))
+                    root[high] = low
+            # One holder of each class stands for it.
+            if all(find(other) != find(k) for other, _ in earlier):
+                earlier.append((k, own))
+    return {k: find(k) for k in keys}
+
+
+def with_classes(sample: DataFrame) -> DataFrame:
+    """`sample` (text, toxic) with `class`, the same for exact and near copies of a text.
+
+    A few hundred bytes of each different text of the sample, which is bounded, are collected.
+    """
+    keyed = sample.withColumn("key", F.xxhash64("text"))
+    found = (keyed.select("key", "text").dropDuplicates(["key"])
+             .mapInPandas(_signatures, "key long, signature binary").collect())
+    classes = _copy_classes([r["key"] for r in found], [r["signature"] and bytes(r["signature"]) for r in found])
+    frame = sample.sparkSession.createDataFrame(list(classes.items()), "key long, class long")
+    return keyed.join(F.broadcast(frame), "key").select("text", "toxic", "class")
+
+
+def _word_classes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Different (word, class, toxic) of a task."""
+    held = set()
+    for batch in batches:
+        for text, toxic, own in zip(batch["text"], batch["toxic"], batch["class"]):
+            held.update((word, own, int(toxic)) for word in set(words_of(text)))
+        if len(held) > 500_000:
+            yield from _word_rows(held)
+            held = set()
+    yield from _word_rows(held)
 
 
-def _count_rows(counts: tuple[Counter, Counter], rows: int = 20_000) -> Iterator[pd.DataFrame]:
-    found = [(word, None, 0, n) for word, n in counts[0].items()]
-    found += [(word, context, n, 0) for (word, context), n in counts[1].items()]
-    for at in range(0, len(found), rows):
-        frame = pd.DataFrame(found[at:at + rows], columns=["word", "context", "toxic", "clean"])
-        yield frame.astype({"word": object, "context": object})
+def _word_rows(held: set, rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    held = list(held)
+    for at in range(0, len(held), rows):
+        yield pd.DataFrame(held[at:at + rows], columns=["word", "class", "toxic"]).astype({"word": object})
 
 
 def learn_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
     """Terms of the lexicon: starts of words, with the end mark where they are whole words."""
-    totals = dict(sample.groupBy("toxic").count().collect())
+    sample = stored(with_classes(sample), "toxicity-classes")
+    totals = dict(sample.select("toxic", "class").distinct().groupBy("toxic").count().collect())
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return []
@@ -230,15 +284,13 @@ def learn_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
     marked = F.concat(F.substring("word", 1, LONGEST), F.lit(_END))
     starts = F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.length(marked))),
                          lambda n: F.substring(marked, F.lit(1), n))
-    # A word counts as often as it follows different words, so that copies of one text are little evidence.
-    # A text counts once for each of its words that have the start.
-    found = (sample.mapInPandas(_word_counts, "word string, context string, toxic long, clean long")
-             .groupBy("word", "context").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-             .groupBy("word").agg(F.least(F.sum("toxic"), F.count("context")).alias("toxic"), F.sum("clean").alias("clean"))
+    # A class of texts counts once for each of its words that have the start.
+    found = (sample.mapInPandas(_word_classes, "word string, class long, toxic int").distinct()
+             .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
              .select(F.explode(starts).alias("term"), "toxic", "clean")
              .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
              .withColumn("evidence", 2 * (part(F.col("toxic"), toxic) + part(F.col("clean"), clean)))
-             .where((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)) & (F.col("evidence") >= LEAST_EVIDENCE)
+             .where((F.col("toxic") >= LEAST_TEXTS) & (F.col("evidence") >= LEAST_EVIDENCE)
                     & (F.col("toxic") / toxic >= LEAST_PURITY * (F.col("toxic") / toxic + F.col("clean") / clean))
                     & (F.col("toxic") >= LEAST_PURITY * seen))
              .orderBy(F.desc("evidence"), "term").limit(most_terms * 8)

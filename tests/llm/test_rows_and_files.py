@@ -291,6 +291,26 @@ def test_learnt_scores(spark):
     assert scored[None] >= toxicity.THRESHOLD > scored[1001] == scored[1002] and scored[1000] > scored[1001]
 
 
+def test_terms_of_fixed_phrases_and_copies(spark):
+    """A term that always follows the same word is learnt, also a rare one; a word of one text's near copies is not."""
+    draw = random.Random(4)
+    clean = [f"{a}{b}{c}{d}" for a in "bcdfg" for b in "aeiou" for c in "lmnr" for d in "aeiou"]
+    rows = []
+    for i in range(3000):
+        words = [draw.choice(clean) for _ in range(25)]
+        if i < 600:
+            words[5:5] = ["you", "zzgrot"] if i < 595 else ["son", "of", "a", "qwimblex"]
+        rows.append((" ".join(words), int(i < 600)))
+    base = [draw.choice(clean) for _ in range(120)]
+    rows += [(" ".join([*base, "xoverly", str(i)]), 1) for i in range(60)]
+    sample = table(spark, rows, "text string, toxic int")
+    terms = toxicity.learn_terms(sample)
+    assert "zzgrot$" in terms and not any(t.startswith("xo") for t in terms)
+    rare = table(spark, [(t.replace("zzgrot", "zzgrot" if i % 30 else "vrukk"), y) for i, (t, y) in enumerate(rows)],
+                 "text string, toxic int")
+    assert {"zzgrot$", "vrukk$"} <= set(toxicity.learn_terms(rare))
+
+
 def test_without_labels(spark):
     docs = table(spark, [(1, "a", None), (2, None, None)])
     for labels in ([], [(1, 1, 0), (2, 1, 0)]):
