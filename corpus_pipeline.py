@@ -1,9 +1,10 @@
 """Training corpus from `documents`: five stages, each written and reread before the next.
 
-A doc_id names a document: where a stage drops a document, all rows with its id go.
-Rows without an id can't be named and are only touched by decisions on rows
-(toxicity, mixing). Empty tables pass through every stage. A stage's result is to be
-written before the next stage is called: that call deletes its intermediate results.
+Every stage decides by row, whether a row has an id, shares it with others or not: rows
+get a key of their own that is stored before an operator reads them. Only repeated rows,
+of one id and one text, count as one document and stay together. Empty tables pass
+through every stage. A stage's result is to be written before the next stage is called:
+that call deletes its intermediate results.
 """
 
 from __future__ import annotations
@@ -32,11 +33,22 @@ def _stage(decide):
     return run_stage
 
 
-def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """`docs` without those whose id has no row with `stays`; ids without a row stay."""
-    dropped = stored(decisions.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("stays").alias("stays"))
-                     .where("NOT stays").select("doc_id"), "dropped-ids")
-    return docs.join(counted(dropped), "doc_id", "left_anti").select(*docs.columns)
+_ROW = "_pipeline_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Stored `docs` with a key of each row."""
+    return stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """What an operator reads of the rows: their keys are its ids."""
+    return keyed.select(F.col(_ROW).alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of `keyed` whose key is not in `dropped` (_ROW)."""
+    return keyed.join(counted(stored(dropped, "dropped-rows")), _ROW, "left_anti").drop(_ROW)
 
 
 @_stage
@@ -48,16 +60,28 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near duplicates."""
-    found = parity_join.parity_join(docs, count_links=False)
-    return _without(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")))
+    """The document of the smallest id of each component of near duplicates; one without an id only where none has one.
+
+    Of several texts with that id one stays, with its repetitions.
+    """
+    keyed = _keyed(docs)
+    found = parity_join.parity_join(_by_row(keyed), count_links=False)
+    rows = stored(found.select(F.col("doc_id").alias(_ROW), F.col("component_id").alias("_component"))
+                  .join(keyed.select(_ROW, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"),
+                                     F.md5("text").alias("_md5")), _ROW), "pipeline-components")
+    first = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col(_ROW).alias("row"))
+    first = rows.groupBy("_component").agg(F.min_by(F.struct("_id", _ROW, "_text", "_md5"), first).alias("first"))
+    same = (F.col("_id") == F.col("first._id")) & (F.col("_text") == F.col("first._text")) & (F.col("_md5") == F.col("first._md5"))
+    stays = (F.col(_ROW) == F.col(f"first.{_ROW}")) | F.coalesce(same, F.lit(False))
+    return _without(keyed, rows.join(first, "_component").where(~stays).select(_ROW))
 
 
 @_stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = positional_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("doc_id", (~F.col("contaminated")).alias("stays")))
+    """Rows in which no window of a benchmark item occurs."""
+    keyed = _keyed(docs)
+    found = positional_index.contamination(_by_row(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(keyed, found.where("contaminated").select(F.col("doc_id").alias(_ROW)))
 
 
 @_stage

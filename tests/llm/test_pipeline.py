@@ -41,6 +41,21 @@ def test_run_matches_plain_stages(spark):
     assert sorted(r["start"] for r in got)[0] == 0 and max(r["start"] + r["n_tokens"] for r in got) == sum(r["n_tokens"] for r in got)
 
 
+def test_stages_decide_by_row(spark, tmp_path):
+    """Rows without an id, and rows that share one, are dropped for what they hold themselves."""
+    table(spark, [(1, "p q r s t u v w x y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    leak, near = "see p q r s t u v w x y here", " ".join(f"n{i}" for i in range(60))
+    docs = table(spark, [(None, leak, None), (None, "clean", None), (7, leak, None), (7, "also clean", None)])
+    after = stages["benchmark decontamination"](spark, docs, str(tmp_path))
+    assert sorted(r["text"] for r in after.collect()) == ["also clean", "clean"]
+    docs = table(spark, [(None, f"{near} one", None), (None, f"{near} two", None), (4, "m1 m2 m3 m4 m5 m6", None),
+                         (None, "m1 m2 m3 m4 m5 m6", None), (9, near.replace("n", "k"), None),
+                         (9, near.replace("n", "k") + " more", None)])
+    after = stages["n-gram Jaccard join"](spark, docs, str(tmp_path))
+    assert sorted(str(r["doc_id"]) for r in after.collect()) == ["4", "9", "None"]
+
+
 def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long, size string, copies string, row string"
     odd = [(1, "a b c d e f g", "en", "s", 1, "x", "y", "z"), (1, "a b c d e f g", "en", "s", 1, "x", "y", "z"),
