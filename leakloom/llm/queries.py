@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from leakloom.llm import (
-    license_scan, line_spread, mixing, parity_join, positional_index, shard_propagation, token_records, toxicity,
+    license_scan, line_spread, middle_fill, mixing, parity_join, positional_index, shard_propagation, token_records, toxicity,
     trie_dedup, url_cascade,
 )
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_trie_dedup": trie_dedup.op8_trie_dedup,
     "op9_positional_index": positional_index.op9_positional_index,
     "op10_mix": mixing.op10_mix,
+    "op11_middle_fill": middle_fill.op11_middle_fill,
 }
 ORACLES = {
     "op2_url_cascade": url_cascade.OP2_SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_trie_dedup": trie_dedup.OP8_SQL,
     "op9_positional_index": positional_index.OP9_SQL,
     "op10_mix": mixing.OP10_SQL,
+    "op11_middle_fill": middle_fill.OP11_SQL,
 }
