@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from leakloom.llm import (
-    license_scan, line_spread, middle_fill, mixing, parity_join, positional_index, shard_propagation, token_records, toxicity,
-    trie_dedup, url_cascade, whitening,
+    license_scan, line_spread, middle_fill, mixing, parity_join, positional_index, quality, shard_propagation, token_records,
+    toxicity, trie_dedup, url_cascade, whitening,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_positional_index": positional_index.op9_positional_index,
     "op10_mix": mixing.op10_mix,
     "op11_middle_fill": middle_fill.op11_middle_fill,
+    "op12_quadratic_quality": quality.op12_quadratic_quality,
     "op13_refined_whitening": whitening.op13_refined_whitening,
 }
 ORACLES = {
