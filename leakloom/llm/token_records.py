@@ -32,16 +32,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from leakloom.llm.common import before, id_text, id_values, longs, on_workers, scratch, stored
+from leakloom.llm.common import before, longs, on_workers, scratch, stored
+from leakloom.llm.hashing import mix
 from leakloom.session import work_dir
 
 END_ID = 1
 FILE_BYTES = 64_000_000
 TABLE_WORDS = 500_000
+#: Bytes of texts that are encoded together.
+PIECE_BYTES = 2_000_000
 
 _MASK = 0xA282EAD8
 _LENGTH, _CRC, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qB")
@@ -87,13 +91,73 @@ def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (None if flags & _NULL_ID else doc_id), ids.astype("<u4")
 
 
+#: Kinds of bytes: ASCII letters (folded) and digits; other visible ASCII; white space.
+_ALNUM, _SYMBOL, _SPACE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_SYMBOL[33:127] = True
+_SYMBOL[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = False
+_SPACE[[0x20, *range(9, 14)]] = True
+#: First byte of two-byte letters, but for these two second bytes (the signs of multiplication and division).
+_LATIN, _SIGNS = 0xC3, (0x97, 0xB7)
+#: The mark that a folded I does not take up, while I does.
+_DOT_ABOVE = "\u0307".encode()
+#: Bytes of a word that are compared as numbers, eight at a time; masks of fewer than eight.
+_KEYS = 3
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts, folded and end to end; where each word begins and ends in them; how many words end with each text.
+
+    A word ends at white space, and between a letter or digit and a mark after it: tokens never reach across.
+    """
+    line = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+    solid = ~_SPACE[line]
+    after = _ALNUM[line[:-1]]
+    after[1:] |= (line[:-2] == _LATIN) & (line[1:-1] != _SIGNS[0]) & (line[1:-1] != _SIGNS[1])
+    parted = after & _SYMBOL[line[1:]]
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1] | parted
+    ends[:-1] &= ~solid[1:] | parted
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    return line, begins, ends, np.searchsorted(begins, stops)
+
+
+def _different(line: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the different words, and for each word the number of its first place.
+
+    Words are compared as numbers; each of more than 8 * `_KEYS` bytes counts as different.
+    """
+    size, places = ends - begins, np.arange(len(begins))
+    padded = np.concatenate((line, np.zeros(8 * _KEYS, np.uint8)))
+    window = np.ndarray((len(line) + 8 * (_KEYS - 1) + 1,), "<u8", padded, strides=(1,))
+    keys = [window[begins + 8 * k] & _MASKS[np.clip(size - 8 * k, 0, 8)] for k in range(_KEYS)]
+    long = size > 8 * _KEYS
+    keys[0][long] = places[long]
+    name = size.astype(np.uint64)
+    for key in keys:
+        name = mix(name + key)
+    number = pd.factorize(name)[0]
+    first = np.empty(int(number.max(initial=-1)) + 1, np.int64)
+    first[number[::-1]] = places[::-1]
+    own = first[number]
+    for key in (*keys, size):
+        if (key != key[own]).any():  # two words of one name: have all apart
+            return places, places
+    return first, number
+
+
 class Encoder:
     """The tokenizers library, asked once per word where words are encoded independently.
 
     That holds if the pre-tokenizer drops white space, keeps runs of letters together
     and marks the ends of words. New words of letters then go to the library in one
     string and are told apart by those marks; what each gave is kept in two
-    generations of `TABLE_WORDS` words. Any other tokenizer gets whole texts.
+    generations of `TABLE_WORDS` words, and different words are looked up once per piece
+    of texts. A-Z is folded first, and marks are parted from the words before them, so
+    that there are fewer different words; that needs a tokenizer that does both itself. Any other tokenizer gets whole texts, and so do
+    texts that may hold special tokens.
     """
 
     def __init__(self, path: str):
@@ -104,66 +168,70 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             shape = json.load(file)
         split = json.dumps(shape["pre_tokenizer"])
-        self.by_word = ('"behavior": "Removed", "invert": true' in split and r"|[\\p{L}]+|" in split
-                        and r"|[^\\s\\p{L}\\p{N}]+" in split
-                        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in shape["added_tokens"]))
         suffix = shape["model"].get("end_of_word_suffix")
-        self.by_word = self.by_word and bool(suffix)
+        self.by_word = (bool(suffix) and '"behavior": "Removed", "invert": true' in split and r"|[\\p{L}]+|" in split
+                        and r"|[^\\s\\p{L}\\p{N}]+" in split and '"Lowercase"' in json.dumps(shape["normalizer"])
+                        and all(t["content"].startswith("<|") and not any(t[k] for k in ("normalized", "lstrip", "rstrip", "single_word"))
+                                for t in shape["added_tokens"]))
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = bool(suffix) and token.endswith(suffix)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def __call__(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        # These four count as white space for str.split, but not for the tokenizer.
-        if not self.by_word or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._plain(text)
-        words = text.split()
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.young.__getitem__, words))
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
+        return self.many([(text or "").encode("utf-8", "surrogatepass")])[0].tobytes()
+
+    def many(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of each text (UTF-8)."""
+        whole = {i for i, t in enumerate(texts) if t and (not self.by_word or b"<|" in t or _DOT_ABOVE in t)}
+        line, begins, ends, stops = _words_of([b"" if t is None or i in whole else t for i, t in enumerate(texts)])
+        first, number = _different(line, begins, ends)
+        data = line.tobytes()
+        words = [data[a:b] for a, b in zip(begins[first].tolist(), ends[first].tolist())]
+        self._learn(set(words))
+        found = list(map(self.young.__getitem__, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        held, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        # Each word's ids are copied from where they are held.
+        own = size[number]
+        through = np.concatenate(([0], np.cumsum(own)))
+        ids = held[np.repeat(at[number] - through[:-1], own) + np.arange(through[-1])]
+        split = through[stops].tolist()
+        return [np.frombuffer(self._plain([texts[i].decode("utf-8", "surrogatepass")])[0], "<u4") if i in whole else ids[a:b]
+                for i, (a, b) in enumerate(zip([0, *split], split))]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Have all these words in the young generation."""
         if len(self.young) >= TABLE_WORDS:
             self.old, self.young = self.young, {}
-        young, new = self.young, []
-        for word in {w for w in words if w not in young}:
-            known = self.old.get(word)
-            if known is None:
-                new.append((word, *_parts(word)))
-            else:
-                young[word] = known
-        self._encode({stem for _, stem, _ in new} | {tail for _, _, tail in new if tail})
-        for word, stem, tail in new:
-            young[word] = young[stem] + young[tail] if tail else young[stem]
-
-    def _encode(self, words: set[str]) -> None:
-        single, other = [], []
-        for word in [w for w in words if w not in self.young]:
+        letters, other = [], []
+        for word in words.difference(self.young):
             known = self.old.get(word)
             if known is not None:
                 self.young[word] = known
-            elif max(word) < "\u0250" and word.lower().isalpha():
-                single.append(word)
+            elif word.isalpha() or not word.isascii() and _latin(word):
+                letters.append(word)
             else:
                 other.append(word)
-        if single:
+        if letters:
             # Letters alone are one piece each, and only its last token ends a word.
-            ids = np.array(self.tokenizer.encode(" ".join(single), add_special_tokens=False).ids, "<u4")
-            pieces = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)[:-1]
-            for word, piece in zip(single, pieces, strict=True):
-                self.young[word] = piece.tobytes()
-        for word in other:
-            self.young[word] = self._plain(word)
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(letters).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            self.young.update(zip(letters, (data[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+        if other:
+            self.young.update(zip(other, self._plain([w.decode("utf-8", "surrogatepass") for w in other])))
+
+
+def _latin(word: bytes) -> bool:
+    """Letters below U+0250 only, whatever their case."""
+    text = word.decode("utf-8", "surrogatepass")
+    return max(text) < "\u0250" and text.lower().isalpha()
 
 
 @functools.lru_cache(maxsize=1)
@@ -172,28 +240,37 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _parts(word: str) -> tuple[str, str]:
-    """Stem and tail that are encoded like the word: a mark after letters is a piece of its own, and A-Z is folded."""
-    stem, tail = (word[:-1], word[-1]) if word[-1] in ".," and word[:-1].isalpha() and max(word) < "\u0250" else (word, "")
-    return (stem.lower() if stem.isascii() else stem), tail
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Ids and texts (UTF-8) of rows, about `PIECE_BYTES` of texts at a time."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for own, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+            ids.append(own.as_py())
+            texts.append(text.as_py())
+            size += len(texts[-1] or b"")
+            if size >= PIECE_BYTES:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def _writer(root: str, tokenizer_path: str, end_id: int | None, file_bytes: int):
-    def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         part = TaskContext.get().partitionId()
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        end = np.array([] if end_id is None else [end_id], "<u4")
         system, base = pyarrow.fs.FileSystem.from_uri(root)
         stream, place, offset, name, rows = None, -1, 0, "", []
         try:
-            for batch in batches:
-                for own, text in zip(id_values(batch["doc_id"]), batch["text"]):
+            for held, texts in _pieces(batches):
+                for own, tokens in zip(held, encode.many(texts)):
                     if stream is None:
                         place, offset = place + 1, 0
                         name = f"part-{part:06d}-{place:04d}-{uuid.uuid4().hex}.bin"
                         system.create_dir(base, recursive=True)
                         stream = system.open_output_stream(f"{base}/{name}")
-                    ids = np.frombuffer(encode(text) + end, "<u4")
+                    ids = np.concatenate((tokens, end))
                     record = frame(serialise(own, ids))
                     stream.write(record)
                     rows.append((name, part, place, offset, len(record), own, len(ids)))
@@ -212,10 +289,12 @@ def _writer(root: str, tokenizer_path: str, end_id: int | None, file_bytes: int)
     return write
 
 
-def _index_rows(rows: list[tuple]) -> pd.DataFrame:
-    frame_ = pd.DataFrame(rows, columns=[c.split()[0] for c in _INDEX.split(", ")])
-    frame_["doc_id"] = longs(r[5] for r in rows)
-    return frame_
+_INDEX_FIELDS = pa.schema([("file", pa.string()), ("part", pa.int32()), ("place", pa.int32()), ("offset", pa.int64()),
+                           ("length", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64())])
+
+
+def _index_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _INDEX_FIELDS)], schema=_INDEX_FIELDS)
 
 
 def write_records(documents: DataFrame, tokenizer_path: str, end_id: int | None = END_ID,
@@ -226,8 +305,8 @@ def write_records(documents: DataFrame, tokenizer_path: str, end_id: int | None
     if "://" not in root:
         root = "file://" + root
     ordered = (documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id")
-               .sortWithinPartitions("doc_id", F.xxhash64("text")).select(id_text(), "text"))
-    return root, stored(ordered.mapInPandas(_writer(root, tokenizer_path, end_id, file_bytes), _INDEX), "token-index")
+               .sortWithinPartitions("doc_id", F.xxhash64("text")))
+    return root, stored(ordered.mapInArrow(_writer(root, tokenizer_path, end_id, file_bytes), _INDEX), "token-index")
 
 
 def _record_rows(rows: list[tuple]) -> pd.DataFrame:
