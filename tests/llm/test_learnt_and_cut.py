@@ -122,7 +122,7 @@ def test_statistics_of_odd_texts():
     named = dict(zip(quality.STATISTICS, quality.statistics("No no no, yes\nyes yes\n\nyes yes\n")))
     assert math.isclose(named["words"], math.log(9)) and math.isclose(named["run"], math.log(6))
     assert math.isclose(named["repeated"], math.log(5.5 / 9)) and math.isclose(named["distinct"], math.log(3.5 / 9))
-    assert math.isclose(named["repeated_lines"], math.log(1.5 / 4)) and math.isclose(named["upper"], math.log(1.5 / 25))
+    assert math.isclose(named["repeated_lines"], math.log(1.5 / 4)) and math.isclose(named["upper"], math.log(1.5 / 22))
 
 
 def test_quality_of_odd_tables(spark):
