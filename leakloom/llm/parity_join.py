@@ -23,9 +23,11 @@ symmetric difference that rejects most pairs; the rest are compared shingle by
 shingle. A key without frequent shingles has few holders by construction, and
 their pairs are listed. The holders of a frequent key are compared with one of
 them; those that this leaves in different components are compared across
-components, in blocks, by bit sketches. Thus the components are those of all links,
+components, in blocks, by bit sketches: each outsider once with all holders of the keys
+whose main component is the same. Thus the components are those of all links,
 and finding a cluster of n near copies costs about n comparisons. Equal sets are one
-class from the scan on.
+class from the scan on; they are known by 128 bits, the second half of which is looked
+at only where the first is not unique.
 
 Counting. Each set's number of links is of all its links. Where holders of a frequent
 key are in a component that is no clique of the links found so far, all pairs of the
@@ -53,16 +55,20 @@ FREQUENT = 8
 FILTER_BITS = 23
 #: Holders of one key whose pairs are listed; more are treated like holders of a frequent key.
 LISTED = 32
-#: Sets of one block in comparisons across components.
-BLOCK = 512
+#: Sets of one block in comparisons across components, and bytes of their sketches.
+BLOCK, BLOCK_BYTES = 2048, 8_000_000
+#: Parts into which the holders of a key are dealt.
+PARTS = 8
 #: When a component's links are counted: least sets of a block, blocks up to BLOCK sets each, shingles of a block.
 COUNT_BLOCK, COUNT_BLOCKS, COUNT_SHINGLES = 64, 16, 400_000
 #: Shingles held per task before they are sorted and sent on.
-_HELD = 1_000_000
+_HELD = 500_000
+#: Characters of the texts that a task handles at once; a longer text is handled alone.
+_CHARACTERS = 1_000_000
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
-_SEEN = 300_000
+_SEEN = 200_000
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -82,15 +88,22 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
-def set_marks(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """64-bit name of each set; 0 for empty ones."""
-    marks = np.zeros(len(counts), _U)
+def set_marks(values: np.ndarray, counts: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit name of each set, and a second 64-bit hash of it; 0 for empty ones.
+
+    A set whose name is among `apart` (sorted) is named by both hashes.
+    """
+    marks, checks = np.zeros(len(counts), _U), np.zeros(len(counts), _U)
     full = np.flatnonzero(counts)
     if len(full):
         at = (np.cumsum(counts) - counts)[full]
-        xored, summed = np.bitwise_xor.reduceat(values, at), np.add.reduceat(mix(values), at)
-        marks[full] = mix(xored * _GOLDEN + summed + counts[full].astype(_U))
-    return marks
+        xored, mixed = np.bitwise_xor.reduceat(values, at), mix(values)
+        marks[full] = mix(xored * _GOLDEN + np.add.reduceat(mixed, at) + counts[full].astype(_U))
+        checks[full] = mix(np.add.reduceat(mix(mixed + _GOLDEN), at) ^ xored)
+    if apart is not None and len(apart):
+        same = np.isin(marks, apart)
+        marks[same] = mix(marks[same] ^ mix(checks[same]))
+    return marks, checks
 
 
 def band_of(sizes: np.ndarray) -> np.ndarray:
@@ -173,15 +186,15 @@ def may_link(n_a, n_b, difference):
 class _Classes:
     """Shingle sets of a task's texts; a set counts as new where the task has not met it lately."""
 
-    def __init__(self):
-        self.table, self.seen = WordHashes(), set()
+    def __init__(self, apart: np.ndarray | None = None):
+        self.table, self.seen, self.apart = WordHashes(), set(), apart
 
     def __call__(self, batches: Iterable[pa.RecordBatch]):
-        """Per batch of texts: ids, sizes and marks of all, then values and sizes and marks of the new sets."""
+        """Per batch of texts: ids, sizes, marks and checks of all, then values and sizes and marks of the new sets."""
         rows = (r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        for held in batched(rows, 1):
+        for held in batched(rows, 1, _CHARACTERS):
             values, counts = shingle_sets((text for _, text in held), self.table)
-            marks = set_marks(values, counts)
+            marks, checks = set_marks(values, counts, self.apart)
             if len(self.seen) > _SEEN:
                 self.seen.clear()
             new = np.zeros(len(counts), bool)
@@ -189,7 +202,7 @@ class _Classes:
                 if counts[i] and mark not in self.seen:
                     self.seen.add(mark)
                     new[i] = True
-            yield [i for i, _ in held], counts, marks, values[np.repeat(new, counts)], counts[new], marks[new]
+            yield [i for i, _ in held], counts, marks, checks, values[np.repeat(new, counts)], counts[new], marks[new]
 
 
 # --- frequent shingles -------------------------------------------------------------------
@@ -206,7 +219,7 @@ def _shingle_blobs(bits: int):
 
     def run(batches):
         held, size = [], 0
-        for _, _, _, values, _, _ in _Classes()(batches):
+        for *_, values, _, _ in _Classes()(batches):
             held.append(values)
             size += len(values)
             if size >= _HELD:
@@ -251,8 +264,8 @@ def is_frequent(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
 # --- keys ----------------------------------------------------------------------------------
 
 _SCAN = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("blob", pa.binary()), ("key", pa.int64()),
-                   ("mark", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("sketch", pa.binary())])
-_SCAN_DDL = "kind string, bucket int, blob binary, key long, mark long, n long, doc_id long, sketch binary"
+                   ("mark", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("sketch", pa.binary())])
+_SCAN_DDL = "kind string, bucket int, blob binary, key long, mark long, check long, n long, doc_id long, sketch binary"
 
 
 def _scan_rows(kind: str, rows: int, **columns) -> pa.RecordBatch:
@@ -260,7 +273,7 @@ def _scan_rows(kind: str, rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(rows, f.type) if a is None else a for a, f in zip(arrays, _SCAN)], schema=_SCAN)
 
 
-def _key_rows(bits: int, filled):
+def _key_rows(bits: int, filled, apart: np.ndarray):
     """Rows of four kinds: texts, sets with bit sketches, keys of frequent lanes, and packed other keys by bucket."""
     def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([k for k, _ in held])
@@ -279,8 +292,9 @@ def _key_rows(bits: int, filled):
 
     def run(batches):
         held, size = [], 0
-        for ids, counts, marks, values, new, own in _Classes()(batches):
-            yield _scan_rows("text", len(ids), doc_id=pa.array(ids, pa.int64()), n=pa.array(counts.astype(np.int64)), mark=_signed(marks))
+        for ids, counts, marks, checks, values, new, own in _Classes(apart)(batches):
+            yield _scan_rows("text", len(ids), doc_id=pa.array(ids, pa.int64()), n=pa.array(counts.astype(np.int64)),
+                             mark=_signed(marks), check=_signed(checks))
             if not len(new):
                 continue
             yield _scan_rows("set", len(new), mark=_signed(own), n=pa.array(new.astype(np.int64)),
@@ -351,17 +365,19 @@ def _passing(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["a", "b"]]
 
 
-def _set_contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_contents(apart: np.ndarray):
     """(mark, shingles) of the texts (mark, text) whose set has that mark."""
-    table = WordHashes()
-    rows = (r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-    for held in batched(rows, 1, 1_000_000):
-        values, counts = shingle_sets((text for _, text in held), table)
-        marks = set_marks(values, counts).view(np.int64)
-        ends = np.cumsum(counts)
-        own = [(m, values[e - n:e].tobytes()) for (wanted, _), m, e, n in zip(held, marks.tolist(), ends, counts) if m == wanted]
-        yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in own], pa.int64()), pa.array([v for _, v in own], pa.binary())],
-                                         ["mark", "shingles"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
+        rows = (r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for held in batched(rows, 1, _CHARACTERS):
+            values, counts = shingle_sets((text for _, text in held), table)
+            marks = set_marks(values, counts, apart)[0].view(np.int64)
+            ends = np.cumsum(counts)
+            own = [(m, values[e - n:e].tobytes()) for (wanted, _), m, e, n in zip(held, marks.tolist(), ends, counts) if m == wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in own], pa.int64()), pa.array([v for _, v in own], pa.binary())],
+                                             ["mark", "shingles"])
+    return run
 
 
 def _linked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -375,8 +391,8 @@ def _linked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Verifier:
-    def __init__(self, texts: DataFrame, holders: DataFrame, sketches: DataFrame):
-        self.texts, self.holders, self.sketches = texts, holders, sketches
+    def __init__(self, texts: DataFrame, holders: DataFrame, sketches: DataFrame, apart: np.ndarray):
+        self.texts, self.holders, self.sketches, self.apart = texts, holders, sketches, apart
         self.contents: list[DataFrame] = []
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -386,7 +402,7 @@ class _Verifier:
         wanted = passing.select(F.col("a").alias("mark")).union(passing.select("b")).distinct()
         wanted = stored(wanted.join(self.holders, "mark"), "parity-wanted")
         texts = self.texts.alias("t").join(counted(wanted).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
-        contents = stored(texts.select("w.mark", "t.text").mapInArrow(_set_contents, "mark long, shingles binary")
+        contents = stored(texts.select("w.mark", "t.text").mapInArrow(_set_contents(self.apart), "mark long, shingles binary")
                           .dropDuplicates(["mark"]), "parity-contents")
         self.contents.append(contents)
         both = (passing.join(contents.select(F.col("mark").alias("a"), F.col("shingles").alias("va")), "a")
@@ -411,10 +427,13 @@ def _key_groups(frequent: DataFrame) -> DataFrame:
         F.count("*").alias("size"), F.min("mark").alias("hub"),
         F.bit_xor(F.xxhash64("mark")).alias("_x"), F.bit_xor(F.xxhash64("mark", F.lit(1))).alias("_y")).where("size > 1")
     chosen = sizes.groupBy("size", "hub", "_x", "_y").agg(F.min("key").alias("key")).select("key", "hub", "size")
-    return stored(frequent.join(chosen, "key"), "parity-groups")
+    # A key that very many sets hold is dealt to several tasks: each of its rows is found in one part of them.
+    part = F.pmod(F.xxhash64("mark", F.lit(2)), F.lit(PARTS)).cast("int")
+    parts = chosen.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
+    return stored(frequent.withColumn("_part", part).join(parts, ["key", "_part"]).drop("_part"), "parity-groups")
 
 
-_COLUMNS = ("key", "i", "j", "minor", "mark", "comp", "n", "sketch")
+_COLUMNS = ("main", "i", "j", "minor", "mark", "comp", "n", "sketch")
 #: Bytes of sketches that one step of a block's comparison holds.
 _STEP_BYTES = 4_000_000
 
@@ -465,25 +484,35 @@ def _pair_rows(pairs: list[np.ndarray]) -> pd.DataFrame:
 
 
 def _cross_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidate pairs of holders that the hubs left in different components."""
+    """Candidate pairs of holders that the hubs left in different components.
+
+    Keys whose holders mostly belong to one component are taken together: near copies
+    share hundreds of keys, and one comparison of each outsider with the holders does
+    for all of them.
+    """
     rows = (groups.where("size > 2").join(comps, F.col("mark") == F.col("node"), "left")
             .select("key", "mark", F.coalesce("root", "mark").alias("comp")))
     rows = stored(rows, "parity-holders")
     open_keys = (rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
                  .groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"),
-                                     F.sum("n").alias("size")).where("size > most"))
-    rows = (rows.join(open_keys, "key").join(sketches, "mark")
-            .withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
-            .withColumn("nm", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")))
+                                     F.sum("n").alias("size")).where("size > most").select("key", "main"))
+    rows = rows.join(counted(stored(open_keys, "parity-open-keys")), "key").select("main", "mark", "comp").distinct()
+    rows = stored(rows.join(sketches, "mark").withColumn("minor", F.col("comp") != F.col("main")), "parity-outsiders")
+
+    def blocks(of, n):  # of the rows that `of` selects
+        return F.greatest(F.ceil(F.sum(of) / BLOCK), F.ceil(F.sum(of * n) / BLOCK_BYTES)).cast("int")
+
+    length, minor = F.length("sketch"), F.col("minor").cast("int")
+    sizes = rows.groupBy("main").agg(blocks(F.lit(1), length).alias("nb"), blocks(minor, length).alias("nm"))
+    rows = rows.join(counted(stored(sizes, "parity-blocks")), "main")
     row_block = F.pmod(F.xxhash64("mark"), F.col("nb")).cast("int")
     minor_block = F.pmod(F.xxhash64("mark", F.lit(1)), F.col("nm")).cast("int")
     columns = list(_COLUMNS)
     all_rows = (rows.withColumn("i", row_block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)))
                 .withColumn("minor", F.lit(False)).select(*columns))
-    minor = (rows.where("comp != main").withColumn("j", minor_block)
-             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-             .withColumn("minor", F.lit(True)).select(*columns))
-    return (all_rows.unionByName(minor).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    minors = (rows.where("minor").withColumn("j", minor_block)
+              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(*columns))
+    return (all_rows.unionByName(minors).repartition("main", "i", "j").sortWithinPartitions("main", "i", "j")
             .mapInPandas(_cross, "a long, b long").distinct())
 
 
@@ -583,17 +612,25 @@ def parity_join(documents: DataFrame, frequent: int = FREQUENT, count_links: boo
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(18, max(8, (4 * partitions - 1).bit_length()))
     filled = spark.sparkContext.broadcast(frequent_filter(texts, bits, frequent))
-    scan = stored(texts.mapInArrow(_key_rows(bits, filled), _SCAN_DDL), "parity-scan")
-
-    rows = scan.where("kind = 'text'").select("doc_id", "n", "mark")
-    holders = rows.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
+    apart = np.empty(0, _U)
+    for _ in range(3):
+        scan = stored(texts.mapInArrow(_key_rows(bits, filled, apart), _SCAN_DDL), "parity-scan")
+        rows = scan.where("kind = 'text'").select("doc_id", "n", "mark", "check")
+        holders = stored(rows.where("n > 0").groupBy("mark").agg(
+            F.min("doc_id").alias("doc_id"), (F.min("check") != F.max("check")).alias("several")), "parity-names")
+        # Different sets of one name: some three among 10^10, so another scan tells them apart.
+        shared = [r["mark"] for r in holders.where("several").select("mark").collect()]
+        if not shared:
+            break
+        apart = np.union1d(apart, np.array(shared, np.int64).view(_U))
+    rows, holders = rows.drop("check"), holders.drop("several")
     sketches = stored(scan.where("kind = 'set'").select("mark", "n", "sketch").dropDuplicates(["mark"]), "parity-sketches")
     listed = stored(scan.where("kind = 'packed'").select("bucket", "blob").groupBy("bucket")
                     .applyInPandas(_bucket_pairs, "a long, b long, many boolean"), "parity-keys")
     groups = _key_groups(scan.where("kind = 'frequent'").select("key", "mark")
                          .unionByName(listed.where("many").select(F.col("a").alias("key"), F.col("b").alias("mark"))).distinct())
 
-    verify = _Verifier(texts, holders, sketches)
+    verify = _Verifier(texts, holders, sketches, apart)
     hubs = groups.where("mark != hub").select(F.col("hub").alias("a"), F.col("mark").alias("b"))
     links = verify(listed.where("NOT many").select("a", "b").unionByName(hubs).distinct())
     more = verify(_cross_pairs(groups, components(links), sketches))
@@ -612,4 +649,4 @@ def parity_join(documents: DataFrame, frequent: int = FREQUENT, count_links: boo
 
 def op3_parity_join(spark, sf_dir: str) -> DataFrame:
     on_workers(spark)
-    return parity_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return parity_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), count_links=False)

@@ -171,3 +171,43 @@ def test_white_space_and_case_are_ascii():
 
     assert folded_words("\u00c9 A\x1cb\u00a0c\x0bD") == ["\u00c9".encode(), "a\x1cb\u00a0c".encode(), b"d"]
     assert trie_dedup.normalised(" a\u00a0b\n") == "a\u00a0b".encode()
+
+
+@pytest.mark.parametrize("copies", [8, 32, 500])
+def test_clusters_with_as_many_outsiders(spark, copies):
+    """Near copies of one text and outsiders that share too little with most of them: components as by all pairs."""
+    draw, base, texts = random.Random(copies), [f"b{i}" for i in range(60)], []
+    for copy in range(copies):
+        own = list(base)
+        for k in range(draw.randint(0, 1)):
+            own[draw.randrange(60)] = f"c{copy}x{k}"
+        texts.append(" ".join([*own, f"end{copy}"]))
+    for copy in range(copies):  # the same passage among words of their own
+        own = [f"o{copy}x{k}" for k in range(draw.randint(8, 22))]
+        texts.append(" ".join([*own, *base[:draw.randint(45, 60)]]))
+    docs = list(enumerate(texts))
+    draw.shuffle(docs)
+    found = parity_join.parity_join(table(spark, [(d, t, None) for d, t in docs]), count_links=False)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == near_duplicates(docs)
+
+
+def test_names_of_sets_that_collide_are_told_apart():
+    draw = np.random.default_rng(9)
+    sets = [np.sort(draw.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 4, 9, 4)]
+    sets[3] = sets[1]
+    values, counts = np.concatenate(sets), np.array([len(s) for s in sets])
+    marks, checks = parity_join.set_marks(values, counts)
+    assert marks[1] == marks[3] and checks[1] == checks[3] and len(set(checks.tolist())) == 3
+    again, same = parity_join.set_marks(values, counts, np.sort(marks[[1, 2]]))
+    assert again[0] == marks[0] and again[1] == again[3] != marks[1] and again[2] != marks[2] and (same == checks).all()
+
+
+def test_registered_join_matches_all_pairs(spark):
+    import duckdb
+
+    from leakloom.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = duckdb.connect().execute(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op3_parity_join"](spark, sf).collect()}
+    assert got == near_duplicates(docs)
