@@ -127,6 +127,27 @@ def test_cascade_is_exact_where_filters_are_small(spark, monkeypatch):
     assert universe.where(cascade.holds(universe["key"]) != universe["listed"]).count() == 0
 
 
+def test_hosts_and_paths_of_any_length(spark):
+    long = ".".join(["a"] * 20_000)
+    urls = [f"http://{long}.www.example.com/en/{'x' * 30_000}", f"http://{long}.net/es/{'/fr' * 9_000}", f"http://{long}", f"http://com.{long}.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), PAGES)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_cascade.judge_urls(pages).collect()}
+    assert got == {0: ("www.example.com/en/", "allow"), 1: ("net/es/", "block"), 2: (None, "allow"), 3: (None, "allow")}
+
+
+def test_a_later_level_over_the_bound_is_left_to_a_join(spark, monkeypatch):
+    """Few rules, very many other keys: what passes the first filter wrongly needs more bits than allowed."""
+    monkeypatch.setattr(url_cascade, "BITS_PER_KEY", 1)
+    universe = spark.range(20_000).selectExpr("concat('k', id) AS key", "id < 40 AS listed").cache()
+    assert url_cascade.build_cascade(universe, 64) is None
+    assert len(url_cascade.build_cascade(universe, 1 << 20).levels) >= 1
+    urls = [f"http://h{i}.net/{'es' if i % 7 == 0 else 'x'}/" for i in range(3000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), PAGES)
+    for most_bits in (64, 1 << 20):
+        got = url_cascade.judge_urls(pages, most_bits=most_bits).where("verdict = 'block'").count()
+        assert got == len(range(0, 3000, 7))
+
+
 def test_no_pages_and_no_rules(spark):
     assert url_cascade.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
     rules = spark.createDataFrame([], "host string, path string, verdict string")
@@ -366,3 +387,90 @@ def test_repeated_rows_are_mixed_alike(spark):
     got = mixing.mix_sources(table(spark, rows)).groupBy("source").agg({"copies": "sum"}).collect()
     # Two sources of 120 and 3 words: the larger is to get three quarters of 184.5, the smaller at most 6.
     assert {r[0]: r[1] for r in got} == {"s": pytest.approx(184.5 * 3 / 4 / 3, abs=15), "t": 6}
+
+
+def test_terms_of_long_words_and_unspaced_scripts(spark):
+    """Strong terms are kept however many weak and short ones there are; starts of long words and runs without spaces match."""
+    draw, rows = random.Random(8), []
+    clean = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnr"]
+    long = "vilifcationsupremenonsenser"  # 27 letters
+    for i in range(800):
+        words = [draw.choice(clean) for _ in range(20)]
+        text = " ".join(words)
+        if i < 240:
+            text += f" {long}x{i}" if i % 2 else " 这个坏人" + draw.choice("是很也") + "走了"
+        else:
+            text += " 这个好人" + draw.choice("是很也") + "走了"
+        rows.append((text, int(i < 240)))
+    terms = toxicity.learn_terms(table(spark, rows, "text string, toxic int"))
+    assert long[:toxicity.LONGEST] in terms and not any(t.startswith(long) for t in terms)
+    assert any(t in "个坏人" and "坏" in t for t in terms) and not any("好" in t for t in terms)
+    trie = toxicity.LexiconTrie(terms)
+    for word in (long[:24], long[:25], long, long + "zzz"):
+        assert trie[word] == 1
+    assert toxicity.text_features("abc这里有个坏人在这里", trie)[1] == 1.0 and toxicity.text_features("这里有个好人在这里", trie)[1] == 0.0
+    assert toxicity.words_of("x坏人y z") == ["x", "坏人", "人", "y", "z"]
+
+
+def test_no_term_is_dropped_for_its_length():
+    """Probe of many weak short terms and one strong long one."""
+    counts = {f"w{i:04d}": 5 for i in range(6000)} | {"strongterm": 1_000_000}
+    assert "strongterm" in toxicity._longest_forms(counts) and len(toxicity._longest_forms(counts)) == 6001
+
+
+def test_learning_reads_one_text_of_an_id(spark):
+    docs = table(spark, [(1, f"text {i}", None) for i in range(50)] + [(2, "b", None)])
+    labels = table(spark, [(1, 1, 1), (2, 1, 0)], LABELS)
+    got = toxicity.learning_rows(docs, labels, 20).collect()
+    ids = [d for d in (1, 2) if zlib.crc32(str(d).encode()) % 3 != 1]
+    assert len(got) == len(ids)
+
+
+def test_reporting_words_are_learnt(spark):
+    draw, rows = random.Random(9), []
+    clean = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnr"]
+    for i in range(400):
+        words = [draw.choice(clean) for _ in range(15)]
+        words[4:4] = ["you", "zzgrot"] if i < 200 else (["dixit", "zzgrot"] if i < 230 else [])
+        rows.append((" ".join(words), int(i < 200)))
+    classes = toxicity.with_classes(table(spark, rows, "text string, toxic int"))
+    assert toxicity.reporting_words(classes, ["zzgrot$"]) == ["dixit"]
+
+
+def test_registered_toxicity_against_a_plain_scorer(spark):
+    """Held-out flags, scores and predictions by edit distances over the learnt terms, without trie or automaton."""
+    import duckdb
+
+    from leakloom.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = duckdb.connect().execute(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
+    model = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    known = {}
+
+    def kind(word):
+        if word not in known:
+            best = 3
+            for term in model.terms:
+                stem = term.rstrip("$")
+                fuzzy = len(stem) >= (toxicity.FUZZY_FROM if term != stem else toxicity.FUZZY_START_FROM)
+                if term != stem:
+                    errors = edit_distance(word, stem) if abs(len(word) - len(stem)) < 2 else 9
+                else:
+                    errors = min(edit_distance(word[:n], stem) for n in range(len(stem) - 1, len(stem) + 2) if n >= 0)
+                if errors <= fuzzy:
+                    best = min(best, 1 + errors)
+            known[word] = 0 if best == 3 or best == 2 and word in model.plain else best
+        return known[word]
+
+    class Plain(dict):
+        def __missing__(self, word):
+            return kind(word)
+
+    got = {r["doc_id"]: r for r in QUERIES["op6_toxicity"](spark, sf).collect()}
+    assert len(got) == len(docs)
+    for doc_id, text in docs:
+        x = np.array(toxicity.text_features(text, Plain(), model.reporting))
+        want = 1 / (1 + np.exp(-(x @ model.weights)))
+        assert got[doc_id]["score"] == pytest.approx(want) and got[doc_id]["predicted"] == (want >= 0.7)
+        assert got[doc_id]["held_out"] == (zlib.crc32(str(doc_id).encode()) % 3 == 1)
