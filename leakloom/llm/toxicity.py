@@ -9,20 +9,30 @@ Words of clean labelled texts that are an edit away from a term are no misspelli
 Evidence is counted over different texts: exact and near copies in the sample are
 one, found by least shingle hashes.
 
+Scripts written without spaces have no words to look up. Every place of such a run
+stands for a word instead: the few characters from there on, so a term is found
+anywhere in the run. Such terms have no end marks and are not matched misspelt.
+
 Each hit is read in its window: one between quotation marks, or after a word that
-reports speech, counts as quoted, others as abuse. A text's counts of exact,
+reports speech, counts as quoted, others as abuse. Which words report is learnt from
+those in front of terms in clean texts, starting from a short table. A text's counts of exact,
 misspelt and quoted hits go into a logistic score. Its weights are fitted to
-`sample_rows` labelled rows at most, the documented bound, chosen by a hash of the
-id; they start from the stated prior, which holds where there are few labels.
+`sample_rows` labelled documents at most, the documented bound, chosen by a hash of the
+id; they start from the stated prior, which holds where there are few labels. All
+terms with enough evidence in the sample are taken; its size bounds their number.
 
 Defined results: null and empty texts have no hits and get the score of the
 intercept; without labels of both kinds there are no terms; repeated rows are
-scored alike; null ids are scored, but never learnt from or held out.
+scored alike; null ids are scored, but never learnt from or held out; of several texts
+of one id the least is learnt from. Words of any length are looked up by their first
+letters: a term of more than `LONGEST` letters is a start of `LONGEST` letters.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -38,7 +48,6 @@ from leakloom.llm.common import on_workers, stored
 from leakloom.llm.hashing import WordHashes, batched, mix, shingle_sets
 
 SAMPLE_ROWS = 20_000
-MOST_TERMS = 5_000
 THRESHOLD = 0.7
 #: Least different toxic texts of a term; least evidence (G-squared) and purity.
 LEAST_TEXTS, LEAST_EVIDENCE, LEAST_PURITY = 4, 20.0, 0.8
@@ -54,14 +63,35 @@ PRIOR = np.array([-3.0, 3.0, 2.0, -1.0, 0.5, 0.0])
 SPREAD = 2.0
 
 _END = "$"
-_TABLE = 500_000
+_TABLE = 200_000
+#: Characters of scripts without spaces (Thai and Lao, Burmese, Khmer, kana, Han); those that stand for a word in them.
+_RANGES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_RANGES}]+")
+SHORTEST_UNSPACED, PIECE = 2, 4
 _WORD = re.compile(r"[^\W_]+(?:[*@'0-9]+[^\W_]+)*")
 _QUOTES = "\"“”„«»"
 _REPORTING = frozenset(("said", "says", "quote", "quoted", "called", "wrote", "word", "term"))
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return [w for w, _, _ in _pieces_of(text)] if _UNSPACED.search(text) else _WORD.findall(text)
+
+
+def _pieces_of(text: str) -> Iterator[tuple[str, int, int]]:
+    """Words of a lower-cased text with where they begin and end; in scripts without spaces a piece from each place on."""
+    for m in _WORD.finditer(text):
+        at, end = m.span()
+        for run in _UNSPACED.finditer(text, at, end):
+            if run.start() > at:
+                yield text[at:run.start()], at, run.start()
+            at = run.end()
+            for i in range(run.start(), at):
+                yield text[i:min(i + PIECE, at)], i, min(i + PIECE, at)
+        if at < end:
+            yield text[at:end], at, end
 
 
 class LexiconTrie(dict):
@@ -151,14 +181,15 @@ def trie_of(terms: tuple[str, ...], plain: tuple[str, ...]) -> LexiconTrie:
 class Model:
     terms: list[str]
     plain: list[str] = field(default_factory=list)
+    reporting: frozenset[str] = _REPORTING
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def features(self, texts: Iterable[str | None]) -> np.ndarray:
         trie = trie_of(tuple(self.terms), tuple(self.plain))
-        return np.array([text_features(t, trie) for t in texts]).reshape(-1, len(PRIOR))
+        return np.array([text_features(t, trie, self.reporting) for t in texts]).reshape(-1, len(PRIOR))
 
 
-def text_features(text: str | None, trie: LexiconTrie) -> tuple:
+def text_features(text: str | None, trie: LexiconTrie, reporting: frozenset[str] = _REPORTING) -> tuple:
     words = words_of(text)
     kinds = list(map(trie.__getitem__, words))
     exact = misspelt = quoted = 0
@@ -167,9 +198,9 @@ def text_features(text: str | None, trie: LexiconTrie) -> tuple:
         for place, kind in enumerate(kinds):
             if kind:
                 if spans is None:
-                    spans = [m.span() for m in _WORD.finditer(text.lower())]
                     lowered = text.lower()
-                if _is_quoted(lowered, spans, words, place):
+                    spans = [span for _, *span in _pieces_of(lowered)]
+                if _is_quoted(lowered, spans, words, place, reporting):
                     quoted += 1
                 elif kind == 1:
                     exact += 1
@@ -180,13 +211,13 @@ def text_features(text: str | None, trie: LexiconTrie) -> tuple:
             hits / len(words) if words else 0.0)
 
 
-def _is_quoted(text: str, spans: list, words: list[str], place: int) -> bool:
+def _is_quoted(text: str, spans: list, words: list[str], place: int, reporting: frozenset[str]) -> bool:
     """Marks on both sides within the window, or a reporting word just before a mark or the hit."""
     begin, end = spans[place]
     before = text[spans[max(0, place - WINDOW)][0]:begin]
     after = text[end:spans[min(len(spans) - 1, place + WINDOW)][1]]
     marked = sum(c in _QUOTES for c in before) % 2 == 1 and any(c in _QUOTES for c in after)
-    return marked or (place > 0 and words[place - 1] in _REPORTING)
+    return marked or (place > 0 and words[place - 1] in reporting)
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -194,12 +225,12 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def learning_rows(documents: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """Stored (text, toxic) of at most `sample_rows` labelled rows that are not held out."""
+    """Stored (text, toxic) of at most `sample_rows` labelled documents that are not held out, one text of each."""
     chosen = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return stored(texts.select("text", "toxic"), "toxicity-sample")
+    return stored(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).drop("doc_id"), "toxicity-sample")
 
 
 def _signatures(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,7 +290,7 @@ def _word_classes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, toxic, own in zip(batch["text"], batch["toxic"], batch["class"]):
             held.update((word, own, int(toxic)) for word in set(words_of(text)))
-        if len(held) > 500_000:
+        if len(held) > 100_000:
             yield from _word_rows(held)
             held = set()
     yield from _word_rows(held)
@@ -271,9 +302,12 @@ def _word_rows(held: set, rows: int = 20_000) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held[at:at + rows], columns=["word", "class", "toxic"]).astype({"word": object})
 
 
-def learn_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
+def learn_terms(sample: DataFrame) -> list[str]:
     """Terms of the lexicon: starts of words, with the end mark where they are whole words."""
-    sample = stored(with_classes(sample), "toxicity-classes")
+    return _learn_terms(stored(with_classes(sample), "toxicity-classes"))
+
+
+def _learn_terms(sample: DataFrame) -> list[str]:
     totals = dict(sample.select("toxic", "class").distinct().groupBy("toxic").count().collect())
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -281,9 +315,10 @@ def learn_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
     n = float(toxic + clean)
     seen = F.col("toxic") + F.col("clean")
     part = lambda have, rows: F.when(have > 0, have * F.log(have * n / (seen * float(rows)))).otherwise(0.0)
-    marked = F.concat(F.substring("word", 1, LONGEST), F.lit(_END))
-    starts = F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.length(marked))),
-                         lambda n: F.substring(marked, F.lit(1), n))
+    unspaced = F.col("word").rlike(f"[{_RANGES}]")
+    marked = F.when(unspaced | (F.length("word") > LONGEST), F.substring("word", 1, LONGEST)).otherwise(F.concat("word", F.lit(_END)))
+    shortest = F.when(unspaced, SHORTEST_UNSPACED).otherwise(SHORTEST)
+    starts = F.transform(F.sequence(shortest, F.greatest(shortest, F.length(marked))), lambda n: F.substring(marked, F.lit(1), n))
     # A class of texts counts once for each of its words that have the start.
     found = (sample.mapInPandas(_word_classes, "word string, class long, toxic int").distinct()
              .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
@@ -293,19 +328,19 @@ def learn_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
              .where((F.col("toxic") >= LEAST_TEXTS) & (F.col("evidence") >= LEAST_EVIDENCE)
                     & (F.col("toxic") / toxic >= LEAST_PURITY * (F.col("toxic") / toxic + F.col("clean") / clean))
                     & (F.col("toxic") >= LEAST_PURITY * seen))
-             .orderBy(F.desc("evidence"), "term").limit(most_terms * 8)
              .select("term", "toxic").collect())
-    return _longest_forms({r["term"]: r["toxic"] for r in found})[:most_terms]
+    return _longest_forms({r["term"]: r["toxic"] for r in found})
 
 
 def _longest_forms(counts: dict[str, int]) -> list[str]:
     """Shortest terms, each made longer while a longer one keeps nine tenths of its texts."""
-    taken, forms = set(), []
+    taken, forms, names = set(), [], sorted(counts)
     for term in sorted(counts, key=lambda t: (len(t), t)):
-        if any(term[:n] in taken for n in range(SHORTEST, len(term))):
+        if any(term[:n] in taken for n in range(SHORTEST_UNSPACED, len(term))):
             continue
         taken.add(term)
-        longer = sorted((t for t in counts if t.startswith(term)), key=len)
+        at = bisect.bisect_left(names, term)
+        longer = sorted(itertools.takewhile(lambda t, term=term: t.startswith(term), (names[i] for i in range(at, len(names)))), key=len)
         for t in longer:
             if counts[t] >= 0.9 * counts[term]:
                 term = t
@@ -328,9 +363,25 @@ def plain_words(sample: DataFrame, terms: list[str]) -> list[str]:
     return sorted(r[0] for r in sample.where("toxic = 0").mapInPandas(found, "word string").distinct().collect())
 
 
-def fit(sample: DataFrame, terms: list[str]) -> Model:
+def reporting_words(classes: DataFrame, terms: list[str]) -> list[str]:
+    """Words in front of terms that nearly only clean texts of the sample (text, toxic, class) have there."""
+    def found(batches):
+        trie, seen = trie_of(tuple(terms), ()), set()
+        for batch in batches:
+            for text, toxic, own in zip(batch["text"], batch["toxic"], batch["class"]):
+                words = words_of(text)
+                seen.update((before, own, int(toxic)) for before, word in zip(words, words[1:]) if trie[word])
+        yield from _word_rows(seen)
+
+    counts = (classes.mapInPandas(found, "word string, class long, toxic int").distinct()
+              .groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.count("*").alias("n"))
+              .where((F.col("clean") >= LEAST_TEXTS) & (F.col("clean") >= LEAST_PURITY * F.col("n"))))
+    return sorted(r["word"] for r in counts.select("word").collect())
+
+
+def fit(sample: DataFrame, terms: list[str], reporting: Iterable[str] = ()) -> Model:
     """Weights by a few Newton steps on the sample's features, with the prior."""
-    model = Model(terms, plain_words(sample, terms))
+    model = Model(terms, plain_words(sample, terms), _REPORTING.union(reporting))
 
     def rows(batches):
         for batch in batches:
@@ -365,7 +416,9 @@ def fit(sample: DataFrame, terms: list[str]) -> Model:
 
 def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     sample = learning_rows(documents, labels, sample_rows)
-    return fit(sample, learn_terms(sample))
+    classes = stored(with_classes(sample), "toxicity-classes")
+    terms = _learn_terms(classes)
+    return fit(sample, terms, reporting_words(classes, terms))
 
 
 def toxicity(model: Model):
@@ -374,7 +427,7 @@ def toxicity(model: Model):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         trie = trie_of(tuple(model.terms), tuple(model.plain))
         for texts in batches:
-            x = np.array([text_features(t, trie) for t in texts]).reshape(-1, len(PRIOR))
+            x = np.array([text_features(t, trie, model.reporting) for t in texts]).reshape(-1, len(PRIOR))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
     return score
 
