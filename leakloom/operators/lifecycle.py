@@ -7,11 +7,14 @@ side however many rows share a key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leakloom import catalog
 from leakloom.functions import text as tx
 from leakloom.operators.ordered import last_before, ranked
+from leakloom.session import cut
 
 HASH_COLUMNS = ("app_name", "finding_type", "file_path", "line_number", "cve_id", "component", "title")
 
@@ -28,6 +31,17 @@ def with_hash(findings: DataFrame) -> DataFrame:
 
 # --- false-positive patterns -------------------------------------------------
 
+#: Longest piece that stands for a code pattern; paths are met at their start, so their pieces may be longer.
+PIECE = 8
+#: Words of 64 bits in the filter of pieces that patterns are known by; a power of two.
+FILTER_WORDS = 1 << 12
+#: Characters of a snippet whose pieces are held at once.
+STRETCH = 1 << 16
+
+#: Kind of pattern and the column it is met with.
+_MET = {"file_path": "file_path", "component": "component", "code_pattern": "code_snippet"}
+
+
 def _pattern_keys(patterns: DataFrame, kind: str) -> DataFrame:
     """Scope and value of one kind of pattern; an empty value matches nothing."""
     return (
@@ -36,97 +50,124 @@ def _pattern_keys(patterns: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def _scoped(candidates: DataFrame) -> DataFrame:
-    """Every candidate once for its application and once for the global scope."""
-    scopes = F.array(F.col("app_name"), F.lit(None).cast("string"))
-    return candidates.withColumn("scope", F.explode(scopes))
+def _class_length(value: str) -> str:
+    """Largest power of two that is not above the length."""
+    return f"CAST(pow(2, floor(log2(length({value})))) AS INT)"
 
 
-def _class_length(value: Column) -> Column:
-    """Largest power of two that is not above the length."""
-    return F.pow(F.lit(2), F.floor(F.log2(F.length(value)))).cast("int")
+#: Lengths of the pieces of snippets.
+_CODE_LENGTHS = tuple(1 << k for k in range(PIECE.bit_length()))
 
 
-def _pieces(values: DataFrame, keys: DataFrame, anywhere: bool) -> DataFrame:
-    """Values (app_name, key, text) cut to the class lengths that occur among the patterns."""
-    lengths = keys.agg(F.collect_set(_class_length(F.col("value")))).scalar()
-    cut_to = (values.withColumn("_lengths", lengths)
-              .select("app_name", "key", "text", F.explode("_lengths").alias("n")).where("n <= length(text)"))
-    if not anywhere:
-        return cut_to.select("app_name", "key", F.left("text", F.col("n")).alias("piece"))
-    starts = F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1),
-                         lambda i: F.substring("text", i, F.col("n")))
-    return cut_to.select("app_name", "key", F.explode(F.array_distinct(starts)).alias("piece"))
-
-
-def _covered(values: DataFrame, keys: DataFrame, anywhere: bool) -> DataFrame:
-    """(app_name, key) of the values that start with, or contain, a pattern of their scope."""
-    named = keys.select("scope", F.col("value").alias("pattern"), F.left("value", _class_length(F.col("value"))).alias("piece"))
-    pieces = _scoped(_pieces(values, keys, anywhere)).alias("c")
-    candidates = pieces.join(
-        named.alias("k"), F.col("c.scope").eqNullSafe(F.col("k.scope")) & (F.col("c.piece") == F.col("k.piece")),
-    ).select("app_name", "key", "pattern").distinct()
-    # The value itself comes back only for candidates.
-    same = F.col("v.app_name").eqNullSafe(F.col("c.app_name")) & (F.col("v.key") == F.col("c.key"))
-    fits = F.col("v.text").contains(F.col("c.pattern")) if anywhere else F.col("v.text").startswith(F.col("c.pattern"))
-    return (candidates.alias("c").join(values.alias("v"), same).where(fits)
-            .select("c.app_name", "c.key").distinct())
-
-
-def suppression_keys(findings: DataFrame, patterns: DataFrame) -> dict[str, DataFrame]:
-    """Per kind, the distinct (application, key) pairs some pattern covers; see `_key_of` for the keys.
-
-    Prefix and substring tests are turned into equality: a pattern is known by its
-    first 2^k characters, the largest such number it has, and each distinct value is
-    cut into pieces of just those few lengths. Pieces meet the patterns in a hash
-    join, and what meets is tested in full. Nothing is compared pairwise, the pattern
-    table may grow without bound, and pieces carry the key of their value only.
+def _all_pieces(text: str, n: int) -> str:
+    """Every run of `n` characters, by matching in front of each character: linear in the text's length."""
+    return f"regexp_extract_all({text}, '(?s)(?=(.{{{n}}}))', 1)"
+
+
+def _code_piece(value: str) -> str:
+    """The piece a code pattern is known by: of its longest ones that with the least hash.
+
+    Patterns that begin alike are thus known by different pieces for the most part.
     """
-    def distinct_values(column: str) -> DataFrame:
-        return (findings.where(tx.present(F.col(column)))
-                .select("app_name", _key_of(column).alias("key"), F.col(column).alias("text")).distinct())
-
-    components = _pattern_keys(patterns, "component").alias("k")
-    named = _scoped(distinct_values("component")).alias("c").join(
-        components, F.col("c.scope").eqNullSafe(F.col("k.scope")) & (F.col("c.text") == F.col("k.value")), "left_semi")
-    return {
-        "file_path": _covered(distinct_values("file_path"), _pattern_keys(patterns, "file_path"), anywhere=False),
-        "component": named.select("app_name", "key").distinct(),
-        "code_snippet": _covered(distinct_values("code_snippet"), _pattern_keys(patterns, "code_pattern"), anywhere=True),
-    }
+    cases = [f"WHEN length({value}) >= {n} THEN array_min(transform({_all_pieces(value, n)}, p -> struct(xxhash64(p) AS rank, p AS piece))).piece"
+             for n in reversed(_CODE_LENGTHS)]
+    return f"CASE {' '.join(cases)} END"
 
 
-def _key_of(column: str) -> Column:
-    """What stands for a value in joins: a digest for snippets, the value itself for short fields."""
-    return F.sha2(column, 256) if column == "code_snippet" else F.col(column)
+def _pieces(values: DataFrame, keys: DataFrame, anywhere: bool) -> DataFrame:
+    """Values (app_name, key, text) cut to the class lengths that occur among the patterns."""
+    length = F.expr(f"least({_class_length('value')}, {PIECE})" if anywhere else _class_length("value"))
+    cut_to = values.withColumn("_lengths", keys.agg(F.collect_set(length)).scalar())
+    starts = "transform(filter(_lengths, n -> n <= length(text)), n -> left(text, n))"
+    inside = ", ".join(f"CASE WHEN array_contains(_lengths, {n}) THEN {_all_pieces('text', n)} ELSE CAST(array() AS array<string>) END"
+                       for n in _CODE_LENGTHS)
+    return cut_to.select("app_name", "key", F.explode(F.expr(f"array_distinct(concat({inside}))" if anywhere else starts)).alias("piece"))
+
+
+def _known_by(patterns: DataFrame) -> DataFrame:
+    """(scope, kind, value, n, tag): n is the length and tag the hash of the piece a pattern is known by."""
+    piece = F.expr(f"""CASE pattern_type WHEN 'file_path' THEN left(pattern_value, {_class_length('pattern_value')})
+        WHEN 'code_pattern' THEN {_code_piece('pattern_value')} ELSE pattern_value END""")
+    return (
+        patterns.where(F.col("pattern_type").isin(*_MET) & tx.present(F.col("pattern_value")))
+        .select(F.col("app_name").alias("scope"), F.col("pattern_type").alias("kind"), F.col("pattern_value").alias("value"), piece.alias("piece"))
+        .selectExpr("scope", "kind", "value", "length(piece) AS n", "xxhash64(kind, piece) AS tag")
+    )
 
 
-def _join_covered(findings: DataFrame, covered: DataFrame, column: str, how: str) -> DataFrame:
-    keyed = covered.withColumnsRenamed({"app_name": "_app", "key": "_key"})
-    same = F.col("app_name").eqNullSafe(F.col("_app")) & (_key_of(column) == F.col("_key"))
-    return findings.join(keyed, same, how).drop("_app", "_key")
+def _filter_of(known: DataFrame) -> DataFrame:
+    """One row: lengths of path pieces and of code pieces, and the words of a bitmap over the patterns' tags."""
+    words = known.groupBy(F.expr(f"CAST(shiftright(pmod(tag, {64 * FILTER_WORDS}L), 6) AS INT)").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(pmod(tag, 64L) AS INT)))").alias("bits"),
+        F.expr("collect_set(CASE WHEN kind = 'file_path' THEN n END)").alias("path"),
+        F.expr("collect_set(CASE WHEN kind = 'code_pattern' THEN n END)").alias("code"))
+    filled = words.agg(F.expr("map_from_entries(collect_list(struct(word, bits)))").alias("filled"),
+                       F.expr("array_distinct(flatten(collect_list(path)))").alias("path"),
+                       F.expr("array_distinct(flatten(collect_list(code)))").alias("code"))
+    return filled.select(F.expr(
+        f"struct(path, code, transform(sequence(0, {FILTER_WORDS - 1}), w -> coalesce(try_element_at(filled, w), 0L)) AS words)").alias("known"))
+
+
+def _passing_tags() -> Column:
+    """Tags of a row's pieces that the filter `_known` lets pass."""
+    none = "CAST(array() AS array<bigint>)"
+
+    def passing(kind: str, pieces: str) -> str:
+        return (f"filter(transform({pieces}, p -> xxhash64('{kind}', p)), t -> getbit("
+                f"_known.words[CAST(shiftright(pmod(t, {64 * FILTER_WORDS}L), 6) AS INT)], CAST(pmod(t, 64L) AS INT)) = 1)")
+
+    stretches = (f"transform(sequence(0, greatest(CAST(length(code_snippet) AS INT) - 1, 0), {STRETCH}), "
+                 f"at -> substring(code_snippet, at + 1, {STRETCH + PIECE - 1}))")
+    heads = "transform(filter(_known.path, n -> n <= length(file_path)), n -> left(file_path, n))"
+    found = [f"CASE WHEN file_path <> '' THEN {passing('file_path', heads)} ELSE {none} END",
+             f"CASE WHEN component <> '' THEN {passing('component', 'array(component)')} ELSE {none} END"]
+    for n in _CODE_LENGTHS:
+        inside = f"flatten(transform({stretches}, part -> array_distinct({passing('code_pattern', _all_pieces('part', n))})))"
+        found.append(f"CASE WHEN code_snippet <> '' AND array_contains(_known.code, {n}) THEN {inside} ELSE {none} END")
+    return F.expr(f"array_distinct(concat({', '.join(found)}))")
+
+
+def _content_key() -> Column:
+    """128-bit name of what patterns look at: application, path, component and snippet, nulls apart from empty ones."""
+    parts = [f"coalesce(concat(CAST(length({c}) AS string), ':', {c}), '-')" for c in ("app_name", *_MET.values())]
+    return F.expr(f"md5(concat({', '.join(parts)}))")
+
+
+def covered_contents(findings: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Distinct `_content` keys of the findings that some pattern of their application, or a global one, covers.
+
+    A pattern is known by one piece of it: a path by its first 2^k characters, a code
+    pattern by eight characters of it (less if it is shorter). Hashes of the pieces of
+    a row's path and snippet are looked up in a bitmap over the patterns' pieces, in
+    the row; only rows and pieces that pass meet the patterns, in a hash join, and what
+    meets is tested in full. Nothing is compared pairwise, work is linear in the length
+    of a snippet, and the pattern table may grow without bound: a full bitmap lets more
+    pieces pass, and no covered row is lost.
+    """
+    known = _known_by(patterns)
+    looked_at = ("app_name", *_MET.values())
+    rows = findings.select(*looked_at).distinct().withColumn("_known", _filter_of(known).scalar())
+    pieces = rows.select(*looked_at, F.explode(_passing_tags()).alias("tag")).selectExpr(
+        *looked_at, "tag", "explode(array(app_name, CAST(NULL AS string))) AS scope")
+    met = pieces.alias("c").join(known.distinct().alias("k"), F.expr("""c.tag = k.tag AND c.scope <=> k.scope AND CASE k.kind
+        WHEN 'file_path' THEN startswith(c.file_path, k.value) WHEN 'component' THEN c.component = k.value
+        ELSE contains(c.code_snippet, k.value) END"""))
+    return met.selectExpr(*[f"c.{c} AS {c}" for c in looked_at]).select(_content_key().alias("_content")).distinct()
 
 
 def flag_suppressed(findings: DataFrame, patterns: DataFrame) -> DataFrame:
     """Findings with `suppressed`: some pattern of their application or a global one fits."""
-    flagged = findings
-    flags = []
-    for column, covered in suppression_keys(findings, patterns).items():
-        flag = f"_{column}_hit"
-        flags.append(flag)
-        flagged = _join_covered(flagged, covered.withColumn(flag, F.lit(True)), column, "left")
+    covered = covered_contents(findings, patterns).withColumn("suppressed", F.lit(True))
     return (
-        flagged.withColumn("suppressed", F.coalesce(*flags, F.lit(False)))
-        .select(*findings.columns, "suppressed")
+        findings.withColumn("_content", _content_key()).join(covered, "_content", "left")
+        .select(*findings.columns, F.coalesce("suppressed", F.lit(False)).alias("suppressed"))
     )
 
 
 def suppress_false_positives(findings: DataFrame, patterns: DataFrame) -> DataFrame:
     """Findings no pattern fits."""
-    kept = findings
-    for column, covered in suppression_keys(findings, patterns).items():
-        kept = _join_covered(kept, covered, column, "left_anti")
-    return kept.select(*findings.columns)
+    keyed = findings.withColumn("_content", _content_key())
+    return keyed.join(covered_contents(findings, patterns), "_content", "left_anti").select(*findings.columns)
 
 
 def derive_fp_patterns(marks: DataFrame, findings: DataFrame) -> DataFrame:
@@ -158,27 +199,33 @@ def batch_arrivals(batch: DataFrame, patterns: DataFrame, now: Column) -> DataFr
     `arrivals` counts all rows. `accepted` counts them from the first row that no
     pattern fits, which is the one that would be inserted (`first`, null if none).
     """
-    flagged = flag_suppressed(batch, patterns)
-    ok = ~F.col("suppressed")
-    folded = flagged.groupBy(*KEYS).agg(
-        F.count("*").alias("arrivals"),
-        F.min(F.when(ok, F.col("id"))).alias("first_ok"),
-        F.min_by(F.when(ok, F.struct(*batch.columns)), F.when(ok, F.col("id"))).alias("first"),
-    )
+    # Verdicts are kept once, without the rows' contents; ids are folded, and only the winners' rows are fetched.
+    flagged = cut(flag_suppressed(batch, patterns).select(*KEYS, "id", "suppressed"))
+    folded = flagged.groupBy(*KEYS).agg(F.count("*").alias("arrivals"), F.expr("min(CASE WHEN NOT suppressed THEN id END)").alias("first_ok"))
     # Suppressed rows ahead of the first accepted one; rare, so only those are joined.
     ahead = (
-        flagged.where("suppressed").select(*KEYS, "id")
-        .join(folded.select(*KEYS, "first_ok"), KEYS)
+        _with_same_key(flagged.where("suppressed").select(*KEYS, "id"), folded.select(*KEYS, "first_ok"), "inner")
         .where(F.col("id") < F.col("first_ok"))
         .groupBy(*KEYS).agg(F.count("*").alias("ahead"))
     )
-    return folded.join(ahead, KEYS, "left").select(
+    winners = folded.where("first_ok IS NOT NULL").select(*KEYS, F.col("first_ok").alias("id"))
+    rows = _with_same_key(batch, winners, "left_semi", "id").dropDuplicates([*KEYS, "id"])
+    first = rows.select(*KEYS, F.struct(*batch.columns).alias("first"))
+    return _with_same_key(_with_same_key(folded, ahead, "left"), first, "left").select(
         *KEYS, "arrivals", "first",
         (F.col("arrivals") - F.coalesce("ahead", F.lit(0))).alias("accepted"),
         now.alias("first_at"), now.alias("last_at"),
     )
 
 
+def _with_same_key(left: DataFrame, right: DataFrame, how: str, *also: str) -> DataFrame:
+    """Join on (app_name, finding_hash), a null application being one like others; the left side's columns are kept."""
+    names = {c: f"_right_{c}" for c in (*KEYS, *also)}
+    same = [F.col(c).eqNullSafe(F.col(r)) if c == "app_name" else F.col(c) == F.col(r) for c, r in names.items()]
+    joined = left.join(right.withColumnsRenamed(names), same, how)
+    return joined if how == "left_semi" else joined.drop(*names.values())
+
+
 def fold_arrivals(deltas: DataFrame) -> DataFrame:
     """Arrivals of several batches (with `batch_id`) as if they had come in one.
 
@@ -515,6 +562,37 @@ def dependency_chain_nodes(findings: DataFrame) -> DataFrame:
     )
 
 
+def dependency_edges(findings: DataFrame) -> DataFrame:
+    """Distinct (parent, child) of neighbouring nodes in all dependency chains; a node is no child of its own."""
+    nodes = F.transform(F.split("dependency_chain", " → "), lambda node: F.trim(node))
+    pairs = F.transform(F.slice(nodes, 2, F.greatest(F.size(nodes) - 1, F.lit(0))),
+                        lambda child, i: F.struct(F.get(nodes, i).alias("parent"), child.alias("child")))
+    return (
+        findings.where(tx.present(F.col("dependency_chain"))).select(F.explode(pairs).alias("e")).select("e.*")
+        .where(tx.present(F.col("parent")) & tx.present(F.col("child")) & (F.col("parent") != F.col("child"))).distinct()
+    )
+
+
+def component_reach(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """Everything that depends on some components, over any number of chains: (component, dependent, depth).
+
+    `depth` is the length of the shortest way; a component is at depth 0 of itself. One
+    step per round is joined to what the round before found anew, so cycles end and no
+    way is walked twice; each round is materialised, and only its new pairs meet the edges.
+    """
+    edges = cut(edges.select(F.col("child").alias("_at"), F.col("parent").alias("_next")))
+    new = cut(components.select("component").where(tx.present(F.col("component"))).distinct()
+              .select("component", F.col("component").alias("dependent"), F.lit(0).alias("depth")))
+    rounds = [new]
+    while not new.isEmpty():
+        known = reduce(DataFrame.unionAll, [r.select("component", "dependent") for r in rounds])
+        step = (new.join(edges, F.col("dependent") == F.col("_at"))
+                .select("component", F.col("_next").alias("dependent"), (F.col("depth") + 1).alias("depth")).distinct())
+        new = cut(step.join(known, ["component", "dependent"], "left_anti").select("component", "dependent", "depth"))
+        rounds.append(new)
+    return reduce(DataFrame.unionAll, rounds)
+
+
 def json_array_rows(findings: DataFrame, column: str, out: str) -> DataFrame:
     """One row per entry of a JSON array kept as text."""
     return findings.select("id", F.posexplode(F.from_json(column, "array<string>")).alias("position", out))

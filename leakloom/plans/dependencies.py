@@ -279,3 +279,45 @@ def scan_run(spark, sf_dir):
     done = runs.run_scan(spark, apps, files, reports, work_dir(spark, "store"), now)
     return done.select("app_name", "scan_type", "status", "secrets_found", "vulnerabilities_found", "critical_count",
                        "high_count", "medium_count", "low_count")
+
+
+_BAD_SQL = "SELECT app_name, min(concat(path, ': unreadable')) AS error_message FROM code_files WHERE app_name = 'src3' AND file_id % 5 = 0 GROUP BY 1"
+_FAILED_SQL = (_RUN_SQL.replace("'completed' AS status", "CASE WHEN max(error_message) IS NULL THEN 'completed' ELSE 'failed' END AS status, max(error_message) AS error_message")
+               .replace("every.app_name = apps.app_name GROUP", "every.app_name = apps.app_name AND apps.app_name NOT IN (SELECT app_name FROM bad) LEFT JOIN bad ON bad.app_name = apps.app_name GROUP"))
+
+
+@query("failed_scan_run", f"WITH {HITS_SQL}, {_PARTS}, bad AS ({_BAD_SQL}), {_FAILED_SQL}", ["code_files", "applications"])
+def failed_scan_run(spark, sf_dir):
+    """A full run in which some files of one application can't be read: its record fails, the others are complete."""
+    unreadable = F.when((F.col("app_name") == "src3") & (F.col("file_id") % 5 == 0), F.concat("path", F.lit(": unreadable")))
+    files = fx.code_files(spark, sf_dir).withColumn("error", unreadable)
+    apps = (files.select(F.col("app_name").alias("name")).distinct()
+            .union(fx.view(spark, sf_dir, "applications").select("name")))
+    reports = {"npm": _reports(spark, sf_dir, "npm"), "safety": _safety_reports(spark, sf_dir),
+               "pip_audit": _reports(spark, sf_dir, "pip_audit"),
+               "dependency_check": _reports(spark, sf_dir, "dependency_check")}
+    done = runs.run_scan(spark, apps, files, reports, work_dir(spark, "store"), F.expr("TIMESTAMP_NTZ '2024-03-01 00:00:00'"))
+    return done.select("app_name", "scan_type", "status", "error_message", "secrets_found", "vulnerabilities_found", "critical_count",
+                       "high_count", "medium_count", "low_count")
+
+
+@query("lifecycle_run", f"""
+WITH {HITS_SQL},
+one AS (SELECT DISTINCT app_name, path, line_number, pattern_name FROM found WHERE file_id % 3 <> 0),
+two AS (SELECT DISTINCT app_name, path, line_number, pattern_name FROM found WHERE file_id % 5 <> 0),
+apps AS (SELECT app_name FROM code_files WHERE file_id % 3 <> 0 INTERSECT SELECT app_name FROM code_files WHERE file_id % 5 <> 0),
+n AS (SELECT apps.app_name, count(*) FILTER (WHERE one.path IS NULL AND two.path IS NOT NULL) AS new_findings,
+    count(*) FILTER (WHERE two.path IS NULL AND one.path IS NOT NULL) AS resolved_findings,
+    count(*) FILTER (WHERE one.path IS NOT NULL AND two.path IS NOT NULL) AS persistent_findings
+  FROM apps LEFT JOIN (one FULL JOIN two USING (app_name, path, line_number, pattern_name)) USING (app_name) GROUP BY 1)
+SELECT app_name, new_findings, resolved_findings, persistent_findings,
+  CASE WHEN resolved_findings + persistent_findings > 0 THEN resolved_findings / (resolved_findings + persistent_findings) * 100.0e0
+    WHEN new_findings = 0 THEN 100.0e0 ELSE 0.0e0 END AS remediation_score FROM n""", ["code_files"])
+def lifecycle_run(spark, sf_dir):
+    """Two runs on one store, over different files: what the second one's comparison with the first says."""
+    files, root = fx.code_files(spark, sf_dir), work_dir(spark, "store")
+    apps = files.select(F.col("app_name").alias("name")).distinct()
+    for day, kept in ((1, "file_id % 3 <> 0"), (2, "file_id % 5 <> 0")):
+        now = F.expr(f"TIMESTAMP_NTZ '2024-03-0{day} 00:00:00'")
+        compared = runs.lifecycle_run(spark, apps, files.where(kept), {}, root, now, scan_type="secrets")
+    return compared.select("app_name", "new_findings", "resolved_findings", "persistent_findings", "remediation_score")

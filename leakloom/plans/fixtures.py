@@ -56,14 +56,12 @@ SELECT s_suppkey AS id, concat('app', cast(s_suppkey AS string)) AS name, 'githu
   {ts} '2024-01-01 00:00:00' + INTERVAL '1' DAY * s_suppkey AS created_at
 FROM {t:supplier} JOIN {t:nation} ON s_nationkey = n_nationkey""",
     "scans": """
-SELECT o_orderkey % 400 AS id, concat('app', cast((o_orderkey % 400) % 20 AS string)) AS app_name,
-  CASE o_orderkey % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'secrets' ELSE 'sca' END AS scan_type, status, started_at
-FROM (SELECT o_orderkey % 400 AS o_orderkey,
-    CASE (o_orderkey % 400) % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'completed' END AS status,
-    min(o_orderdate) AS started_at FROM {t:orders} GROUP BY o_orderkey % 400) s""",
+SELECT scan AS id, {app}(scan) AS app_name,
+  CASE scan % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'secrets' ELSE 'sca' END AS scan_type,
+  CASE scan % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'completed' END AS status, started_at
+FROM (SELECT cast(floor(o_orderkey / 30) AS bigint) AS scan, min(o_orderdate) AS started_at FROM {t:orders} GROUP BY 1) s""",
     "findings": """
-SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 400 AS scan_id,
-  concat('app', cast((l_orderkey % 400) % 20 AS string)) AS app_name,
+SELECT l_orderkey * 10 + l_linenumber AS id, scan AS scan_id, {app}(scan) AS app_name,
   CASE rf WHEN 0 THEN 'secret' WHEN 1 THEN 'dependency' ELSE 'vulnerability' END AS finding_type,
   CASE q % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'moderate' END AS severity,
   concat('T', cast(p % 5 AS string)) AS title, concat('/src/m', cast(p % 4 AS string), '.js') AS file_path,
@@ -72,7 +70,7 @@ SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 400 AS scan_id,
   CASE WHEN s % 7 = 0 THEN NULL ELSE concat('c', cast(s % 3 AS string)) END AS component,
   CASE q % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'open' WHEN 2 THEN 'resolved' ELSE 'archived' END AS status,
   q % 10 = 0 AS is_false_positive, d AS created_at
-FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, cast(min(l_quantity) AS int) AS q,
+FROM (SELECT l_orderkey, l_linenumber, cast(floor(l_orderkey / 30) AS bigint) AS scan, min(l_partkey) AS p, min(l_suppkey) AS s, cast(min(l_quantity) AS int) AS q,
     min(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) AS rf, min(l_shipdate) AS d FROM {t:lineitem} GROUP BY l_orderkey, l_linenumber) u""",
     "secret_findings": """
 SELECT id, scan_id, app_name, file_path, line_number, title AS pattern_name, 'regex' AS pattern_type, severity,
@@ -98,7 +96,12 @@ _SPARK = {"sha256": "sha256_hex", "b64": "base64", "ts": "TIMESTAMP_NTZ"}
 _DUCK = {"sha256": "sha256", "b64": "to_base64", "ts": "TIMESTAMP"}
 
 
+#: Scans, and the applications they are of, grow with the table: twenty applications have the first 400 scans, then each has 20.
+_APP = r"concat('app', cast(cast(CASE WHEN \1 < 400 THEN \1 % 20 ELSE 20 + floor((\1 - 400) / 20) END AS bigint) AS string))"
+
+
 def _nested(sql: str) -> str:
+    sql = re.sub(r"\{app\}\((\w+)\)", _APP, sql)
     return re.sub(r"\{v:(\w+)\}", lambda m: _nested(VIEWS[m.group(1)]), sql)
 
 

@@ -88,15 +88,15 @@ def suppress_with_derived_patterns(spark, sf_dir):
 _UPSERT_COLUMNS = ("app_name", "finding_hash", "id", "severity", "status", "is_false_positive", "occurrence_count",
                    "first_detected", "last_seen")
 
-# The stored snapshot holds the scans below 200, one row per hash; the others arrive.
+# The stored snapshot holds the first 20 of each 40 scans, one row per hash; the others arrive.
 SNAPSHOT_SQL = f"""
   {HASHED_SQL},
   snapshot AS (SELECT h.app_name, h.finding_hash, h.id, h.severity, h.status, h.is_false_positive, 1 AS occurrence_count,
       h.created_at AS first_detected, h.created_at AS last_seen
-    FROM h JOIN (SELECT app_name, finding_hash, min(id) AS id FROM h WHERE scan_id < 200 GROUP BY ALL) m ON m.id = h.id)"""
+    FROM h JOIN (SELECT app_name, finding_hash, min(id) AS id FROM h WHERE scan_id % 40 < 20 GROUP BY ALL) m ON m.id = h.id)"""
 MERGED_SQL = f"""
   {SNAPSHOT_SQL},
-  batch AS (SELECT f.*, {SUPPRESSED_SQL} AS suppressed FROM h f WHERE scan_id >= 200),
+  batch AS (SELECT f.*, {SUPPRESSED_SQL} AS suppressed FROM h f WHERE scan_id % 40 >= 20),
   firsts AS (SELECT app_name, finding_hash, count(*) AS arrivals, min(id) FILTER (WHERE NOT suppressed) AS first_ok FROM batch GROUP BY ALL),
   merged AS (
     SELECT s.app_name, s.finding_hash, s.id, s.severity, s.status, s.is_false_positive,
@@ -122,7 +122,7 @@ def _snapshot(hashed):
 def upsert_findings(spark, sf_dir):
     hashed = _hashed(spark, sf_dir)
     merged = life.upsert_findings(
-        _snapshot(hashed.where("scan_id < 200")), hashed.where("scan_id >= 200"),
+        _snapshot(hashed.where("scan_id % 40 < 20")), hashed.where("scan_id % 40 >= 20"),
         fx.view(spark, sf_dir, "false_positive_patterns"), _at(NOW))
     return merged.select(*_UPSERT_COLUMNS)
 
@@ -326,6 +326,21 @@ def dependency_chain_nodes(spark, sf_dir):
     return life.dependency_chain_nodes(chains)
 
 
+@query("component_reach", f"""
+WITH RECURSIVE c AS (SELECT id, component, list_transform(string_split(dependency_chain, ' → '), x -> trim(x)) AS nodes FROM ({_CHAIN_SQL}) x
+    WHERE coalesce(dependency_chain, '') <> ''),
+  e AS (SELECT DISTINCT nodes[i] AS parent, nodes[i + 1] AS child FROM (SELECT nodes, unnest(range(1, len(nodes))) AS i FROM c)
+    WHERE nodes[i] <> nodes[i + 1] AND nodes[i] <> '' AND nodes[i + 1] <> ''),
+  r(component, dependent, depth) AS (
+    SELECT DISTINCT component, component, 0 FROM c WHERE component <> ''
+    UNION SELECT r.component, e.parent, r.depth + 1 FROM r JOIN e ON e.child = r.dependent WHERE r.depth < 20)
+SELECT component, dependent, cast(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2""")
+def component_reach(spark, sf_dir):
+    """What depends on each finding's component, over the edges of all chains."""
+    chains = spark.sql(fx.spark_sql(_CHAIN_SQL.replace("VARCHAR", "string"), sf_dir)).where("coalesce(dependency_chain, '') <> ''")
+    return life.component_reach(life.dependency_edges(chains), chains)
+
+
 @query("usage_locations", """
 SELECT p_partkey AS id, cast(n AS INTEGER) AS position, concat('/src/', p_name, '.js:', cast(n AS VARCHAR)) AS location
 FROM (SELECT *, unnest(range(0, p_partkey % 4)) AS n FROM part) p""")
@@ -338,7 +353,7 @@ def usage_locations(spark, sf_dir):
 
 
 @query("scan_progress", """
-WITH u AS (SELECT o_orderkey AS id, o_orderkey % 400 AS scan_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 50 + 50 END AS total_files,
+WITH u AS (SELECT o_orderkey AS id, cast(floor(o_orderkey / 30) AS bigint) AS scan_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 50 + 50 END AS total_files,
     CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 50 END AS scanned_files FROM orders),
 last AS (SELECT scan_id, arg_max(total_files, id) FILTER (WHERE total_files IS NOT NULL) AS total_files,
     arg_max(scanned_files, id) FILTER (WHERE scanned_files IS NOT NULL) AS scanned_files FROM u GROUP BY scan_id)
@@ -347,7 +362,7 @@ SELECT s.id, s.app_name, coalesce(l.total_files, 0) AS total_files, coalesce(l.s
 FROM scans s LEFT JOIN last l ON l.scan_id = s.id""", ["scans"])
 def scan_progress(spark, sf_dir):
     updates = fx.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 400).alias("scan_id"),
+        F.col("o_orderkey").alias("id"), F.floor(F.col("o_orderkey") / 30).alias("scan_id"),
         F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 50 + 50).alias("total_files"),
         F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey") % 50).alias("scanned_files"))
     return life.scan_progress(fx.view(spark, sf_dir, "scans"), updates).select(

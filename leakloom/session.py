@@ -66,6 +66,14 @@ def complete_folders(spark: SparkSession, root: str) -> list[str]:
                   if system.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
 
 
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders this library has written and nobody reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` on reliable storage so that recomputation cannot change it."""
     _shared_root(df.sparkSession)

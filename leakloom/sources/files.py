@@ -147,29 +147,38 @@ def list_tree(applications: DataFrame, extensions: Sequence[str] = catalog.SCAN_
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], LISTING_SCHEMA)
 
 
-def read_listed(listing: DataFrame, split_bytes: int = 128 * 1024 * 1024, batch_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+def read_listed(listing: DataFrame, split_bytes: int = 128 * 1024 * 1024, batch_bytes: int = 64 * 1024 * 1024,
+                keep_errors: bool = False) -> DataFrame:
     """Contents of listed files, read in tasks and handed over in bounded batches.
 
-    The number of tasks follows the total size of the files.
+    The number of tasks follows the total size of the files. With `keep_errors` a file
+    that can't be read is a row with null text and its message in `error`, and the
+    others are read; otherwise it ends the job.
     """
     filesystem = _filesystem_opener()
+    columns = ["app_name", "path", "length", "content", "error"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, held = [], 0
             for name, root, path, length in zip(batch["app_name"], batch["root"], batch["path"], batch["length"]):
-                system, base = filesystem(root)
-                with system.open_input_stream(f"{base.rstrip('/')}/{path}", compression=None) as stream:
-                    rows.append((name, path, length, stream.read()))
+                try:
+                    system, base = filesystem(root)
+                    with system.open_input_stream(f"{base.rstrip('/')}/{path}", compression=None) as stream:
+                        rows.append((name, path, length, stream.read(), None))
+                except OSError as broken:
+                    if not keep_errors:
+                        raise
+                    rows.append((name, path, length, None, f"{path}: {broken.strerror or type(broken).__name__}"))
                 held += int(length)
                 if held >= batch_bytes:
-                    yield pd.DataFrame(rows, columns=["app_name", "path", "length", "content"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["app_name", "path", "length", "content"])
+                yield pd.DataFrame(rows, columns=columns)
 
     total = listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(listing.sparkSession.sparkContext.defaultParallelism, -(-int(total) // split_bytes))
     binary = listing.repartition(tasks, "app_name", "path").mapInPandas(
-        read, "app_name STRING, path STRING, length BIGINT, content BINARY")
-    return binary.select("app_name", "path", "length", tx.clean_utf8(F.col("content")).alias("text"))
+        read, "app_name STRING, path STRING, length BIGINT, content BINARY, error STRING")
+    return binary.select("app_name", "path", "length", tx.clean_utf8(F.col("content")).alias("text"), *["error"] * keep_errors)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from leakloom.schemas import conform, table_schema
-from leakloom.session import complete_folders, cut
+from leakloom.session import complete_folders, cut, remove_folders
 
 # Columns rows are clustered by on write: readers filter and join on them.
 CLUSTERING = {
@@ -23,6 +23,28 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(table_schema(table)).parquet(f"{root.rstrip('/')}/{table}")
 
 
+def _versions(spark: SparkSession, root: str, table: str) -> list[int]:
+    names = complete_folders(spark, f"{root.rstrip('/')}/{table}_versions")
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
+def read_version(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The newest complete version of a table that is replaced as a whole; empty before the first."""
+    versions = _versions(spark, root, table)
+    if not versions:
+        return spark.createDataFrame([], table_schema(table))
+    return spark.read.schema(table_schema(table)).parquet(f"{root.rstrip('/')}/{table}_versions/v{versions[-1]}")
+
+
+def write_version(df: DataFrame, root: str, table: str, kept: int = 2) -> None:
+    """Write the next version; of the older ones only `kept` stay, for readers that began before."""
+    spark = df.sparkSession
+    versions = _versions(spark, root, table)
+    target = f"{root.rstrip('/')}/{table}_versions"
+    conform(df, table).write.mode("overwrite").parquet(f"{target}/v{versions[-1] + 1 if versions else 1}")
+    remove_folders(spark, [f"{target}/v{v}" for v in versions[:-kept]])
+
+
 def append_table(df: DataFrame, root: str, table: str, materialise: bool = True) -> None:
     """Append rows to a table.
 

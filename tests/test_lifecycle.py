@@ -244,3 +244,40 @@ def test_progress(spark):
                                     "id long, scan_id long, total_files long, scanned_files long")
     rows = {r.id: (r.total_files, r.scanned_files, r.percent) for r in life.scan_progress(scans, updates).collect()}
     assert rows == {1: (10, 5, 50.0), 2: (0, 0, 0.0)}
+
+
+def test_a_minified_snippet_against_a_long_pattern(spark):
+    """One and a half million characters; patterns inside it, across the border of a stretch, and not in it."""
+    text = "".join(chr(97 + (i * i + i // 7) % 23) for i in range(1_500_000))
+    subjects = findings(spark, [finding(1), finding(2)]).withColumn(
+        "code_snippet", F.when(F.col("id") == 1, F.lit(text)).otherwise(F.lit(text[:900])))
+    border = life.STRETCH
+    for value in (text[700_000:701_101], text[border - 600:border + 600], text[3:8], "A" * 1101):
+        gone = {i for i, own in ((1, text), (2, text[:900])) if value in own}
+        kept = life.suppress_false_positives(subjects, patterns(spark, (None, "code_pattern", value), (None, "code_pattern", "Z" * 1101)))
+        assert {r.id for r in kept.select("id").collect()} == {1, 2} - gone
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(life, "FILTER_WORDS", 1)
+    rules = [("a", "code_pattern", f"other {i} pattern") for i in range(300)] + [("a", "code_pattern", "my k"), (None, "file_path", "/z")]
+    kept = life.suppress_false_positives(findings(spark, SUBJECTS), patterns(spark, *rules))
+    assert {r.id for r in kept.collect()} == {s[0] for s in SUBJECTS} - expected_suppressed(rules)
+
+
+def test_suppression_reads_the_findings_twice_at_most(spark, tmp_path):
+    findings(spark, SUBJECTS).write.parquet(f"{tmp_path}/findings")
+    stored = spark.read.parquet(f"{tmp_path}/findings")
+    for found in (life.suppress_false_positives(stored, patterns(spark, *PATTERN_CASES[-2])), life.flag_suppressed(stored, patterns(spark, *PATTERN_CASES[0]))):
+        assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2
+
+
+def test_reach_over_cycles_and_shortest_ways(spark):
+    chains = spark.createDataFrame([(1, "app → a → b → c"), (2, "b → d → a"), (3, "app → c"), (4, " x → x → c"), (5, ""), (6, None), (7, "lone")],
+                                   "id long, dependency_chain string")
+    edges = life.dependency_edges(chains)
+    assert {tuple(r) for r in edges.collect()} == {("app", "a"), ("a", "b"), ("b", "c"), ("b", "d"), ("d", "a"), ("app", "c"), ("x", "c")}
+    starts = spark.createDataFrame([("c",), ("a",), ("c",), (None,), ("nowhere",)], "component string")
+    got = {(r.component, r.dependent): r.depth for r in life.component_reach(edges, starts).collect()}
+    assert got == {("c", "c"): 0, ("c", "b"): 1, ("c", "app"): 1, ("c", "x"): 1, ("c", "a"): 2, ("c", "d"): 3,
+                   ("a", "a"): 0, ("a", "app"): 1, ("a", "d"): 1, ("a", "b"): 2, ("nowhere", "nowhere"): 0}

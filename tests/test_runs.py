@@ -44,3 +44,49 @@ def test_two_runs_share_a_store(spark, tmp_path):
 def test_unknown_scan_type(spark, tmp_path):
     with pytest.raises(KeyError):
         runs.run_scan(spark, *inputs(spark), str(tmp_path), at(1), scan_type="other")
+
+
+def test_one_broken_application_leaves_the_others_complete(spark, tmp_path):
+    apps, files, reports = inputs(spark)
+    files = files.withColumn("error", F.when(F.col("app_name") == "b", "y.md: Permission denied"))
+    errors = spark.createDataFrame([("c", "audit tool ended with 3"), ("nobody", "x"), ("a", "")], "app_name string, error_message string")
+    got = {r.app_name: r for r in runs.run_scan(spark, apps, files, reports, str(tmp_path), at(1), errors=errors).collect()}
+    assert {n: (r.status, r.error_message, r.secrets_found, r.vulnerabilities_found) for n, r in got.items()} == {
+        "a": ("completed", None, 2, 2), "b": ("failed", "y.md: Permission denied", 0, 0), "c": ("failed", "audit tool ended with 3", 0, 0)}
+    assert {r.app_name for r in tables.read_table(spark, str(tmp_path), "secret_findings").collect()} == {"a"}
+
+
+def test_unreadable_files_are_rows_with_errors(spark, tmp_path):
+    from leakloom.sources import files as sources
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.py").write_text("one")
+    listing = spark.createDataFrame([("a", str(tmp_path / "a"), "x.py", 3), ("a", str(tmp_path / "a"), "gone.py", 3)],
+                                    "app_name string, root string, path string, length long")
+    got = {r.path: (r.text, bool(r.error)) for r in sources.read_listed(listing, keep_errors=True).collect()}
+    assert got == {"x.py": ("one", False), "gone.py": (None, True)}
+    with pytest.raises(Exception):
+        sources.read_listed(listing).collect()
+
+
+def test_lifecycle_over_three_runs(spark, tmp_path):
+    """Fingerprints persist, are counted, suppressed and compared; a failed scan changes nothing."""
+    root, apps = str(tmp_path), spark.createDataFrame([("a",), ("b",)], "name string")
+    row = "app_name string, path string, length long, text string, error string"
+    tables.append_table(spark.createDataFrame([(None, "file_path", "gen/")], "app_name string, pattern_type string, pattern_value string"),
+                        root, "false_positive_patterns")
+
+    def run(day, *rows):
+        files = spark.createDataFrame([(*r, None) if len(r) == 4 else r for r in rows], row)
+        return {r.app_name: (r.baseline_scan_id, r.new_findings, r.resolved_findings, r.persistent_findings)
+                for r in runs.lifecycle_run(spark, apps, files, {}, root, at(day), scan_type="secrets").collect()}
+
+    assert run(1, ("a", "x.py", 1, SECRET), ("b", "y.py", 1, SECRET), ("a", "gen/z.py", 1, SECRET)) == {}
+    assert run(2, ("a", "x.py", 1, SECRET), ("a", "w.py", 1, SECRET), ("b", "y.py", 1, SECRET, "no access")) == {"a": (1, 1, 1, 1)}
+    assert run(3, ("a", "w.py", 1, SECRET), ("b", "y.py", 1, SECRET)) == {"a": (3, 0, 1, 1), "b": (2, 0, 0, 1)}
+    kept = {(r.app_name, r.file_path): (r.occurrence_count, r.status, r.first_detected, r.last_seen)
+            for r in tables.read_version(spark, root, "findings").collect()}
+    day = lambda n: dt.datetime(2024, 1, n)
+    assert kept == {("a", "x.py"): (2, "open", day(1), day(2)), ("a", "w.py"): (2, "open", day(2), day(3)),
+                    ("b", "y.py"): (2, "open", day(1), day(3))}
+    assert tables.read_table(spark, root, "scan_comparisons").count() == 3
