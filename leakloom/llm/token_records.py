@@ -43,7 +43,7 @@ from leakloom.session import work_dir
 
 END_ID = 1
 FILE_BYTES = 64_000_000
-TABLE_WORDS = 500_000
+TABLE_WORDS = 150_000
 #: Bytes of texts that are encoded together.
 PIECE_BYTES = 2_000_000
 

@@ -63,7 +63,7 @@ PRIOR = np.array([-3.0, 3.0, 2.0, -1.0, 0.5, 0.0])
 SPREAD = 2.0
 
 _END = "$"
-_TABLE = 200_000
+_TABLE = 150_000
 #: Characters of scripts without spaces (Thai and Lao, Burmese, Khmer, kana, Han); those that stand for a word in them.
 _RANGES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _UNSPACED = re.compile(f"[{_RANGES}]+")
@@ -98,44 +98,85 @@ class LexiconTrie(dict):
     """Trie of terms; indexing by a word gives 0: no term, 1: a term as it is, 2: a misspelt term.
 
     `match` runs the Levenshtein automaton of a word along the trie. Answers are
-    remembered until the table is full.
+    remembered in two generations of `_TABLE` words.
     """
 
     def __init__(self, terms: Iterable[str], plain: Iterable[str] = ()):
         super().__init__()
         self.plain = frozenset(plain)
+        self.old: dict[str, int] = {}
         self.root: dict = {}
+        self.starts: dict[int, set[str]] = {}             # starts that match as they are, by length
+        self.whole: set[str] = set()                      # words that match as they are
+        self.near: set[str] = set()                       # words that may be misspelt, and what is left of them without one letter
+        self.near_lengths: set[int] = set()
+        self.near_starts, self.start_lengths = set(), set()  # the same for starts, and their lengths
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[tuple[int, int], set[str]] = {}
         for term in terms:
             node = self.root
             for letter in term:
                 node = node.setdefault(letter, {})
-            fuzzy = len(term.rstrip(_END)) >= (FUZZY_FROM if term.endswith(_END) else FUZZY_START_FROM)
+            stem, whole = term.rstrip(_END), term.endswith(_END)
+            fuzzy = len(stem) >= (FUZZY_FROM if whole else FUZZY_START_FROM)
             node[""] = int(fuzzy)
-            # One edit leaves one half of a term as it is, the second half at most one place off.
-            half = len(term) // 2 if fuzzy else len(term)
-            self.heads.setdefault(half, set()).add(term[:half])
-            if fuzzy:
+            if whole:
+                self.whole.add(stem)
+            else:
+                self.starts.setdefault(len(term), set()).add(term)
+            if fuzzy and whole:
+                self.near.update((stem, *_without_one(stem)))
+                self.near_lengths.update(range(len(stem) - 1, len(stem) + 2))
+            elif fuzzy:
+                # One edit leaves one half of a start as it is, the second half at most one place off.
+                self.near_starts.update((term, *_without_one(term)))
+                self.start_lengths.add(len(term))
+                half = len(term) // 2
+                self.heads.setdefault(half, set()).add(term[:half])
                 tail = term[half:half + 4]
                 self.tails.setdefault((half, len(tail)), set()).add(tail)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _TABLE:
+            self.old = dict(self)
             self.clear()
-        kind = self._look_up(word + _END)
-        kind = self[word] = 0 if kind == 2 and word in self.plain else kind
+        kind = self.old.get(word)
+        if kind is None:
+            kind = self._look_up(word + _END)
+            kind = 0 if kind == 2 and word in self.plain else kind
+        self[word] = kind
         return kind
 
     def _look_up(self, word: str) -> int:
+        """1 for a term as it is; the automaton is asked about words that may be an edit away from one, by cheaper tests."""
+        stem = word[:-1]
+        if stem in self.whole:
+            return 1
+        for n, own in self.starts.items():
+            if stem[:n] in own:
+                return 1
+        if len(stem) in self.near_lengths and (stem in self.near or not self.near.isdisjoint(_without_one(stem))):
+            return self.match(word)
+        return self.match(word) if self._may_start(stem) and self._nearly_starts(stem) else 0
+
+    def _may_start(self, word: str) -> bool:
         for half, heads in self.heads.items():
             if word[:half] in heads:
-                return self.match(word)
+                return True
         for (half, n), tails in self.tails.items():
             if (word[half:half + n] in tails or word[half - 1:half - 1 + n] in tails
                     or word[half + 1:half + 1 + n] in tails):
-                return self.match(word)
-        return 0
+                return True
+        return False
+
+    def _nearly_starts(self, word: str) -> bool:
+        """Some start of the word is, or is without one letter, what a term or a term without one letter is."""
+        for n in self.start_lengths:
+            if len(word) >= n - 1 and (word[:n] in self.near_starts or word[:n - 1] in self.near_starts
+                                       or not self.near_starts.isdisjoint(_without_one(word[:n]))
+                                       or not self.near_starts.isdisjoint(_without_one(word[:n + 1]))):
+                return True
+        return False
 
     def match(self, word: str) -> int:
         best = 3
@@ -155,6 +196,10 @@ class LexiconTrie(dict):
         return best if best < 3 else 0
 
 
+def _without_one(word: str) -> list[str]:
+    return [word[:i] + word[i + 1:] for i in range(len(word))]
+
+
 def _step(states: tuple, letter: str, word: str) -> tuple:
     """States (place in the word, errors) of the automaton for one edit, after `letter` of a term."""
     after = {}
