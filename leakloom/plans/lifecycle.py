@@ -327,7 +327,7 @@ def dependency_chain_nodes(spark, sf_dir):
 
 
 @query("component_reach", f"""
-WITH RECURSIVE c AS (SELECT id, component, list_transform(string_split(dependency_chain, ' → '), x -> trim(x)) AS nodes FROM ({_CHAIN_SQL}) x
+WITH RECURSIVE c AS (SELECT id, component, list_transform(string_split(dependency_chain, ' → '), lambda x: trim(x)) AS nodes FROM ({_CHAIN_SQL}) x
     WHERE coalesce(dependency_chain, '') <> ''),
   e AS (SELECT DISTINCT nodes[i] AS parent, nodes[i + 1] AS child FROM (SELECT nodes, unnest(range(1, len(nodes))) AS i FROM c)
     WHERE nodes[i] <> nodes[i + 1] AND nodes[i] <> '' AND nodes[i + 1] <> ''),
