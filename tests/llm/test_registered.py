@@ -95,12 +95,12 @@ def test_registered_licenses_match_all_windows(spark):
 
     from leakloom.llm import license_scan
 
-    templates = {name: license_scan.words_of(text) for name, text in license_scan.TEMPLATES}
+    templates = [(name, license_scan.words_of(text)) for name, text in license_scan.TEMPLATES]
     got = {r["doc_id"]: r for r in QUERIES["op1_license_scan"](spark, SF).collect()}
     found = 0
     for doc_id, text in _documents():
         words, best = license_scan.words_of(text), {}
-        for name, template in templates.items():
+        for name, template in templates:
             counts, reach = collections.Counter(template), int(1.5 * len(template))
             places = [i for i, w in enumerate(words) if w in counts]
             for at, end in ((i, j + 1) for i in places for j in places if i <= j < i + reach):
