@@ -16,7 +16,8 @@ class Pattern:
 
     `anchors` are lower-case literals; a line without any of them cannot match,
     so the regex is skipped there. `shape` is a cheaper regex that plays the same
-    part where no literal exists. With neither, the regex runs on every line.
+    part where no literal exists, on lines of `least` characters or more. With neither,
+    the regex runs on every line.
     """
 
     name: str
@@ -28,6 +29,7 @@ class Pattern:
     pattern_type: str = "regex"
     anchors: tuple[str, ...] = ()
     shape: str = ""
+    least: int = 0
 
     @property
     def groups(self) -> int:
@@ -128,7 +130,7 @@ CUSTOM_PATTERNS = (
             r"(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?[A-Za-z0-9+/]{40,}",
             "medium", 0.6, "Potential Base64 encoded secret",
             "Review if this is a hardcoded secret that should be externalized",
-            shape=r"[A-Za-z0-9+/]{40}"),
+            shape=r"[A-Za-z0-9+/]{40}", least=40),
     Pattern("Config Password",
             r"""(?i)(config[_-]?password|cfg[_-]?pwd)\s*[=:]\s*["']?([^"'\s]{8,})["']?""",
             "medium", 0.7, "Configuration password detected",

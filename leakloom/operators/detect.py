@@ -64,7 +64,12 @@ def _may_match(line: Column, folded: Column, pattern: Pattern) -> Column:
     """A cheap test every line with a match of the pattern passes."""
     if pattern.anchors:
         return tx.any_of(folded.contains(a) for a in pattern.anchors)
-    return line.rlike(tx.java_regex(pattern.shape)) if pattern.shape else F.lit(True)
+    return _has_shape(line, pattern) if pattern.shape else F.lit(True)
+
+
+def _has_shape(line: Column, pattern: Pattern) -> Column:
+    found = line.rlike(tx.java_regex(pattern.shape))
+    return (F.length(line) >= pattern.least) & found if pattern.least else found
 
 
 def _worth_matching(line: Column, folded: Column, patterns: Sequence[Pattern], entropy: bool) -> Column:
@@ -72,7 +77,7 @@ def _worth_matching(line: Column, folded: Column, patterns: Sequence[Pattern], e
         return F.lit(True)
     anchors = sorted({a for p in patterns for a in p.anchors})
     tests = [folded.contains(a) for a in anchors]
-    tests += [line.rlike(tx.java_regex(p.shape)) for p in patterns if p.shape and not p.anchors]
+    tests += [_has_shape(line, p) for p in patterns if p.shape and not p.anchors]
     if entropy:
         opens = tx.any_of(line.contains(c) for c in ("\"", "'", "=", ":"))
         tests.append((F.length(line) > catalog.ENTROPY_MIN_LENGTH) & opens & line.rlike(_ENTROPY_GATE))
