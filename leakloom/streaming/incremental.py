@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from leakloom.catalog import BUILTIN_PATTERNS, Pattern
 from leakloom.operators.detect import eligible_files, scan_secrets
 from leakloom.operators.lifecycle import batch_arrivals, fold_arrivals, merge_arrivals
-from leakloom.session import complete_folders
+from leakloom.session import complete_folders, remove_folders
 from leakloom.sources.files import stream_tree
 
 
@@ -57,10 +57,16 @@ def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, root: str, schema: str) -> None:
-    """Write the current findings as a new snapshot; what it was made from stays untouched."""
-    _, batches = _state(spark, root)
+    """Write the current findings as a new snapshot.
+
+    What it was made from stays, for readers that began before; what the snapshot before
+    that was made from goes, so the store holds two snapshots and the batches since the older one.
+    """
+    before, batches = _state(spark, root)
     if batches:
         read_snapshot(spark, root, schema).write.mode("overwrite").parquet(f"{root}/snapshots/{SNAPSHOT}{batches[-1]}")
+        remove_folders(spark, [f"{root}/snapshots/{SNAPSHOT}{n}" for n in _complete(spark, f"{root}/snapshots", SNAPSHOT) if n < before]
+                       + [f"{root}/deltas/{DELTA}{n}" for n in _complete(spark, f"{root}/deltas", DELTA) if n <= before])
 
 
 def stream_upsert(findings: DataFrame, patterns: DataFrame, root: str, schema: str, checkpoint: str,

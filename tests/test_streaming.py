@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,8 @@ def test_upsert_stream_is_idempotent(spark, tmp_path, compact_every):
     assert run("lost checkpoint") == {"x": 3, "y": 2, "z": 1}
     incremental.compact(spark, root, TABLES["findings"])
     assert run("cp") == {"x": 3, "y": 2, "z": 1}
+    if compact_every == 1:  # two snapshots, and the batch between them
+        assert sorted(os.listdir(f"{root}/snapshots")) == ["v=1", "v=2"] and os.listdir(f"{root}/deltas") == ["batch_id=2"]
 
 
 def test_folded_batches_equal_one_after_the_other(spark):
