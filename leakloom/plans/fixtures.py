@@ -72,6 +72,10 @@ SELECT l_orderkey * 10 + l_linenumber AS id, scan AS scan_id, {app}(scan) AS app
   q % 10 = 0 AS is_false_positive, d AS created_at
 FROM (SELECT l_orderkey, l_linenumber, cast(floor(l_orderkey / 30) AS bigint) AS scan, min(l_partkey) AS p, min(l_suppkey) AS s, cast(min(l_quantity) AS int) AS q,
     min(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) AS rf, min(l_shipdate) AS d FROM {t:lineitem} GROUP BY l_orderkey, l_linenumber) u""",
+    "round_robin_findings": """
+SELECT id, orderkey % 400 AS scan_id, concat('app', cast((orderkey % 400) % 20 AS string)) AS app_name, finding_type, severity, title,
+  file_path, line_number, code_snippet, cve_id, component, status, is_false_positive, created_at
+FROM (SELECT *, cast(floor(id / 10) AS bigint) AS orderkey FROM ({v:findings}) f) s""",
     "secret_findings": """
 SELECT id, scan_id, app_name, file_path, line_number, title AS pattern_name, 'regex' AS pattern_type, severity,
   (id % 10) / 10.0e0 AS confidence, substr({sha256}(code_snippet), 1, 16) AS secret_hash, status,

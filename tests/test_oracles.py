@@ -44,3 +44,12 @@ def test_twin_agrees(spark, duck, name):
 def test_entry(spark):
     frame = registered.entry(spark)
     assert frame.columns == ["app_name", "severity", "findings"] and frame.count() > 0
+
+
+def test_persistent_hashes_are_of_scans_that_grow(spark, duck):
+    duck.execute("CREATE TABLE doubled AS SELECT l.* REPLACE (l_orderkey + r * 60000 AS l_orderkey) FROM lineitem l, range(2) t(r)")
+    twin = registered.oracle_sql()["persistent_finding_hashes"]
+    compared = "SELECT count(*) FROM h WHERE scan_id IN (25, 45)"
+    held = [duck.sql(twin[:twin.index("SELECT finding_hash FROM h")].replace("FROM lineitem", f"FROM {t}") + compared).fetchall()[0][0]
+            for t in ("lineitem", "doubled")]
+    assert held[1] == 2 * held[0] > 0
