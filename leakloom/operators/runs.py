@@ -61,6 +61,7 @@ def run_scan(spark: SparkSession, applications: DataFrame, files: DataFrame, rep
     scans = cut(numbered(names, ["app_name"], tables.read_table(spark, root, "scans"))
                 .join(failing, "app_name", "left").withColumns({"scan_type": F.lit(scan_type), "started_at": now}))
     scan_of = scans.where("error_message IS NULL").select("app_name", F.col("id").alias("scan_id"))
+    applications_done = scan_of.count()
     counted = {kind: spark.createDataFrame([], "scan_id bigint, severity string") for kind in ("secrets", "sca")}
 
     if "secrets" in kinds:
@@ -69,13 +70,13 @@ def run_scan(spark: SparkSession, applications: DataFrame, files: DataFrame, rep
         rows = counted["secrets"] = cut(found.withColumnRenamed("path", "file_path").join(scan_of, "app_name"))
         order = ("app_name", "file_path", "line_number", "pattern_name", "secret_hash")
         ready = numbered(rows, order, tables.read_table(spark, root, "secret_findings"))
-        tables.append_secret_findings(ready, root, F.col("scan_id"), now, materialise=False)
+        tables.append_secret_findings(ready, root, F.col("scan_id"), now, applications_done)
     if "sca" in kinds:
         found = sca.normalize_all(**reports)
         rows = counted["sca"] = cut(found.join(scan_of, "app_name"))
         order = ("app_name", "package_manager", "package_name", "cve_id", "file_path")
         ready = numbered(rows, order, tables.read_table(spark, root, "sca_findings"))
-        tables.append_sca_findings(ready, root, F.col("scan_id"), now, materialise=False)
+        tables.append_sca_findings(ready, root, F.col("scan_id"), now, applications_done)
     rollup = relational.scan_rollup(scans, counted["secrets"], counted["sca"])
     rollup = rollup.join(scans.select("id", "error_message"), "id").withColumn("started_at", now)
     tables.append_scan_records(rollup, root, now)

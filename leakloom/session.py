@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,6 +82,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def staged(df: DataFrame) -> Iterator[DataFrame]:
+    """`df` as files in the shared folder for as long as the block lasts; column-wise and compressed, unlike a checkpoint."""
+    path = work_dir(df.sparkSession, "staged")
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove_folders(df.sparkSession, [path])
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-bound stages at least one task per core, by `keys` if there are any.
 

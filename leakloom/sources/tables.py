@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from leakloom.schemas import conform, table_schema
-from leakloom.session import complete_folders, cut, remove_folders
+from leakloom.session import complete_folders, cut, remove_folders, staged
 
 # Columns rows are clustered by on write: readers filter and join on them.
 CLUSTERING = {
@@ -16,11 +18,20 @@ CLUSTERING = {
 }
 
 
+#: Applications of one append that get a folder each.
+FOLDERS = 500
+#: Suffix of the folder with the appends of more applications than that.
+MANY = "_many"
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A stored table; one nothing was appended to yet is empty."""
-    if table not in complete_folders(spark, root):
+    """A stored table, in both of its layouts; one nothing was appended to yet is empty."""
+    folders = complete_folders(spark, root)
+    parts = [spark.read.schema(table_schema(table)).parquet(f"{root.rstrip('/')}/{name}")
+             for name in (table, table + MANY) if name in folders]
+    if not parts:
         return spark.createDataFrame([], table_schema(table))
-    return spark.read.schema(table_schema(table)).parquet(f"{root.rstrip('/')}/{table}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _versions(spark: SparkSession, root: str, table: str) -> list[int]:
@@ -45,34 +56,47 @@ def write_version(df: DataFrame, root: str, table: str, kept: int = 2) -> None:
     remove_folders(spark, [f"{target}/v{v}" for v in versions[:-kept]])
 
 
-def append_table(df: DataFrame, root: str, table: str, materialise: bool = True) -> None:
+def append_table(df: DataFrame, root: str, table: str, applications: int | None = None) -> None:
     """Append rows to a table.
 
     Findings are laid out by application. Rows are range-partitioned first: a task
     then writes few applications, and a large application is split over many tasks.
-    Finding the ranges reads the rows an extra time, so they are materialised before
-    (unless the caller has done that): the scan that produced them, far larger than
-    they are, runs once.
+    Finding the ranges reads the rows an extra time, so they are staged before,
+    unless the caller has stored them and knows of how many `applications` they are:
+    the scan that produced them, far larger than they are, runs once.
+
+    A folder per application lets readers skip the others, but each is a file to create,
+    commit and list. An append of more than `FOLDERS` applications is one folder of
+    files sorted by application; readers skip row groups by their bounds there.
     """
     rows = conform(df, table)
-    target = f"{root.rstrip('/')}/{table}"
-    if table in CLUSTERING:
-        keys = CLUSTERING[table]
-        laid_out = (cut(rows) if materialise else rows).repartitionByRange(*keys).sortWithinPartitions(*keys)
-        laid_out.write.mode("append").partitionBy("app_name").parquet(target)
+    if table not in CLUSTERING:
+        rows.write.mode("append").parquet(f"{root.rstrip('/')}/{table}")
+    elif applications is None:
+        with staged(rows) as kept:
+            _append_sorted(kept, root, table, kept.select("app_name").distinct().limit(FOLDERS + 1).count())
+    else:
+        _append_sorted(rows, root, table, applications)
+
+
+def _append_sorted(rows: DataFrame, root: str, table: str, applications: int) -> None:
+    keys = CLUSTERING[table]
+    laid_out = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("append")
+    if applications > FOLDERS:
+        laid_out.parquet(f"{root.rstrip('/')}/{table}{MANY}")
     else:
-        rows.write.mode("append").parquet(target)
+        laid_out.partitionBy("app_name").parquet(f"{root.rstrip('/')}/{table}")
 
 
 def append_secret_findings(findings: DataFrame, root: str, scan_id: Column, now: Column,
-                           materialise: bool = True) -> None:
+                           applications: int | None = None) -> None:
     """Scanner output into the store, open and dated."""
-    append_table(findings.withColumns({"scan_id": scan_id, "created_at": now}), root, "secret_findings", materialise)
+    append_table(findings.withColumns({"scan_id": scan_id, "created_at": now}), root, "secret_findings", applications)
 
 
 def append_sca_findings(findings: DataFrame, root: str, scan_id: Column, now: Column,
-                        materialise: bool = True) -> None:
-    append_table(findings.withColumns({"scan_id": scan_id, "created_at": now}), root, "sca_findings", materialise)
+                        applications: int | None = None) -> None:
+    append_table(findings.withColumns({"scan_id": scan_id, "created_at": now}), root, "sca_findings", applications)
 
 
 def append_comparison(comparison: DataFrame, root: str, now: Column) -> None:

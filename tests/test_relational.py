@@ -150,6 +150,17 @@ def test_append_is_partitioned_and_typed(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(app_name" in plan and "EqualTo(scan_id,2)" in plan
 
 
+def test_folders_of_appends_do_not_grow_with_applications(spark, tmp_path):
+    rows = spark.range(700).selectExpr("id", "id % 3 AS scan_id", "concat('a', id) AS app_name", "'high' AS severity", "'open' AS status")
+    few = rows.where("id < 2")
+    for part in (few, rows, few):
+        tables.append_table(part, str(tmp_path), "secret_findings")
+    assert sorted(p.name for p in tmp_path.glob("**/app_name=*")) == ["app_name=a0", "app_name=a1"]
+    back = tables.read_table(spark, str(tmp_path), "secret_findings")
+    want = sorted([(r.id, r.scan_id, r.app_name) for r in rows.collect()] + 2 * [(r.id, r.scan_id, r.app_name) for r in few.collect()])
+    assert sorted((r.id, r.scan_id, r.app_name) for r in back.collect()) == want
+
+
 def test_lines_of_text_helper(spark):
     frame = spark.createDataFrame([("a\r\nb\rc\n",), ("x",)], "t string")
     assert [r[0] for r in frame.select(tx.split_lines(F.col("t"))).collect()] == [["a", "b", "c"], ["x"]]
