@@ -52,12 +52,12 @@ def stream_upsert(spark, sf_dir):
     path, parts = work_dir(spark, "findings-in"), 3
     low, high = hashed.agg(F.min("id"), F.max("id")).first()
     part = F.floor((F.col("id") - low) * parts / (high - low + 1))
-    for n in range(parts):  # one after the other: a file stream takes files by time
-        hashed.where(part == n).coalesce(1).write.mode("append").parquet(path)
     root, checkpoint = work_dir(spark, "snapshots"), work_dir(spark, "checkpoint")
-    stream = spark.readStream.schema(hashed.schema).option("maxFilesPerTrigger", 1).parquet(path)
     now = F.expr(f"TIMESTAMP_NTZ '{STREAM_NOW}'")
-    incremental.stream_upsert(stream, patterns, root, TABLES["findings"], checkpoint, now, compact_every=2).awaitTermination()
+    for n in range(parts):  # a run takes all that was added since the last one as one batch, in as many files as tasks wrote
+        hashed.where(part == n).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(hashed.schema).parquet(path)
+        incremental.stream_upsert(stream, patterns, root, TABLES["findings"], checkpoint, now, compact_every=2).awaitTermination()
     return incremental.read_snapshot(spark, root, TABLES["findings"]).select("app_name", "finding_hash", "occurrence_count")
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,18 @@ def test_daily_activity_with_late_data(spark, tmp_path):
     assert run() == {10: 3, 11: 1, 20: 1}
     add(11, 19)  # the 11th is closed by now, the 19th is not
     assert run() == {10: 3, 11: 1, 20: 1, 19: 1}
+
+
+def test_the_upsert_streams_in_batches_of_many_files(spark, monkeypatch):
+    from leakloom.plans import streams
+
+    made, fresh = {}, streams.work_dir
+    monkeypatch.setattr(streams, "work_dir", lambda spark, purpose: made.setdefault(purpose, fresh(spark, purpose)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert streams.stream_upsert(spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [p for p in Path(made["findings-in"].removeprefix("file:")).iterdir() if p.suffix == ".parquet"]
+    batches = [p for p in (Path(made["checkpoint"].removeprefix("file:")) / "commits").iterdir() if p.name.isdigit()]
+    assert len(batches) == 3 and len(files) > 6
