@@ -24,8 +24,10 @@ shingle. A key without frequent shingles has few holders by construction, and
 their pairs are listed. The holders of a frequent key are compared with one of
 them; those that this leaves in different components are compared across
 components, in blocks, by bit sketches: each outsider once with all holders of the keys
-whose main component is the same. Thus the components are those of all links,
-and finding a cluster of n near copies costs about n comparisons. Equal sets are one
+whose main component is the same. Of the pairs that pass, each outsider's closest few are
+compared shingle by shingle; as long as some were left out, the same is done with more of
+them for those that are still in different components. Thus the components are those of
+all links, and finding a cluster of n near copies costs about n comparisons. Equal sets are one
 class from the scan on; they are known by 128 bits, the second half of which is looked
 at only where the first is not unique.
 
@@ -39,13 +41,14 @@ This costs the square of a component's number of different sets.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from leakloom.llm.common import counted, on_workers, stored
+from leakloom.llm.common import counted, on_workers, release, scratch, stored
 from leakloom.llm.components import components
 from leakloom.llm.hashing import WordHashes, batched, mix, shingle_sets
 
@@ -59,6 +62,8 @@ LISTED = 32
 BLOCK, BLOCK_BYTES = 2048, 8_000_000
 #: Parts into which the holders of a key are dealt.
 PARTS = 8
+#: Candidates of an outsider that are compared in the first round, and how many times as many in each further one.
+CLOSEST, MORE = 4, 8
 #: When a component's links are counted: least sets of a block, blocks up to BLOCK sets each, shingles of a block.
 COUNT_BLOCK, COUNT_BLOCKS, COUNT_SHINGLES = 64, 16, 400_000
 #: Shingles held per task before they are sorted and sent on.
@@ -286,8 +291,10 @@ def _key_rows(bits: int, filled, apart: np.ndarray):
         blobs = []
         for i, j in zip(at, at[1:]):
             own, place = np.unique(marks[i:j], return_inverse=True)
-            blobs.append(b"".join((np.array([j - i], np.uint32).tobytes(), rest[i:j].tobytes(),
-                                   place.astype(np.uint32).tobytes(), own.tobytes())))
+            # Marks that mostly differ are sent as they are, others once with their places.
+            sent = (marks[i:j],) if 2 * len(own) > j - i else (place.astype(np.uint32), own)
+            head = np.array([j - i, len(own) if len(sent) > 1 else 0], np.uint32)
+            blobs.append(b"".join(part.tobytes() for part in (head, rest[i:j], *sent)))
         yield _scan_rows("packed", len(blobs), bucket=pa.array(bucket[at[:-1]].astype(np.int32)), blob=pa.array(blobs, pa.binary()))
 
     def run(batches):
@@ -313,9 +320,11 @@ def _key_rows(bits: int, filled, apart: np.ndarray):
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    rest, place = np.frombuffer(blob, np.uint32, 2 * n, offset=4).reshape(2, n)
-    return rest, np.frombuffer(blob, _U, offset=4 + 8 * n)[place]
+    n, own = np.frombuffer(blob, np.uint32, 2).tolist()
+    rest = np.frombuffer(blob, np.uint32, n, offset=8)
+    if not own:
+        return rest, np.frombuffer(blob, _U, n, offset=8 + 4 * n)
+    return rest, np.frombuffer(blob, _U, own, offset=8 + 8 * n)[np.frombuffer(blob, np.uint32, n, offset=8 + 4 * n)]
 
 
 def _bucket_pairs(frame: pd.DataFrame) -> pd.DataFrame:
@@ -411,12 +420,7 @@ class _Verifier:
 
     def contents_of(self, marks: DataFrame) -> DataFrame:
         """`marks` (mark, ...) with the shingles of those sets that were ever verified: all that have a link."""
-        found = None
-        for contents in self.contents:
-            own = marks.join(contents, "mark")
-            found = own if found is None else found.unionByName(own.join(earlier, "mark", "left_anti"))
-            earlier = contents.select("mark")
-        return found
+        return marks.join(reduce(DataFrame.unionByName, self.contents).dropDuplicates(["mark"]), "mark")
 
 
 # --- holders of frequent keys ----------------------------------------------------------------
@@ -438,10 +442,19 @@ _COLUMNS = ("main", "i", "j", "minor", "mark", "comp", "n", "sketch")
 _STEP_BYTES = 4_000_000
 
 
-def _block_pairs(minor, mark, comp, n, sketch) -> np.ndarray:
-    """Pairs (rows a, b) of a block's minor rows with its others, in different components, that may link."""
+def _closest(found: np.ndarray, most: int) -> np.ndarray:
+    """Of the columns (a, b, bound, more), the `most` of least bound of each a; `more` is set where others were left out."""
+    found = found[:, np.lexsort((found[1], found[2], found[0]))]
+    at = _starts(found[0])
+    n = np.diff(np.append(at, found.shape[1]))
+    found[3] |= np.repeat(n > most, n)
+    return found[:, np.arange(found.shape[1]) - np.repeat(at, n) < most]
+
+
+def _block_pairs(minor, mark, comp, n, sketch, most: int) -> np.ndarray:
+    """A block's minor rows a with the closest `most` others b of different components that may link: rows (a, b, bound, more)."""
     length = np.array([len(s) for s in sketch])
-    found = []
+    found = [np.empty((4, 0), np.int64)]
     for size_a in np.unique(length[minor]):
         mine = np.flatnonzero(minor & (length == size_a))
         for size_b in np.unique(length[~minor]):
@@ -454,37 +467,36 @@ def _block_pairs(minor, mark, comp, n, sketch) -> np.ndarray:
             for at in range(0, len(mine), step):
                 own = mine[at:at + step]
                 bound = np.bitwise_count(x[at:at + step, None] ^ y[None]).sum(axis=2, dtype=np.int64)
-                apart = np.abs(n[own][:, None] - n[other][None])
-                fits = may_link(n[own][:, None], n[other][None], np.maximum(bound, apart)) & (comp[own][:, None] != comp[other][None])
+                bound = np.maximum(bound, np.abs(n[own][:, None] - n[other][None]))
+                fits = may_link(n[own][:, None], n[other][None], bound) & (comp[own][:, None] != comp[other][None])
                 rows, columns = np.nonzero(fits)
-                found.append(np.stack((mark[own[rows]], mark[other[columns]])))
-    return np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-
-
-def _cross(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components within blocks, from rows sorted by block; minor ones against all."""
-    rest = None
-    for batch in batches:
-        columns = [batch[c].to_numpy() for c in _COLUMNS]
+                found.append(_closest(np.stack((mark[own[rows]], mark[other[columns]], bound[rows, columns], np.zeros(len(rows), np.int64))), most))
+    return _closest(np.concatenate(found, axis=1), most)
+
+
+def _cross(most: int):
+    """Candidates of minor rows within blocks, from rows sorted by block."""
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            columns = [batch[c].to_numpy() for c in _COLUMNS]
+            if rest is not None:
+                columns = [np.concatenate(c) for c in zip(rest, columns)]
+            at = _starts(*columns[:3])
+            for b, e in zip(at, at[1:]):
+                yield _candidate_rows(_block_pairs(*[c[b:e] for c in columns[3:]], most))
+            rest = [c[at[-1]:] for c in columns] if len(at) else None
         if rest is not None:
-            columns = [np.concatenate(c) for c in zip(rest, columns)]
-        at = _starts(*columns[:3])
-        pairs = [_block_pairs(*[c[b:e] for c in columns[3:]]) for b, e in zip(at, at[1:])]
-        rest = [c[at[-1]:] for c in columns] if len(at) else None
-        if pairs:
-            yield _pair_rows(pairs)
-    if rest is not None:
-        yield _pair_rows([_block_pairs(*rest[3:])])
+            yield _candidate_rows(_block_pairs(*rest[3:], most))
+    return run
 
 
-def _pair_rows(pairs: list[np.ndarray]) -> pd.DataFrame:
-    both = np.concatenate(pairs, axis=1)
-    both = np.unique(np.stack((both.min(axis=0), both.max(axis=0))), axis=1)
-    return pd.DataFrame({"a": both[0], "b": both[1]})
+def _candidate_rows(found: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": found[0], "b": found[1], "bound": found[2], "more": found[3] > 0})
 
 
-def _cross_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidate pairs of holders that the hubs left in different components.
+def _cross_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """Candidate pairs of holders that are in different components, the closest `most` of each outsider; whether it has more.
 
     Keys whose holders mostly belong to one component are taken together: near copies
     share hundreds of keys, and one comparison of each outsider with the holders does
@@ -512,8 +524,14 @@ def _cross_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame) -> Da
                 .withColumn("minor", F.lit(False)).select(*columns))
     minors = (rows.where("minor").withColumn("j", minor_block)
               .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(*columns))
-    return (all_rows.unionByName(minors).repartition("main", "i", "j").sortWithinPartitions("main", "i", "j")
-            .mapInPandas(_cross, "a long, b long").distinct())
+    found = (all_rows.unionByName(minors).repartition("main", "i", "j").sortWithinPartitions("main", "i", "j")
+             .mapInPandas(_cross(most), "a long, b long, bound long, more boolean"))
+    # An outsider has up to `most` candidates in each of its blocks: the closest of them all are kept.
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("bound", "b"))
+    found = found.groupBy("a", "b", "bound").agg(F.max("more").alias("more")).withColumn("rank", rank)
+    found = stored(found.where(F.col("rank") <= most + 1), "parity-candidates")
+    left_out = not found.where(F.col("more") | (F.col("rank") > most)).isEmpty()
+    return found.where(F.col("rank") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), left_out
 
 
 # --- numbers of links ------------------------------------------------------------------------
@@ -623,19 +641,22 @@ def parity_join(documents: DataFrame, frequent: int = FREQUENT, count_links: boo
         if not shared:
             break
         apart = np.union1d(apart, np.array(shared, np.int64).view(_U))
-    rows, holders = rows.drop("check"), holders.drop("several")
+    rows, holders = stored(rows.drop("check"), "parity-rows"), holders.drop("several")
     sketches = stored(scan.where("kind = 'set'").select("mark", "n", "sketch").dropDuplicates(["mark"]), "parity-sketches")
     listed = stored(scan.where("kind = 'packed'").select("bucket", "blob").groupBy("bucket")
                     .applyInPandas(_bucket_pairs, "a long, b long, many boolean"), "parity-keys")
     groups = _key_groups(scan.where("kind = 'frequent'").select("key", "mark")
                          .unionByName(listed.where("many").select(F.col("a").alias("key"), F.col("b").alias("mark"))).distinct())
+    release(spark, [p for p in scratch(spark) if "/parity-scan-" in p])  # all that is read of it is stored by now
 
     verify = _Verifier(texts, holders, sketches, apart)
     hubs = groups.where("mark != hub").select(F.col("hub").alias("a"), F.col("mark").alias("b"))
     links = verify(listed.where("NOT many").select("a", "b").unionByName(hubs).distinct())
-    more = verify(_cross_pairs(groups, components(links), sketches))
-    links = links.unionByName(more).distinct()
-    comps = components(links)
+    comps, most, left_out = components(links), CLOSEST, True
+    while left_out:
+        pairs, left_out = _cross_pairs(groups, comps, sketches, most)
+        links = links.unionByName(verify(pairs)).distinct()
+        comps, most = components(links), most * MORE
     named = rows.join(comps.withColumnRenamed("node", "mark"), "mark", "left")
     if count_links:
         named = named.join(_all_degrees(links, comps, groups, sketches, verify), "mark", "left")

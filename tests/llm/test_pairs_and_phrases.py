@@ -211,3 +211,39 @@ def test_registered_join_matches_all_pairs(spark):
     docs = duckdb.connect().execute(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op3_parity_join"](spark, sf).collect()}
     assert got == near_duplicates(docs)
+
+
+def test_candidates_of_a_block_are_few_per_outsider():
+    """Sets that may all link, each a component of its own: a block names the closest few of each, and says that there are more."""
+    n = 200
+    sketch = np.array([bytes(8) for _ in range(n)] * 2, object)
+    mark, size = np.arange(n).tolist() * 2, np.full(2 * n, 50)
+    found = parity_join._block_pairs(np.arange(2 * n) < n, np.array(mark), np.array(mark), size, sketch, 4)
+    assert found.shape[1] == 4 * n and found[3].all() and (found[0] != found[1]).all()
+    assert np.bincount(found[0]).tolist() == [4] * n
+    whole = parity_join._block_pairs(np.arange(2 * n) < n, np.array(mark), np.array(mark), size, sketch, n)
+    assert whole.shape[1] == n * (n - 1) and not whole[3].any()
+
+
+def test_rounds_of_candidates_find_every_component(spark, monkeypatch):
+    """Members of a family link with some of the others only; one candidate an outsider and round."""
+    monkeypatch.setattr(parity_join, "CLOSEST", 1)
+    monkeypatch.setattr(parity_join, "MORE", 2)
+    rng, members = random.Random(7), 300
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(members):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice((1, 2, 2, 3))):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in parity_join.parity_join(frame, count_links=False).collect()}
+    sets = [{tuple(words[k:k + 5]) for k in range(len(words) - 4)} for words in map(str.split, texts)]
+    root = list(range(members))
+    for a in range(members):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    assert got == dict(enumerate(root))
