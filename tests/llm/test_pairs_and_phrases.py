@@ -97,6 +97,29 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+@pytest.fixture
+def dealt(spark):
+    """Partitions as shuffles make them: 16, none put together, and no broadcast but where the code asks for one."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_components_of_few_links_are_not_dealt_out(spark, dealt):
+    """A round of a small table costs no shuffle; a larger table is shuffled, with the same result."""
+    edges = [(i, i + 1) for i in range(30)] + [(100 + i, 100) for i in range(31)] + [(130, 131), (131, 130), (7, 7)]
+    links = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    small, large = components(links), components(links, few=10)
+    assert len(small.inputFiles()) == 1 < len(large.inputFiles())
+    want = {**{i: 0 for i in range(31)}, **{100 + i: 100 for i in range(32)}}
+    assert {r["node"]: r["root"] for r in small.collect()} == {r["node"]: r["root"] for r in large.collect()} == want
+
+
 def test_trie_holds_every_string():
     draw = random.Random(3)
     trie, plain = trie_dedup.PatriciaTrie(), {}
