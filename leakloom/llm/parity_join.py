@@ -404,10 +404,16 @@ class _Verifier:
         self.texts, self.holders, self.sketches, self.apart = texts, holders, sketches, apart
         self.contents: list[DataFrame] = []
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """Stored links (a, b) among distinct candidate pairs (a, b)."""
-        side = lambda x: self.sketches.select(F.col("mark").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        passing = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_passing, "a long, b long"), "parity-pairs")
+    def passing(self, pairs: DataFrame) -> DataFrame:
+        """Stored pairs, of distinct candidate pairs (a, b), whose sketches allow a link; other sets' sketches are not shuffled."""
+        pairs = stored(pairs, "parity-listed")
+        own = stored(pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct(), "parity-marks")
+        own = stored(self.sketches.join(counted(own), "mark"), "parity-own")
+        side = lambda x: own.select(F.col("mark").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_passing, "a long, b long"), "parity-pairs")
+
+    def __call__(self, passing: DataFrame) -> DataFrame:
+        """Stored links (a, b) among distinct stored pairs (a, b) whose sketches allow one."""
         wanted = passing.select(F.col("a").alias("mark")).union(passing.select("b")).distinct()
         wanted = stored(wanted.join(self.holders, "mark"), "parity-wanted")
         texts = self.texts.alias("t").join(counted(wanted).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
@@ -509,6 +515,7 @@ def _cross_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame, most:
                  .groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"),
                                      F.sum("n").alias("size")).where("size > most").select("key", "main"))
     rows = rows.join(counted(stored(open_keys, "parity-open-keys")), "key").select("main", "mark", "comp").distinct()
+    rows = counted(stored(rows, "parity-open-rows"))  # few as a rule: then the other sets' sketches are not shuffled
     rows = stored(rows.join(sketches, "mark").withColumn("minor", F.col("comp") != F.col("main")), "parity-outsiders")
 
     def blocks(of, n):  # of the rows that `of` selects
@@ -531,7 +538,8 @@ def _cross_pairs(groups: DataFrame, comps: DataFrame, sketches: DataFrame, most:
     found = found.groupBy("a", "b", "bound").agg(F.max("more").alias("more")).withColumn("rank", rank)
     found = stored(found.where(F.col("rank") <= most + 1), "parity-candidates")
     left_out = not found.where(F.col("more") | (F.col("rank") > most)).isEmpty()
-    return found.where(F.col("rank") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), left_out
+    pairs = found.where(F.col("rank") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stored(pairs.distinct(), "parity-closest"), left_out
 
 
 # --- numbers of links ------------------------------------------------------------------------
@@ -651,11 +659,11 @@ def parity_join(documents: DataFrame, frequent: int = FREQUENT, count_links: boo
 
     verify = _Verifier(texts, holders, sketches, apart)
     hubs = groups.where("mark != hub").select(F.col("hub").alias("a"), F.col("mark").alias("b"))
-    links = verify(listed.where("NOT many").select("a", "b").unionByName(hubs).distinct())
+    links = verify(verify.passing(listed.where("NOT many").select("a", "b").unionByName(hubs).distinct()))
     comps, most, left_out = components(links), CLOSEST, True
     while left_out:
         pairs, left_out = _cross_pairs(groups, comps, sketches, most)
-        links = links.unionByName(verify(pairs)).distinct()
+        links = links.unionByName(verify(pairs))  # of sets in different components: none is known so far
         comps, most = components(links), most * MORE
     named = rows.join(comps.withColumnRenamed("node", "mark"), "mark", "left")
     if count_links:

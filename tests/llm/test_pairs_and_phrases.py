@@ -120,6 +120,23 @@ def test_components_of_few_links_are_not_dealt_out(spark, dealt):
     assert {r["node"]: r["root"] for r in small.collect()} == {r["node"]: r["root"] for r in large.collect()} == want
 
 
+def test_only_sketches_that_are_compared_are_shuffled(spark, dealt, monkeypatch):
+    """Joins with the table of all sketches leave it where it is: few sets are candidates in a round."""
+    plans, write = {}, parity_join.stored
+
+    def noted(df, purpose):
+        plans.setdefault(purpose, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, purpose)
+
+    monkeypatch.setattr(parity_join, "stored", noted)
+    docs = corpus(2)
+    found = parity_join.parity_join(table(spark, [(d, t, None) for d, t in docs]), frequent=3, count_links=False)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == near_duplicates(docs)
+    for purpose in ("parity-own", "parity-outsiders"):
+        assert plans[purpose] and not any("hashpartitioning" in p for p in plans[purpose])
+    assert len(plans["parity-pairs"]) == 1  # candidates across components have passed their sketches' test in the blocks
+
+
 def test_trie_holds_every_string():
     draw = random.Random(3)
     trie, plain = trie_dedup.PatriciaTrie(), {}
