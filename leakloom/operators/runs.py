@@ -14,6 +14,9 @@ from leakloom.schemas import conform
 from leakloom.session import cut
 from leakloom.sources import tables
 
+#: Applications of a run whose names and scan ids are broadcast to their files and findings.
+BROADCAST_APPLICATIONS = 500_000
+
 SCAN_TYPES = {"full": ("secrets", "sca"), "secrets": ("secrets",), "sca": ("sca",)}
 
 
@@ -62,6 +65,8 @@ def run_scan(spark: SparkSession, applications: DataFrame, files: DataFrame, rep
                 .join(failing, "app_name", "left").withColumns({"scan_type": F.lit(scan_type), "started_at": now}))
     scan_of = scans.where("error_message IS NULL").select("app_name", F.col("id").alias("scan_id"))
     applications_done = scan_of.count()
+    # A shuffle by application would move all texts, and put all files of a large application into one task.
+    scan_of = F.broadcast(scan_of) if applications_done <= BROADCAST_APPLICATIONS else scan_of
     counted = {kind: spark.createDataFrame([], "scan_id bigint, severity string") for kind in ("secrets", "sca")}
 
     if "secrets" in kinds:

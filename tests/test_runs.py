@@ -41,6 +41,21 @@ def test_two_runs_share_a_store(spark, tmp_path):
     assert tables.read_table(spark, root, "scan_results").count() == 5
 
 
+def test_files_are_scanned_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Neither the texts nor the hits are shuffled by application, however large the tables look to Spark."""
+    plans, write = [], runs.cut
+    monkeypatch.setattr(runs, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    apps, files, reports = inputs(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = runs.run_scan(spark, apps, files, reports, str(tmp_path), at(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.app_name: (r.secrets_found, r.vulnerabilities_found) for r in done} == {"a": (2, 2), "b": (1, 0), "c": (0, 0)}
+    assert "hashpartitioning(app_name" not in plans[1] and "hashpartitioning(app_name" not in plans[2]
+
+
 def test_unknown_scan_type(spark, tmp_path):
     with pytest.raises(KeyError):
         runs.run_scan(spark, *inputs(spark), str(tmp_path), at(1), scan_type="other")
