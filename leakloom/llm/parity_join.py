@@ -93,6 +93,16 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as their differences, byte by byte: the high bytes are mostly zero, and files compress them."""
+    return np.diff(values, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(data: bytes, n: int, offset: int = 0) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, 4 * n, offset).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1), dtype=np.uint32)
+
+
 def set_marks(values: np.ndarray, counts: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit name of each set, and a second 64-bit hash of it; 0 for empty ones.
 
@@ -219,7 +229,7 @@ def _shingle_blobs(bits: int):
         rest = (values >> _U(32 - bits)).astype(np.uint32)
         at = np.append(_starts(bucket), len(values))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[at[:-1]].astype(np.int32)), pa.array([rest[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())],
+            [pa.array(bucket[at[:-1]].astype(np.int32)), pa.array([_planes(rest[i:j]) for i, j in zip(at, at[1:])], pa.binary())],
             ["bucket", "blob"])
 
     def run(batches):
@@ -237,7 +247,7 @@ def _shingle_blobs(bits: int):
 
 def _frequent_bits(bits: int, frequent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rest = np.sort(np.concatenate([np.frombuffer(b, np.uint32) for b in frame["blob"]]))
+        rest = np.sort(np.concatenate([_of_planes(b, len(b) // 4) for b in frame["blob"]]))
         at = _starts(rest)
         n = np.diff(np.append(at, len(rest)))
         often = n >= frequent
@@ -294,7 +304,7 @@ def _key_rows(bits: int, filled, apart: np.ndarray):
             # Marks that mostly differ are sent as they are, others once with their places.
             sent = (marks[i:j],) if 2 * len(own) > j - i else (place.astype(np.uint32), own)
             head = np.array([j - i, len(own) if len(sent) > 1 else 0], np.uint32)
-            blobs.append(b"".join(part.tobytes() for part in (head, rest[i:j], *sent)))
+            blobs.append(b"".join((head.tobytes(), _planes(rest[i:j]), *(part.tobytes() for part in sent))))
         yield _scan_rows("packed", len(blobs), bucket=pa.array(bucket[at[:-1]].astype(np.int32)), blob=pa.array(blobs, pa.binary()))
 
     def run(batches):
@@ -321,7 +331,7 @@ def _key_rows(bits: int, filled, apart: np.ndarray):
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, own = np.frombuffer(blob, np.uint32, 2).tolist()
-    rest = np.frombuffer(blob, np.uint32, n, offset=8)
+    rest = _of_planes(blob, n, 8)
     if not own:
         return rest, np.frombuffer(blob, _U, n, offset=8 + 4 * n)
     return rest, np.frombuffer(blob, _U, own, offset=8 + 8 * n)[np.frombuffer(blob, np.uint32, n, offset=8 + 4 * n)]
