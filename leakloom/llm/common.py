@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 import leakloom
@@ -17,6 +18,8 @@ from leakloom.session import work_dir
 SPACE = r"\x20\x09-\x0D"
 #: Rows of a side that may be broadcast: a few words each, so some ten megabytes.
 BROADCAST_ROWS = 500_000
+#: What a worker process keeps for later tasks, and what it was made from.
+_KEPT: list = []
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,6 +37,26 @@ def on_workers(spark: SparkSession) -> None:
     context._leakloom_shipped = True
 
 
+def kept(make: Callable, *arguments):
+    """`make(*arguments)`, kept by this worker process for later tasks.
+
+    A worker serves all operators of a session, so it keeps one such table: another operator's,
+    or one of other arguments, goes before the new one is made.
+    """
+    if _KEPT[:1] != [(make, arguments)]:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[:] = (make, arguments), make(*arguments)
+    return _KEPT[1]
+
+
+def pairs_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of the first two columns, one at a time: the texts of a batch are not all Python strings at once."""
+    for batch in batches:
+        for a, b in zip(batch.column(0), batch.column(1)):
+            yield a.as_py(), b.as_py()
+
+
 def id_text(column: str = "doc_id") -> Column:
     """An id on its way into pandas: a long column with nulls would become floating point there."""
     return F.col(column).cast("long").cast("string").alias(column)

@@ -48,7 +48,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from leakloom.llm.common import counted, on_workers, release, scratch, stored
+from leakloom.llm.common import counted, kept, on_workers, pairs_of, release, scratch, stored
 from leakloom.llm.components import components
 from leakloom.llm.hashing import WordHashes, batched, mix, shingle_sets
 
@@ -202,12 +202,11 @@ class _Classes:
     """Shingle sets of a task's texts; a set counts as new where the task has not met it lately."""
 
     def __init__(self, apart: np.ndarray | None = None):
-        self.table, self.seen, self.apart = WordHashes(), set(), apart
+        self.table, self.seen, self.apart = kept(WordHashes), set(), apart
 
     def __call__(self, batches: Iterable[pa.RecordBatch]):
         """Per batch of texts: ids, sizes, marks and checks of all, then values and sizes and marks of the new sets."""
-        rows = (r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        for held in batched(rows, 1, _CHARACTERS):
+        for held in batched(pairs_of(batches), 1, _CHARACTERS):
             values, counts = shingle_sets((text for _, text in held), self.table)
             marks, checks = set_marks(values, counts, self.apart)
             if len(self.seen) > _SEEN:
@@ -387,9 +386,8 @@ def _passing(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _set_contents(apart: np.ndarray):
     """(mark, shingles) of the texts (mark, text) whose set has that mark."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
-        rows = (r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        for held in batched(rows, 1, _CHARACTERS):
+        table = kept(WordHashes)
+        for held in batched(pairs_of(batches), 1, _CHARACTERS):
             values, counts = shingle_sets((text for _, text in held), table)
             marks = set_marks(values, counts, apart)[0].view(np.int64)
             ends = np.cumsum(counts)

@@ -22,7 +22,6 @@ files and an empty index.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import struct
@@ -37,7 +36,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from leakloom.llm.common import before, longs, on_workers, scratch, stored
+from leakloom.llm.common import before, kept, longs, on_workers, scratch, stored
 from leakloom.llm.hashing import mix
 from leakloom.session import work_dir
 
@@ -234,10 +233,9 @@ def _latin(word: bytes) -> bool:
     return max(text) < "\u0250" and text.lower().isalpha()
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder per worker process: later tasks find the words of earlier ones."""
-    return Encoder(path)
+    return kept(Encoder, path)
 
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list]]:

@@ -31,7 +31,6 @@ letters: a term of more than `LONGEST` letters is a start of `LONGEST` letters.
 from __future__ import annotations
 
 import bisect
-import functools
 import itertools
 import math
 import re
@@ -41,10 +40,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from leakloom.llm.common import on_workers, stored
+from leakloom.llm.common import kept, on_workers, stored
 from leakloom.llm.hashing import WordHashes, batched, mix, shingle_sets
 
 SAMPLE_ROWS = 20_000
@@ -64,6 +64,8 @@ SPREAD = 2.0
 
 _END = "$"
 _TABLE = 150_000
+#: Words of texts that a task holds before they are sent on; a text's own words come on top.
+_HELD = 20_000
 #: Characters of scripts without spaces (Thai and Lao, Burmese, Khmer, kana, Han); those that stand for a word in them.
 _RANGES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _UNSPACED = re.compile(f"[{_RANGES}]+")
@@ -216,10 +218,9 @@ def _step(states: tuple, letter: str, word: str) -> tuple:
     return tuple(after.items())
 
 
-@functools.lru_cache(maxsize=1)
 def trie_of(terms: tuple[str, ...], plain: tuple[str, ...]) -> LexiconTrie:
     """One trie per worker process: later tasks find the words of earlier ones."""
-    return LexiconTrie(terms, plain)
+    return kept(LexiconTrie, terms, plain)
 
 
 @dataclass
@@ -280,7 +281,7 @@ def learning_rows(documents: DataFrame, labels: DataFrame, sample_rows: int) ->
 
 def _signatures(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per text its least shingle hashes under SIGNATURE permutations; texts without words have none."""
-    table, factors = WordHashes(), mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
+    table, factors = kept(WordHashes), mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
     for batch in batches:
         held = list(zip(batch["key"], batch["text"]))
         for rows in batched(held, 1):
@@ -325,19 +326,20 @@ def with_classes(sample: DataFrame) -> DataFrame:
     found = (keyed.select("key", "text").dropDuplicates(["key"])
              .mapInPandas(_signatures, "key long, signature binary").collect())
     classes = _copy_classes([r["key"] for r in found], [r["signature"] and bytes(r["signature"]) for r in found])
-    frame = sample.sparkSession.createDataFrame(list(classes.items()), "key long, class long")
+    # An Arrow table needs no Python on the executors; a list of rows would start a second kind of workers there.
+    frame = sample.sparkSession.createDataFrame(pa.table({"key": pa.array(classes.keys(), pa.int64()), "class": pa.array(classes.values(), pa.int64())}))
     return keyed.join(F.broadcast(frame), "key").select("text", "toxic", "class")
 
 
 def _word_classes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Different (word, class, toxic) of a task."""
+    """Different (word, class, toxic) of some texts at a time; the rows of a batch of texts are not held at once."""
     held = set()
     for batch in batches:
         for text, toxic, own in zip(batch["text"], batch["toxic"], batch["class"]):
             held.update((word, own, int(toxic)) for word in set(words_of(text)))
-        if len(held) > 100_000:
-            yield from _word_rows(held)
-            held = set()
+            if len(held) > _HELD:
+                yield from _word_rows(held)
+                held = set()
     yield from _word_rows(held)
 
 

@@ -1,16 +1,20 @@
 """Licences, urls, shards, records, toxicity, lines, mixing: odd inputs and properties."""
 
 import collections
+import gc
 import random
+import weakref
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from leakloom.llm import (
-    license_scan, line_spread, mixing, shard_propagation, token_records, toxicity, url_cascade,
+    common, hashing, license_scan, line_spread, mixing, shard_propagation, token_records, toxicity, url_cascade,
 )
 from tests.llm.helpers import clashing, edit_distance, mix, table
 
@@ -474,3 +478,50 @@ def test_registered_toxicity_against_a_plain_scorer(spark):
         want = 1 / (1 + np.exp(-(x @ model.weights)))
         assert got[doc_id]["score"] == pytest.approx(want) and got[doc_id]["predicted"] == (want >= 0.7)
         assert got[doc_id]["held_out"] == (zlib.crc32(str(doc_id).encode()) % 3 == 1)
+
+
+# --- what a worker process holds ---
+
+def test_a_worker_keeps_one_table():
+    """Workers serve all operators in turn: the tables of an earlier one are not kept beside those of a later one."""
+    trie = weakref.ref(toxicity.trie_of(("idiot$",), ()))
+    assert toxicity.trie_of(("idiot$",), ()) is trie()
+    encoder = weakref.ref(token_records.encoder(TOKENIZER))
+    gc.collect()
+    assert trie() is None and encoder() is not None
+    common.kept(hashing.WordHashes)
+    gc.collect()
+    assert encoder() is None
+
+
+def test_words_of_a_batch_are_sent_on_as_texts_are_read(monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(300)] + ["w0x0 w0x0", None]
+    read = []
+    plain = toxicity.words_of
+    monkeypatch.setattr(toxicity, "words_of", lambda text: read.append(text) or plain(text))
+    batch = pd.DataFrame({"text": texts, "toxic": [i % 2 for i in range(302)], "class": range(302)})
+    found, waiting = [], []
+    for rows in toxicity._word_classes([batch]):
+        waiting.append(len(read) * 1000 - len(found))
+        found += rows.itertuples(index=False, name=None)
+    assert max(waiting) <= toxicity._HELD + 1000
+    assert sorted(found) == sorted({(w, i, i % 2) for i, t in enumerate(texts) for w in plain(t)})
+
+
+def test_classes_need_no_python_rows(spark, monkeypatch):
+    """A frame made from Python rows starts a second kind of Python workers on every executor."""
+    def refuse(*_, **__):
+        raise AssertionError("Python rows")
+
+    sample = table(spark, [("a b c d e f", 1), ("a b c d e f", 0), ("g h", 0)], "text string, toxic int")
+    none = sample.where("toxic > 1")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    rows = toxicity.with_classes(sample).collect()
+    assert sorted((r["text"], r["toxic"]) for r in rows) == [("a b c d e f", 0), ("a b c d e f", 1), ("g h", 0)]
+    assert len({r["class"] for r in rows}) == 2
+    assert toxicity.with_classes(none).collect() == []
+
+
+def test_rows_of_batches_one_at_a_time():
+    batches = [pa.record_batch([pa.array([1, None, 2**60]), pa.array(["a", "", None])], ["doc_id", "text"])] * 2
+    assert list(common.pairs_of(iter(batches))) == [(1, "a"), (None, ""), (2**60, None)] * 2
