@@ -51,10 +51,15 @@ def kept(make: Callable, *arguments):
 
 
 def pairs_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of the first two columns, one at a time: the texts of a batch are not all Python strings at once."""
+    """Rows of the first two columns, one at a time: the texts of a batch are not all Python strings at once.
+
+    Arrow's pool keeps what batches took, in idle workers, too; it is given back after each batch and at the end.
+    """
     for batch in batches:
-        for a, b in zip(batch.column(0), batch.column(1)):
-            yield a.as_py(), b.as_py()
+        yield from ((a.as_py(), b.as_py()) for a, b in zip(batch.column(0), batch.column(1)))
+        del batch
+        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
 
 
 def id_text(column: str = "doc_id") -> Column:

@@ -36,7 +36,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from leakloom.llm.common import before, kept, longs, on_workers, scratch, stored
+from leakloom.llm.common import before, kept, longs, on_workers, pairs_of, scratch, stored
 from leakloom.llm.hashing import mix
 from leakloom.session import work_dir
 
@@ -241,14 +241,14 @@ def encoder(path: str) -> Encoder:
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     """Ids and texts (UTF-8) of rows, about `PIECE_BYTES` of texts at a time."""
     ids, texts, size = [], [], 0
-    for batch in batches:
-        for own, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
-            ids.append(own.as_py())
-            texts.append(text.as_py())
-            size += len(texts[-1] or b"")
-            if size >= PIECE_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+    encoded = (pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.binary())], ["doc_id", "text"]) for b in batches)
+    for own, text in pairs_of(encoded):
+        ids.append(own)
+        texts.append(text)
+        size += len(text or b"")
+        if size >= PIECE_BYTES:
+            yield ids, texts
+            ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 

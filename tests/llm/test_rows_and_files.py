@@ -525,3 +525,11 @@ def test_classes_need_no_python_rows(spark, monkeypatch):
 def test_rows_of_batches_one_at_a_time():
     batches = [pa.record_batch([pa.array([1, None, 2**60]), pa.array(["a", "", None])], ["doc_id", "text"])] * 2
     assert list(common.pairs_of(iter(batches))) == [(1, "a"), (None, ""), (2**60, None)] * 2
+
+
+def test_batches_are_given_back():
+    """What is read of a stream of batches does not stay in Arrow's pool."""
+    before = pa.total_allocated_bytes()
+    stream = (pa.record_batch([pa.array([i]), pa.array(["x" * 1_000_000])], ["doc_id", "text"]) for i in range(20))
+    sizes = [pa.total_allocated_bytes() - before for _ in common.pairs_of(stream)]
+    assert len(sizes) == 20 and max(sizes) < 4_000_000 and pa.total_allocated_bytes() - before < 1_000_000
