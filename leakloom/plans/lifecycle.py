@@ -188,10 +188,10 @@ for _name, _left, _op, _right, _function in (
 
 
 @query("persistent_finding_hashes", f"""
-WITH {HASHED_SQL.replace('FROM findings', 'FROM round_robin_findings')} {_side_sql(CURRENT)} INTERSECT {_side_sql(BASELINE)}""", ["round_robin_findings"])
+WITH {HASHED_SQL.replace('FROM findings', 'FROM rescanned_findings')} {_side_sql(CURRENT)} INTERSECT {_side_sql(BASELINE)}""", ["rescanned_findings"])
 def persistent_finding_hashes(spark, sf_dir):
-    """Two scans of one application that grow with the table, as each holds one finding in 400."""
-    return life.persistent_hashes(life.with_hash(fx.view(spark, sf_dir, "round_robin_findings")), CURRENT, BASELINE)
+    """Two scans of one application, each with one order in 400 and one block of 30 orders in 400, so they grow with the table."""
+    return life.persistent_hashes(life.with_hash(fx.view(spark, sf_dir, "rescanned_findings")), CURRENT, BASELINE)
 
 
 # --- event folds ---
